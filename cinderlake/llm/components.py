@@ -1,0 +1,28 @@
+"""Connected components by minimum labels with pointer jumping; every round is a written table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cinderlake.llm.common import materialise
+
+
+def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """node, label (the smallest node of its component) for all nodes in links (a, b).
+
+    A round gives each node the smallest label around it and then that label's label, so paths shorten by half or
+    more each time. A hot node's neighbours are met by a join that can be split and a minimum with map-side combine.
+    """
+    both = links.where("a <> b")
+    edges = materialise(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    for _ in range(max_rounds):
+        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = materialise(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("via")), "met")
+        jump = met.select(F.col("node").alias("via"), F.col("via").alias("next"))
+        new = materialise(met.join(jump, "via").select("node", F.col("label").alias("old"), F.least("via", "next").alias("label")), "labels")
+        labels = new.select("node", "label")
+        if new.where("old <> label").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from cinderlake.llm import chat, decontaminate, exact_dedup, mixing
+from cinderlake.llm import chat, decontaminate, exact_dedup, jaccard_join, mixing
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op3_chat_format": chat.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op3_chat_format": chat.OP3_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
