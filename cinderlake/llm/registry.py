@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cinderlake.llm import chat, decontaminate, exact_dedup, jaccard_join, mixing
+import corpus_pipeline
+from cinderlake.llm import chat, decontaminate, exact_dedup, jaccard_join, mixing, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +12,9 @@ def queries() -> dict:
         "op3_chat_format": chat.op3_chat_format,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
