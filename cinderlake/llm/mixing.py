@@ -67,15 +67,13 @@ def _fill(children: DataFrame, parent: list[str]) -> DataFrame:
 def budgets(supply: DataFrame, weights: Mapping[str, Mapping[str, float]], total: float | None, max_epochs: int) -> DataFrame:
     """domain, lang, source, supply, budget from the tokens of each leaf; total: tokens wanted, None for all there are."""
     leaves = supply.withColumn("cap", F.when(_weights_of_path(weights) > 0, F.col("supply") * float(max_epochs)).otherwise(0.0))
-    wanted = F.sum("supply").cast("double") if total is None else F.lit(float(total))
-    root = leaves.groupBy().agg(wanted.alias("parent_budget"))
+    wanted = float((supply.agg(F.sum("supply")).first()[0] or 0) if total is None else total)  # one number
     out = None
     for depth in (1, 2, 3):
         names = LEAF[:depth]
         nodes = leaves.groupBy(*names).agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply")).withColumn("weight", F.when(F.col("cap") > 0, _weight(names[-1], weights.get(names[-1], {}))).otherwise(0.0))
         if out is None:
-            # One row: the total, a single number.
-            nodes = nodes.join(F.broadcast(root))
+            nodes = nodes.withColumn("parent_budget", F.lit(wanted))
         else:
             nodes = nodes.join(out.select(*names[:-1], F.col("budget").alias("parent_budget")), names[:-1])
         out = _fill(nodes, names[:-1])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cinderlake.llm import chat, decontaminate, exact_dedup, jaccard_join, mixing, toxicity
+from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, mixing, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,8 +11,11 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_chat_format": chat.op3_chat_format,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_language_id": language.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_token_counts": token_counts.op8_token_counts,
+        "op9_html_text": html_text.op9_html_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "pipeline": corpus_pipeline.run,
     }
