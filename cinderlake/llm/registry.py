@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, mixing, token_counts, toxicity
+from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, lm_score, mixing, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_lm_score": lm_score.op2_lm_score,
         "op3_chat_format": chat.op3_chat_format,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_language_id": language.op5_language_id,
