@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from cinderlake.plans import seasons
+from cinderlake.plans.build import QUERIES, SQL
+
+GROUPS = (seasons,)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
