@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cinderlake.plans import seasons
+from cinderlake.plans import seasons, tables
 from cinderlake.plans.build import QUERIES, SQL
 
-GROUPS = (seasons,)
+GROUPS = (seasons, tables)
 
 
 def queries() -> dict:

@@ -52,7 +52,7 @@ def climate(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "orders")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     g = d.groupBy((F.col("o_custkey") % 50).alias("id"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-    return g.agg((F.sum(cents) / 1e7).alias("prec"), (F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", cents)), F.lit(0)) / 5e6).alias("aet"), (F.coalesce(F.sum(F.when(F.col("o_orderpriority") < "3", cents)), F.lit(0)) / 3e6).alias("pet"))
+    return g.agg((F.sum(cents) / 1e5).alias("prec"), (F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", cents)), F.lit(0)) / 5e4).alias("aet"), (F.coalesce(F.sum(F.when(F.col("o_orderpriority") < "3", cents)), F.lit(0)) / 3e4).alias("pet"))
 
 
 def land_pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +72,9 @@ CTES = {
     "pk": "SELECT id, period, month AS peak FROM dense QUALIFY row_number() OVER (PARTITION BY id, period ORDER BY v DESC, month) = 1",
     "rl": "SELECT id, period, peak, v, month, CASE WHEN month + 6 - peak > 12 THEN month - 6 - peak WHEN month + 6 - peak < 1 THEN month + 18 - peak ELSE month + 6 - peak END AS r FROM dense JOIN pk USING (id, period)",
     "cs": "SELECT *, sum(v) OVER (PARTITION BY id, period ORDER BY r)::DOUBLE AS run, sum(v) OVER (PARTITION BY id, period)::DOUBLE AS total FROM rl",
-    "grid": "SELECT s_suppkey AS id, (s_suppkey - 1) // 10 AS row, (s_suppkey - 1) % 10 AS col, 100 * (s_acctbal - (SELECT min(s_acctbal) FROM supplier)) / (SELECT max(s_acctbal) - min(s_acctbal) FROM supplier) AS pct_area FROM supplier",
+    "grid": "SELECT s_suppkey AS id, CAST(floor((s_suppkey - 1) / 10.0) AS BIGINT) AS row, (s_suppkey - 1) % 10 AS col, 100 * (s_acctbal - (SELECT min(s_acctbal) FROM supplier)) / (SELECT max(s_acctbal) - min(s_acctbal) FROM supplier) AS pct_area FROM supplier",
     "cents": "SELECT o_custkey % 50 AS id, year(o_orderdate) AS year, month(o_orderdate) AS month, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderstatus AS s, o_orderpriority AS p FROM orders",
-    "climate": "SELECT id, year, month, sum(c) / 1e7 AS prec, coalesce(sum(c) FILTER (s = 'F'), 0) / 5e6 AS aet, coalesce(sum(c) FILTER (p < '3'), 0) / 3e6 AS pet FROM cents GROUP BY ALL",
+    "climate": "SELECT id, year, month, sum(c) / 1e5 AS prec, coalesce(sum(c) FILTER (s = 'F'), 0) / 5e4 AS aet, coalesce(sum(c) FILTER (p < '3'), 0) / 3e4 AS pet FROM cents GROUP BY ALL",
     "land": "SELECT l_suppkey AS cell, l_partkey AS px, year(l_shipdate) AS year, p_size AS cls, CAST(l_quantity AS BIGINT) AS value FROM lineitem JOIN part ON l_partkey = p_partkey",
 }
 NEEDS = {"pf": ["fires"], "cm": ["pf"], "dense": ["cm", "months"], "pk": ["dense"], "rl": ["dense", "pk"], "cs": ["rl"], "climate": ["cents"]}
@@ -92,4 +92,9 @@ def with_tables(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in done) + (", " + body.strip()[5:] if body.strip().upper().startswith("WITH ") else " " + body)
+    own = body.strip()
+    head = ", ".join(f"{n} AS ({CTES[n]})" for n in done)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.startswith(start):
+            return f"{start}{head}, {own[len(start):]}"
+    return f"WITH {head} {own}"
