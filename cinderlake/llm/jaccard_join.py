@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.llm.common import materialise, table
-from cinderlake.llm.components import components
+from cinderlake.operators.graph import components
 
 RARE = 16
 BLOCK = 512
