@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cinderlake.plans import seasons, spatial, tables
+from cinderlake.plans import multivariate, seasons, spatial, tables
 from cinderlake.plans.build import QUERIES, SQL
 
-GROUPS = (seasons, spatial, tables)
+GROUPS = (multivariate, seasons, spatial, tables)
 
 
 def queries() -> dict:
