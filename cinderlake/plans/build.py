@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cinderlake.sources.adapters import with_tables
 
+#: Moves halves at the sixth place off the border, so that last-bit noise does not decide them.
+NUDGE = 1e-9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,12 +21,12 @@ def query(name: str, columns: str, tables: str = "", sql: str | None = None):
 
     def register(make: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            kinds = {"l": lambda c: F.col(f"`{c}`").cast("long"), "d": lambda c: F.round(F.col(f"`{c}`").cast("double"), 6) + F.lit(0.0), "s": lambda c: F.col(f"`{c}`").cast("string")}
+            kinds = {"l": lambda c: F.col(f"`{c}`").cast("long"), "d": lambda c: F.round(F.col(f"`{c}`").cast("double") + NUDGE, 6) + F.lit(0.0), "s": lambda c: F.col(f"`{c}`").cast("string")}
             return make(spark, sf).select(*[kinds[k](c).alias(c) for c, k in spec])
 
         QUERIES[name] = run
         if sql is not None:
-            kinds = {"l": 'CAST("{0}" AS BIGINT) AS "{0}"', "d": 'round(CAST("{0}" AS DOUBLE), 6) + 0.0 AS "{0}"', "s": 'CAST("{0}" AS VARCHAR) AS "{0}"'}
+            kinds = {"l": 'CAST("{0}" AS BIGINT) AS "{0}"', "d": 'round(CAST("{0}" AS DOUBLE) + 1e-9, 6) + 0.0 AS "{0}"', "s": 'CAST("{0}" AS VARCHAR) AS "{0}"'}
             body = with_tables(sql, *tables.split()) if tables else sql
             SQL[name] = "SELECT " + ", ".join(kinds[k].format(c) for c, k in spec) + f" FROM ({body})"
         return make

@@ -79,7 +79,7 @@ def powerlaw_fit(spark, sf):
     return Z.power_law(A.period_fires(spark, sf).withColumn("area", F.col("units") * A.UNIT_KM2), ["id", "period"], least=0.03)
 
 
-@query("size_by_month", "month:l q50:d q95:d largest:d", "fires", "SELECT month, quantile_cont(units * 0.01, 0.5) AS q50, quantile_cont(units * 0.01, 0.95) AS q95, max(units) * 0.01 AS largest FROM fires GROUP BY month")
+@query("size_by_month", "month:l q50:d q95:d largest:d", "fires", "SELECT month, quantile_cont(units * 0.01::DOUBLE, 0.5) AS q50, quantile_cont(units * 0.01::DOUBLE, 0.95) AS q95, max(units) * 0.01 AS largest FROM fires GROUP BY month")
 def size_by_month(spark, sf):
     area = F.col("units") * A.UNIT_KM2
     return A.fires(spark, sf).groupBy("month").agg(F.percentile(area, 0.5).alias("q50"), F.percentile(area, 0.95).alias("q95"), F.max(area).alias("largest"))
