@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions.storage import materialise, shared_dir
 
-__all__ = ["WHITE", "crc_mod", "materialise", "shared_dir", "table"]
+__all__ = ["WHITE", "crc_mod", "fresh", "materialise", "shared_dir", "table"]
 
 #: ASCII white space of the contracts, as a regular expression for Java and RE2.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of the id as text, modulo mod; a null id counts as remainder 0 of the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import table
+from cinderlake.llm.common import materialise, table
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -184,10 +184,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window, with all columns."""
-    from cinderlake.llm.common import materialise
-
     hit = materialise(find_matches(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_hit_doc_id")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_doc_id")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_doc_id"]), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

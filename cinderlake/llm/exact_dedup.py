@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import WHITE, materialise, table
+from cinderlake.llm.common import WHITE, fresh, materialise, table
 
 #: Bits of the lookup filter: 512 bitmaps of 4 KB, so the broadcast is 2 MB at any input size.
 FILTER_BITS = 1 << 24
@@ -84,12 +84,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     groups = materialise(exact_groups(docs).select("doc_id", "digest", "kept"), "groups")
     kept = groups.where("kept").groupBy(F.col("doc_id").alias("_keep_doc_id"), F.col("digest").alias("_keep_digest")).agg(F.count("*").alias("_keep_rows"))
     repeated = not kept.where("_keep_rows > 1").isEmpty()
-    marked = docs.withColumn("_own_digest", text_digest(normalised(F.col("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_doc_id")) & (F.col("_own_digest") == F.col("_keep_digest"))
+    own = fresh(docs, "_own_digest")
+    marked = docs.withColumn(own, text_digest(normalised(F.col("text"))))
+    same = marked["doc_id"].eqNullSafe(kept["_keep_doc_id"]) & (marked[own] == kept["_keep_digest"])
     out = marked.join(kept, same, "left_semi")
     if repeated:
-        out = out.dropDuplicates(["doc_id", "_own_digest"])
-    return out.drop("_own_digest")
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,7 +282,7 @@ def one_of_each(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
     groups = materialise(similar_groups(docs, k, t), "groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_doc_id")).agg(F.count("*").alias("_kept_rows"))
     kept = materialise(kept, "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_doc_id"]), "left_semi")
     return out if kept.where("_kept_rows > 1 AND _kept_doc_id IS NOT NULL").isEmpty() else out.dropDuplicates(["doc_id"])
 
 

@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import WHITE, materialise, table
+from cinderlake.llm.common import fresh, materialise, table
 
 LEAF = ["domain", "lang", "source"]
 #: Production parameters.
@@ -40,7 +40,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def leaf_columns(docs: DataFrame) -> list[Column]:
-    return [domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")]
+    return [domain_of(docs["source"]).alias("domain"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["source"], F.lit("")).alias("source")]
 
 
 def _weight(level: str, weights: Mapping[str, float]) -> Column:
@@ -52,12 +52,12 @@ def _weight(level: str, weights: Mapping[str, float]) -> Column:
 
 def _fill(children: DataFrame, parent: list[str]) -> DataFrame:
     """budget of each child, from its parent's budget, its own weight and cap."""
-    ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf")))
+    ratio = F.coalesce(F.try_divide("cap", "weight"), F.lit(float("inf")))
     child = (set(LEAF) & set(children.columns)) - set(parent)
     by = Window.partitionBy(*parent)
     order = by.orderBy("ratio", *sorted(child))
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("parent_budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
+    level = (F.col("parent_budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.nullif(F.sum("weight").over(rest), F.lit(0.0))
     known = children.withColumn("ratio", ratio).withColumn("level", level)
     known = known.withColumn("water", F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(by))
     budget = F.when(F.col("weight") == 0, 0.0).otherwise(F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))))
@@ -98,7 +98,7 @@ def select_mixture(docs: DataFrame, weights=WEIGHTS, total: float | None = None,
     supply = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("supply"))
     plan = budgets(supply, weights, total, max_epochs)
     tokens = F.floor("budget").cast("long")
-    whole = F.when(F.col("supply") > 0, F.floor(tokens / F.col("supply"))).otherwise(0).cast("long")
+    whole = F.coalesce(F.floor(F.try_divide(tokens, F.col("supply"))), F.lit(0)).cast("long")
     plan = materialise(plan.select(*LEAF, tokens.alias("leaf_tokens"), whole.alias("whole"), (tokens - whole * F.col("supply")).alias("rest")), "plan")
     planned = rows.join(plan, LEAF)
     full = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
@@ -119,11 +119,14 @@ def select_mixture(docs: DataFrame, weights=WEIGHTS, total: float | None = None,
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that the mixture uses, once for each epoch, with a column mix_epoch."""
-    chosen = materialise(select_mixture(docs, **parameters), "mixture").select(F.col("doc_id").alias("_mix_id"), *[F.col(c).alias(f"_mix_{c}") for c in LEAF], F.col("epoch").alias("mix_epoch"))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id"))
-    for name, own in zip(LEAF, leaf_columns(docs), strict=True):
-        same = same & (own == F.col(f"_mix_{name}"))
-    return docs.drop("mix_epoch").join(chosen, same).drop("_mix_id", *[f"_mix_{c}" for c in LEAF])
+    docs = docs.drop("mix_epoch")
+    names = [fresh(docs, n) for n in ("_mix_id", *(f"_mix_{c}" for c in LEAF))]
+    chosen = materialise(select_mixture(docs, **parameters), "mixture")
+    chosen = chosen.select(*[F.col(c).alias(n) for c, n in zip(["doc_id", *LEAF], names, strict=True)], F.col("epoch").alias("mix_epoch"))
+    same = docs["doc_id"].eqNullSafe(chosen[names[0]])
+    for name, own in zip(names[1:], leaf_columns(docs), strict=True):
+        same = same & (own == chosen[name])
+    return docs.join(chosen, same).drop(*names)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
