@@ -93,3 +93,45 @@ def version_lookup(df: DataFrame, versions: dict[int, int], year: str = "year")
 def snapshot(df: DataFrame, created: str, years: Sequence[int]) -> DataFrame:
     """F8: everything created up to each year; years are exploded from a literal, not joined."""
     return df.withColumn("year", F.explode(F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y >= F.col(created))))
+
+
+def intersecting(pixels: DataFrame, month: str, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """A5: fires and pixels per cell and month; a fire counts once in every cell it meets. month: of pixel or polygon."""
+    return pixels.groupBy(*keys, F.col(month).alias("month")).agg(F.count_distinct("fire_id").alias("npolygons"), F.count("*").alias("npixels"))
+
+
+def pixel_area(pixels: DataFrame, keys: Sequence[str], side_m: float = 30.0) -> DataFrame:
+    """km2 of burned pixels (values 1 to 12)."""
+    return pixels.where(F.col("value").between(1, 12)).groupBy(*keys).agg((F.count("*") * (side_m * side_m * 1e-6)).alias("area"))
+
+
+def intersecting_sizes(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """A10: each cell with each fire it meets and the fire's whole size."""
+    return pairs.select("id", "fire_id").distinct().join(sizes.where(F.col("area") >= least), "fire_id")
+
+
+def dissolve(parts: DataFrame, component: str) -> DataFrame:
+    """One row per component: first id, first year, last month, pixels."""
+    return parts.groupBy(component).agg(F.min("fire_id").alias("fire_id"), F.min("year").alias("year"), F.max("month").alias("month"), F.count("*").alias("npixels"))
+
+
+def pairs_with_self(items: DataFrame, key: str) -> DataFrame:
+    """Each unordered pair once, with itself; for small dimensions (an inequality join)."""
+    a, b = items.select(F.col(key).alias("a")), items.select(F.col(key).alias("b"))
+    return a.join(b, F.col("a") <= F.col("b"))
+
+
+def convert(value: Column, kind: str, days: Column | None = None) -> Column:
+    """X4: 'kelvin' to Celsius, 'metres_a_day' to mm a month, 'tenths', 'm2' to km2."""
+    return {"kelvin": lambda: value - 273.15, "metres_a_day": lambda: value * 1000 * days, "tenths": lambda: value * 0.1, "m2": lambda: value * 1e-6}[kind]()
+
+
+def harmonise(df: DataFrame, renames: dict[str, str], code: str, fixes: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """Renamed columns, six-digit codes with corrected states, duplicates dissolved, columns in order."""
+    named = df.withColumnsRenamed(renames)
+    six = F.substring(F.col(code).cast("string"), 1, 6)
+    state = F.substring(six, 1, 2)
+    fixed = F.coalesce(F.create_map(*[F.lit(x) for kv in fixes.items() for x in kv])[state], state) if fixes else state
+    named = named.withColumn("s_code", fixed).withColumn("m_code", F.concat("s_code", F.substring(six, 3, 4)))
+    rest = [c for c in order if c not in ("m_code", "s_code", "area")]
+    return named.groupBy("m_code", "s_code").agg(F.sum("area").alias("area"), *[F.min(c).alias(c) for c in rest]).select(*order)
