@@ -320,4 +320,5 @@ def test_parts_that_are_no_main_text():
     <section id="comments"><p>first!</p></section></article></main><aside>Side</aside><div class="ad">Buy</div><!-- <p>no</p> --><footer>(c)</footer>"""
     assert html_text.main_text(page(body)) == "Title\nOne two three\nFour five\na\nb"
     assert html_text.main_text("") == "" and html_text.main_text("<p>a<div>b") == "a\nb"
+    assert html_text.main_text('<div class="header">Top</div><div data-id="nav" width=3>in</div><div hidden>no</div><div aria-hidden="true">no</div>') == "in"
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
