@@ -135,3 +135,31 @@ def harmonise(df: DataFrame, renames: dict[str, str], code: str, fixes: dict[str
     named = named.withColumn("s_code", fixed).withColumn("m_code", F.concat("s_code", F.substring(six, 3, 4)))
     rest = [c for c in order if c not in ("m_code", "s_code", "area")]
     return named.groupBy("m_code", "s_code").agg(F.sum("area").alias("area"), *[F.min(c).alias(c) for c in rest]).select(*order)
+
+
+def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """N rows in the order of a seeded hash of the key, so a rerun and any partitioning give the same rows."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """The wanted columns that df has, in the order wanted."""
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
+def assemble(base: DataFrame, tables: Sequence[DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Tables joined on shared keys one after another."""
+    for t in tables:
+        base = base.join(t, list(keys), how)
+    return base
+
+
+def recode(df: DataFrame, column: str, names: dict, default=None) -> DataFrame:
+    """Values by a literal map."""
+    found = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col(column)]
+    return df.withColumn(column, found if default is None else F.coalesce(found, F.lit(default)))
+
+
+def flip_sign(df: DataFrame, column: str, where: Column) -> DataFrame:
+    """Axes have no sign of their own; periods may be turned to point the same way."""
+    return df.withColumn(column, F.when(where, -F.col(column)).otherwise(F.col(column)))

@@ -179,3 +179,28 @@ def test_state_per_user(spark, data, tmp_path):
     stream = I.running_months(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     stream.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert last == {r["user_id"]: r["count"] for r in events.groupBy("user_id").count().collect()}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(1000)
+    key = lambda d: sorted(r["id"] for r in T.sample_rows(d, 20, 3, "id").collect())
+    assert key(df) == key(df.repartition(7)) != sorted(r["id"] for r in T.sample_rows(df, 20, 4, "id").collect())
+
+
+def test_assembly(spark):
+    a = spark.createDataFrame([(1, "x", 2.0), (2, "y", 3.0)], "id int, cls string, v double")
+    b = spark.createDataFrame([(1, 5)], "id int, w int")
+    out = T.flip_sign(T.recode(T.assemble(T.existing(a, ["v", "id", "cls", "none"]), [b], ["id"], "left"), "cls", {"x": "wet"}, "dry"), "v", F.col("id") == 2)
+    assert sorted(tuple(r) for r in out.select("id", "cls", "v", "w").collect()) == [(1, "wet", 2.0, 5), (2, "dry", -3.0, None)]
+
+
+def test_first_part_wins(spark):
+    a = spark.createDataFrame([(1, 10)], "k int, v int")
+    b = spark.createDataFrame([(1, 20), (2, 30)], "k int, v int")
+    assert sorted(tuple(r) for r in T.first_wins([a, b], ["k"]).collect()) == [(1, 10), (2, 30)]
+
+
+def test_cell_filter_applies_every_rule(spark):
+    df, grid = spark.createDataFrame([(i,) for i in range(5)], "id int"), spark.createDataFrame([(i, 20.0 * i) for i in range(5)], "id int, pct_area double")
+    ids = lambda **k: sorted(r["id"] for r in T.cell_filter(df, grid, 50, **k).collect())
+    assert ids() == [3, 4] and ids(include=[0]) == [0, 3, 4] and ids(exclude=[3]) == [4] and ids(include=[0, 1], exclude=[1, 4]) == [0, 3]
