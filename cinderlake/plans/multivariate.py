@@ -13,11 +13,11 @@ from cinderlake.operators import relational as R
 from cinderlake.operators import season as S
 from cinderlake.operators import size as Z
 from cinderlake.plans.build import query
-from cinderlake.plans.spatial import _BOTH
 from cinderlake.sources import adapters as A
 from cinderlake.streaming import incremental as I
 
 DIMS = 4
+ANCHORS = [0, 100, 200, 300, 400]
 E = [f"e{i}" for i in range(DIMS)]
 
 
@@ -45,16 +45,20 @@ def regime_input(spark, sf):
     return out.withColumn("burned_area_n", F.col("burned_area") / F.col("flammable"))
 
 
-@query("regime_defaults", "id:l n:l area:d flammable:d", "fires grid", f"""
-WITH {_BOTH}, c AS (SELECT id, count(*) AS n, sum(units) * 0.01::DOUBLE AS area, sum(units)::DOUBLE AS flammable FROM fires WHERE units >= 49 AND id % 4 <> 1 GROUP BY id),
-g AS (SELECT grid.id, n, area, flammable FROM grid LEFT JOIN c USING (id)), m AS (SELECT src AS id, avg(flammable) AS near FROM sym JOIN g ON g.id = dst GROUP BY src)
-SELECT g.id, coalesce(n, 1) AS n, coalesce(area, 0.03) AS area, coalesce(flammable, near) AS flammable FROM g LEFT JOIN m USING (id)""")
+@query("regime_defaults", "id:l n:l area:d flammable:d", "fires", """
+WITH g AS (SELECT p_partkey AS id, p_partkey // 50 AS row, p_partkey % 50 AS col FROM part),
+c AS (SELECT px AS id, count(*) AS n, sum(units) * 0.01::DOUBLE AS area, sum(units)::DOUBLE AS flammable FROM fires WHERE units >= 50 GROUP BY px),
+k AS (SELECT g.*, n, area, flammable FROM g LEFT JOIN c USING (id)),
+o AS (SELECT a.r, b.c FROM (SELECT unnest([-1, 0, 1]) AS r) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS c) b WHERE a.r <> 0 OR b.c <> 0),
+m AS (SELECT x.id, avg(y.flammable) AS near FROM (SELECT id, row + r AS row, col + c AS col FROM k CROSS JOIN o) x JOIN k y USING (row, col) GROUP BY x.id)
+SELECT k.id, coalesce(n, 1) AS n, coalesce(area, 0.03) AS area, coalesce(flammable, near) AS flammable FROM k LEFT JOIN m USING (id)""")
 def regime_defaults(spark, sf):
-    """M1: empty cells get one fire of the least size, and their fuel from neighbours."""
-    g = A.grid(spark, sf)
-    c = A.fires(spark, sf).where("units >= 49 AND id % 4 <> 1").groupBy("id").agg(F.count("*").alias("n"), (F.sum("units") * A.UNIT_KM2).alias("area"), F.sum("units").cast("double").alias("flammable"))
-    known = g.select("id").join(c, "id", "left")
-    near = G.neighbour_mean(known, G.neighbours(g), "flammable")
+    """M1: cells (of the parts' raster) without large fires get one of the least size, and their fuel from neighbours."""
+    k = F.col("p_partkey")
+    cells = A.read(spark, sf, "part").select(k.alias("id"), F.floor(k / 50).alias("row"), (k % 50).alias("col"))
+    c = A.fires(spark, sf).where("units >= 50").groupBy(F.col("px").alias("id")).agg(F.count("*").alias("n"), (F.sum("units") * A.UNIT_KM2).alias("area"), F.sum("units").cast("double").alias("flammable"))
+    known = cells.select("id").join(c, "id", "left")
+    near = G.neighbour_mean(known, G.neighbours(cells), "flammable")
     return known.join(near, "id", "left").select("id", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("area", F.lit(0.03)).alias("area"), F.coalesce("flammable", "flammable_near").alias("flammable"))
 
 
@@ -78,10 +82,10 @@ def overlap_1d(spark, sf):
     return M.overlap_1d(_points(spark, sf), "label", "e0")
 
 
-@query("cluster_label", "id:l cluster:l label:s", "", "WITH c AS (SELECT vec_id AS id, label AS cluster FROM embeddings), a AS (SELECT id, chr(CAST(65 + id // 100 AS INT)) AS letter FROM c WHERE id % 100 = 0), n AS (SELECT cluster, min(letter) AS label FROM a JOIN c USING (id) GROUP BY cluster) SELECT id, cluster, coalesce(label, '99') AS label FROM c LEFT JOIN n USING (cluster)")
+@query("cluster_label", "id:l cluster:l label:s", "", "WITH c AS (SELECT vec_id AS id, label AS cluster FROM embeddings), a AS (SELECT id, chr(CAST(65 + id // 100 AS INT)) AS letter FROM c WHERE id IN (0, 100, 200, 300, 400)), n AS (SELECT cluster, min(letter) AS label FROM a JOIN c USING (id) GROUP BY cluster) SELECT id, cluster, coalesce(label, '99') AS label FROM c LEFT JOIN n USING (cluster)")
 def cluster_label(spark, sf):
     c = _points(spark, sf, 0).select("id", F.col("label").alias("cluster"))
-    anchors = c.where("id % 100 = 0").select("id", F.char((65 + F.floor(F.col("id") / 100)).cast("int")).alias("letter"))
+    anchors = c.where(F.col("id").isin(ANCHORS)).select("id", F.char((65 + F.floor(F.col("id") / 100)).cast("int")).alias("letter"))
     return M.label_by_anchor(c, anchors, [])
 
 

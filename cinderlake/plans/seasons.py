@@ -131,13 +131,13 @@ def largest_fire_month(spark, sf):
 
 
 @query("gap_fill", "id:l year:l peak_month:l was_missing:l", "fires", """
-WITH m AS (SELECT id, year, month, sum(units) AS v FROM fires GROUP BY ALL), p AS (SELECT id, year, arg_max(month, (v, -month)) AS p FROM m GROUP BY ALL),
-g AS (SELECT id, year, CASE WHEN (id + year) % 5 <> 0 THEN p END AS p FROM p)
+WITH m AS (SELECT id, year, month, sum(units) AS v FROM fires GROUP BY ALL), p AS (SELECT id, year, arg_max(month, (v, -month)) AS p, max(v) AS v, sum(v) AS t FROM m GROUP BY id, year),
+g AS (SELECT id, year, CASE WHEN v * 7 >= t THEN p END AS p FROM p)
 SELECT id, year, coalesce(p, CAST(floor((lag(p) OVER w + lead(p) OVER w) / 2.0) AS BIGINT), lag(p) OVER w) AS peak_month, CAST(p IS NULL AS INT) AS was_missing FROM g WINDOW w AS (PARTITION BY id ORDER BY year)""")
 def gap_fill(spark, sf):
-    yearly = S.peak(A.fires(spark, sf), ["id", "year"])
-    holes = yearly.withColumn("peak_month", F.when((F.col("id") + F.col("year")) % 5 != 0, F.col("peak_month")))
-    return S.fill_gaps(holes)
+    s = S.series(A.fires(spark, sf), ["id", "year"])
+    clear = F.array_max("m") * 7 >= M.total(F.col("m"))  # years without a clear peak count as missing
+    return S.fill_gaps(s.select("id", "year", F.when(clear, M.peak_month(F.col("m"))).alias("peak_month")))
 
 
 @query("driest_month", "id:l lowest_month:l", "climate", "SELECT id, arg_min(month, (round(v, 9), month)) AS lowest_month FROM (SELECT id, month, avg(prec) AS v FROM climate GROUP BY ALL) GROUP BY id")

@@ -38,15 +38,15 @@ def neighbour_mean(spark, sf):
 
 
 def _fill_rounds(n: int) -> str:
-    out = "f0 AS (SELECT id, CASE WHEN id % 3 = 0 THEN pct_area END AS v FROM grid)"
+    out = "f0 AS (SELECT id, CASE WHEN pct_area >= 60 THEN pct_area END AS v FROM grid)"
     for k in range(1, n + 1):
         out += f", f{k} AS (SELECT f.id, coalesce(max(f.v), avg(g.v)) AS v FROM f{k - 1} f LEFT JOIN sym ON sym.src = f.id LEFT JOIN f{k - 1} g ON g.id = sym.dst GROUP BY f.id)"
     return out
 
 
-@query("neighbour_fill", "id:l v:d", "grid", f"WITH {_BOTH}, {_fill_rounds(4)} SELECT id, v FROM f4")
+@query("neighbour_fill", "id:l v:d", "grid", f"WITH {_BOTH}, {_fill_rounds(8)} SELECT id, v FROM f8")
 def neighbour_fill(spark, sf):
-    holes = A.grid(spark, sf).select("id", F.when(F.col("id") % 3 == 0, F.col("pct_area")).alias("v"))
+    holes = A.grid(spark, sf).select("id", F.when(F.col("pct_area") >= 60, F.col("pct_area")).alias("v"))
     return G.neighbour_fill(holes, _edges(spark, sf), "v")
 
 
@@ -78,11 +78,11 @@ def border_flag(spark, sf):
 
 def _burned(spark, sf):
     """Burned pixels of a 50-column raster by year and month."""
-    f = A.fires(spark, sf).where("units > 38 AND px < 2000").select("year", "month", "px").distinct()
+    f = A.fires(spark, sf).where(F.col("units") >= A.MIN_UNITS).select("year", "month", "px").distinct()
     return f.select("year", "month", "px", F.floor(F.col("px") / 50).alias("row"), (F.col("px") % 50).alias("col"))
 
 
-_BURNED = "b AS (SELECT DISTINCT year, month, px, px // 50 AS row, px % 50 AS col FROM fires WHERE units > 38 AND px < 2000)"
+_BURNED = "b AS (SELECT DISTINCT year, month, px, px // 50 AS row, px % 50 AS col FROM fires WHERE units >= 3)"
 
 
 def _reach(keys: str, near: str, extra: str = "TRUE") -> str:
@@ -102,11 +102,11 @@ def consecutive_month_merge(spark, sf):
 
 def _classes(spark, sf):
     """Land classes (size of the part, in tens) on a 50-column raster."""
-    p = A.read(spark, sf, "part").where("p_partkey < 2000")
+    p = A.read(spark, sf, "part")
     return p.select(F.lit(1).alias("scene"), F.col("p_partkey").alias("px"), F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), F.floor(F.col("p_size") / 10).alias("value"))
 
 
-_CLASSES = "b AS (SELECT 1 AS scene, p_partkey AS px, p_partkey // 50 AS row, p_partkey % 50 AS col, p_size // 10 AS value FROM part WHERE p_partkey < 2000)"
+_CLASSES = "b AS (SELECT 1 AS scene, p_partkey AS px, p_partkey // 50 AS row, p_partkey % 50 AS col, p_size // 10 AS value FROM part)"
 _PATCH = f"{_CLASSES}, {_reach('scene', 'abs(q.row - p.row) <= 1 AND abs(q.col - p.col) <= 1', 'q.value = p.value')}, patch AS (SELECT scene, a AS px, min(b) AS patch FROM reach GROUP BY ALL)"
 _METRICS = f"""{_PATCH}, ar AS (SELECT scene, value, patch, count(*) * 0.09::DOUBLE AS area FROM patch JOIN b USING (scene, px) GROUP BY ALL),
 sides AS (SELECT p.scene, p.value AS v, q.value AS w FROM b p JOIN b q ON p.scene = q.scene AND ((q.row = p.row AND q.col = p.col + 1) OR (q.row = p.row + 1 AND q.col = p.col)) AND p.value <> q.value),
