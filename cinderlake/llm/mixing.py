@@ -107,7 +107,7 @@ def select_mixture(docs: DataFrame, weights=WEIGHTS, total: float | None = None,
     # Bins before the border are taken whole; the border bin is split again, and then ordered.
     bins = part.groupBy(*LEAF, "rest", "bin1").agg(F.sum("n_tokens").alias("size"))
     bins = bins.withColumn("ahead", F.sum("size").over(Window.partitionBy(*LEAF).orderBy("bin1")) - F.col("size")).where("ahead < rest").select(*LEAF, "bin1", "ahead", (F.col("ahead") + F.col("size") <= F.col("rest")).alias("inside"))
-    near = materialise(part.join(bins, [*LEAF, "bin1"]), "near")
+    near = part.join(bins, [*LEAF, "bin1"])
     border = near.where("NOT inside")
     fine = border.groupBy(*LEAF, "rest", "ahead", "bin2").agg(F.sum("n_tokens").alias("size"))
     fine = fine.withColumn("ahead2", F.col("ahead") + F.sum("size").over(Window.partitionBy(*LEAF).orderBy("bin2")) - F.col("size")).where("ahead2 < rest").select(*LEAF, "bin2", "ahead2", (F.col("ahead2") + F.col("size") <= F.col("rest")).alias("inside2"))
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that the mixture uses, once for each epoch, with a column mix_epoch."""
     docs = docs.drop("mix_epoch")
     names = [fresh(docs, n) for n in ("_mix_id", *(f"_mix_{c}" for c in LEAF))]
-    chosen = materialise(select_mixture(docs, **parameters), "mixture")
+    chosen = select_mixture(docs, **parameters)
     chosen = chosen.select(*[F.col(c).alias(n) for c, n in zip(["doc_id", *LEAF], names, strict=True)], F.col("epoch").alias("mix_epoch"))
     same = docs["doc_id"].eqNullSafe(chosen[names[0]])
     for name, own in zip(names[1:], leaf_columns(docs), strict=True):
