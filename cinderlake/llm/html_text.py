@@ -1,6 +1,6 @@
 """Operator 9, HTML extraction: site template removal by subtree hashes counted per host, then block text.
 
-1. Every element of a page gets a hash of its subtree: tag, class and id, text in collapsed white space, and the
+1. Every block element of a page gets a hash of its subtree: tag, class and id, text in collapsed white space, and the
    children's hashes. Small subtrees (no text, or fewer than MIN_CHARS characters) are left to their parents.
 2. Spark counts, per host, the pages that hold each hash. A subtree is template if it recurs on at least MIN_PAGES
    pages of the host and on at least SHARE of them.
@@ -8,8 +8,9 @@
    (navigation, footers, asides, forms, scripts, ...) or that name themselves so (class, id or role of menus,
    sidebars, adverts, notices, comments, ...). If an article or main element is left, only such elements' text counts.
 
-Text inside an article or main element is protected from the second rule: lines that articles of one host share are
-content. Blocks: character references are decoded, white space becomes one space, blocks are joined by line feeds.
+Inside an article or main element, paragraphs, headings and the like are protected from the second rule (lines that
+articles of one host share are content); boxes, lists and sections are not. Pages travel to their template subtrees
+as compressed bytes. Blocks: character references are decoded, white space becomes one space, blocks are joined by line feeds.
 
 Defined results: null html counts as empty, and pages without text give ''; a null or unparsable url is host ''.
 Repeated rows are extracted each (and count as one page for recurrence if url and html are equal). An empty table
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ MIN_PAGES, SHARE, MIN_CHARS = 5, 0.3, 3
 #: HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-NO_TEXT = frozenset("head script style noscript template iframe svg math object canvas audio video nav footer aside form button select option textarea input label fieldset dialog menu".split())
+NO_TEXT = frozenset("head title script style noscript template iframe svg math object canvas audio video nav footer aside form button select option textarea input label fieldset dialog menu".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside caption".split())
+#: Blocks that carry running text; as template they count only outside article and main elements.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption caption summary td th tr tbody address".split())
 #: A p ends where one of these begins.
 ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot li dd dt caption figcaption summary".split())
 #: Where an element of the first kind begins, an open one of the second kind ends, unless one of the third lies between.
@@ -43,11 +47,11 @@ ENDS_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("
 #: Words in class, id or role that name parts which are no main text.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary widget"
-    " footer contentinfo masthead topbar toolbar header-bar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox share sharing social"
+    " footer contentinfo masthead topbar toolbar header-bar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox dialog share sharing social"
     " comment comments commentlist replies reply respond disqus related recommended pagination pager skip copyright legal disclaimer".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -84,7 +88,7 @@ def parse(page: str) -> Node:
         if m[3].strip():
             for a in _ATTR.finditer(m[3]):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
-                if key == "hidden" and m[3][a.start() - 1 : a.start()] != "-" or key == "aria-hidden" and value == "true":
+                if key == "hidden" or key == "aria-hidden" and value == "true":
                     hidden = True
                 elif key in ("class", "id", "role"):
                     names.append(value)
@@ -136,14 +140,15 @@ def hashed(node: Node) -> None:
 def subtree_digests(page: str) -> list[int]:
     root = parse(page)
     hashed(root)
-    found, todo = set(), [root]
+    found, prose, contained, todo = set(), set(), False, [root]
     while todo:
         for child in todo.pop().children:
             if isinstance(child, Node):
-                if child.tag not in ("html", "body", "head") and child.size >= MIN_CHARS:
-                    found.add(child.digest)
+                contained = contained or child.tag in ("article", "main")
+                if child.tag in BLOCKS and child.tag not in ("html", "body", "article", "main") and child.size >= MIN_CHARS:
+                    (prose if child.tag in PROSE else found).add(child.digest)
                 todo.append(child)
-    return sorted(found)
+    return sorted(found if contained else found | prose)
 
 
 def no_main_text(node: Node) -> bool:
@@ -182,7 +187,7 @@ def main_text(page: str, template: set[int] | frozenset[int] = frozenset()) -> s
                 blocks[-1].append(child)
             elif child.tag in ("br", "wbr"):
                 blocks[-1].append(" " if child.tag == "br" else "")
-            elif not no_main_text(child) and (inside or not template or child.digest not in template) and not (child.tag == "header" and not inside):
+            elif not no_main_text(child) and (child.digest not in template or inside and child.tag in PROSE or child.tag in ("article", "main")) and not (not inside and (child.tag == "header" or "header" in _WORD.findall(child.names))):
                 border = child.tag in BLOCKS
                 if border:
                     blocks.append([])
@@ -212,6 +217,7 @@ def host_of(url):
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text of each row."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.xxhash64("url", "html"))
+    host = F.xxhash64(host_of(F.col("url")))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,21 +225,31 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
                 part = batch.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([subtree_digests(x) for x in part.column(2).to_pylist()], pa.list_(pa.int64()))], names=["row", "host", "digests"])
 
-    held = materialise(rows.select("row", host_of(F.col("url")).alias("host"), "html").mapInArrow(digests, "row bigint, host string, digests array<bigint>").dropDuplicates(["row", "host"]), "subtrees")
+    held = materialise(rows.select("row", host.alias("host"), "html").mapInArrow(digests, "row bigint, host bigint, digests array<bigint>").dropDuplicates(["row", "host"]), "subtrees")
     counts = held.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     hosts = held.groupBy("host").agg(F.count("*").alias("host_pages"))
     template = materialise(counts.join(hosts, "host").where(F.col("n") >= F.col("host_pages") * share).select("host", "digest"), "template")
     marked = held.select("row", "host", F.explode("digests").alias("digest")).join(template, ["host", "digest"]).groupBy("row").agg(F.collect_set("digest").alias("template"))
     marked = materialise(marked, "marked")
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                small = pa.array([pack(x) for x in part.column(3).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], small], names=["row", "page_id", "url", "html"])
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                out = [main_text(h, frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                out = [main_text(unpack(h).decode("utf-8"), frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.join(marked, "row", "left").select("page_id", "url", "html", "template").mapInArrow(texts, "page_id bigint, url string, text string")
+    sent = rows.select("row", "page_id", "url", "html").mapInArrow(packed, "row bigint, page_id bigint, url string, html binary")
+    return sent.join(marked, "row", "left").select("page_id", "url", "html", "template").mapInArrow(texts, "page_id bigint, url string, text string")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
