@@ -266,8 +266,10 @@ def test_scoring_edges(docs, none):
 
 
 def test_segments_are_the_text():
-    for text in ("Ab, c\n d..", "", "...", "é\x00x  ", LONG):
-        assert b"".join(lm_score.segments(text.encode())) == text.encode() + lm_score.END
+    for text in ("Ab, c\n d..", "", "...", "é\x00x  ", " a. B! c?\nD.. ", LONG):
+        found = lm_score.segments(text.encode())
+        assert b"".join(found).replace(lm_score.MARK, b"") == text.encode() + lm_score.END
+        assert [w for w in map(lm_score.token_of, found) if w] == [*text.encode().lower().split(), lm_score.END]
 
 
 @settings(max_examples=40, deadline=None)
