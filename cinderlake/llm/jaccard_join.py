@@ -9,7 +9,8 @@ A document is its set of distinct k-word shingles (64-bit hashes); two link when
    shingles. If one shared there is rare (at most RARE documents), a single shingle finds the pair. If not, all that
    they share are frequent, and they share K of the first p + K - 1: the prefix is extended so far, its frequent
    shingles are split into K - 1 classes by hash, so some class holds two shared ones, and all pairs of shingles
-   within a class are indexed. K depends on the size class (sizes that can link differ by one class at most).
+   within a class are indexed. K depends on the size class (sizes that can link differ by one class at most). Where a
+   class's linked documents may share fewer than K (one shingle), single shingles are indexed whatever their frequency.
 3. Stars. In each index bucket all documents are compared with one pivot only, the one with fewest shingles of its
    own; components follow from the links found.
 4. Rest. Where a bucket's documents are still in different components, those not with the pivot are compared with the
@@ -111,6 +112,9 @@ def keys_of(n: int, own: int, tokens: np.ndarray, df: np.ndarray, t: int, rare:
         c = int(np.searchsorted(bounds, n, side="right")) - 1
         for size_class in (c, c + 1):
             k = max(2, 1 + prefix(int(bounds[size_class + 1]), t) // 2)
+            if k > required(int(bounds[size_class]), t):  # too small to share k: one shingle of the prefix finds the pair
+                keys.append(_mixed(_mixed(tokens[first][df[first] > rare]) + np.uint64(size_class)))
+                continue
             reach = slice(0, max(0, p + k - 1 - own))
             frequent = tokens[reach][df[reach] > rare]
             group = frequent % np.uint64(k - 1)

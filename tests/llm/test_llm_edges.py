@@ -110,6 +110,14 @@ def test_groups_of_near_copies(spark, docs, k, t):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_groups(rows, k, t)
 
 
+@pytest.mark.parametrize(("k", "t"), [(3, 90), (5, 80), (2, 50)])
+def test_one_frequent_shingle_links(spark, k, t):
+    texts = [" ".join(["ha"] * n) for n in range(k, k + 25)] + [" ".join(["ho"] * n) for n in range(k, k + 25)] + [f"{'ha ' * k}{i}" for i in range(25)]
+    rows = list(enumerate(texts))
+    got = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), k, t)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_groups(rows, k, t)
+
+
 def test_blocks_do_not_change_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     monkeypatch.setattr(jaccard_join, "RARE", 2)
