@@ -1,9 +1,11 @@
 """Operator 2, LM scoring: logistic context mixing over the bits of a text.
 
-A text is cut into segments, each a run of white space and the token after it, then an end mark; joined, they are the
-text. The bits of a segment's bytes are predicted by hashed contexts: the last 1, 2, 3 and 5 bytes and the segment so
-far. Contexts stay inside a segment, but for a mark that the text before it ends a sentence (a byte that UTF-8 never
-has, and that costs nothing since it follows from that text). So a segment's probability depends on it alone: each
+A text is cut into segments, each a run of white space and the token after it; the last is the white space left and an
+end. Joined, they are the text. The bits of a segment's bytes are predicted by hashed contexts: the last 1, 2, 3 and 5
+bytes and the segment so far. The end of a token is coded too, as a mark (a byte that UTF-8 never has) predicted from the
+token's own contexts, so no segment is the beginning of another and probabilities over texts add up to 1 at most.
+Contexts stay inside a segment, but for the same mark at its start where the text before it is empty or a token that ends
+a sentence; it costs nothing since it follows from that text. So a segment's probability depends on it alone: each
 distinct segment is worked out once per task, whatever its count.
 
 Training, on the rows whose crc32(doc_id) mod 7 is not 2, in Spark jobs over all of them:
@@ -52,6 +54,10 @@ END = b"\x00"
 GATES = (len(ORDERS) + 1) * 8
 MARK, SPACES = b"\xff", b" \t\n\x0b\x0c\r"
 _SEGMENT = re.compile(rb"\xff?[\t-\r ]*[^\t-\r \xff]+|\xff?[\t-\r ]+")
+#: Where a token starts with the byte that stands for an end, a mark tells it from one.
+_LIKE_END = re.compile(rb"(?<=[\xff\t-\r ])\x00")
+_SEGMENT_LIKE_END = re.compile(rb"\xff?[\t-\r ]*(?:\xff(?=\x00))?[^\t-\r \xff]+|\xff?[\t-\r ]+")
+_LAST = re.compile(rb"\xff?[\t-\r ]*\x00")
 
 _BYTE = np.arange(256, dtype=np.uint32)
 BITS = np.stack([(_BYTE >> (7 - j)) & 1 for j in range(8)], 1).astype(np.uint8)
@@ -64,14 +70,31 @@ for _i in range(1, len(_POWERS)):
 
 
 def segments(raw: bytes) -> list[bytes]:
-    for end in (b".", b"!", b"?"):
-        for space in (b" ", b"\n"):
-            raw = raw.replace(end + space, end + MARK + space)
-    return [*_SEGMENT.findall(raw), END]
+    ends = (b".", b"!", b"?")
+    for code in SPACES:
+        if code in raw:
+            space = bytes((code,))
+            for end in ends:
+                raw = raw.replace(end + space, end + MARK + space)
+    last = (MARK if not raw or raw.endswith(ends) else b"") + END
+    raw, pattern = MARK + raw, _SEGMENT
+    if END in raw:
+        raw, pattern = _LIKE_END.sub(MARK + END, raw), _SEGMENT_LIKE_END
+    found = pattern.findall(raw)
+    if found and raw[-1] in SPACES:
+        found[-1] += END
+    else:
+        found.append(last)
+    return found
+
+
+def coded(segment: bytes) -> bytes:
+    """The symbols that are predicted: a token's segment ends with a mark, the last one of a text with END."""
+    return segment if segment[-1] == 0 and _LAST.fullmatch(segment) else segment + MARK
 
 
 def token_of(segment: bytes) -> bytes:
-    """The lower-case token of a segment; empty for white space at a text's end."""
+    """The lower-case token of a segment; END for the last."""
     return segment.lstrip(MARK + SPACES).lower()
 
 
@@ -117,6 +140,13 @@ def slots(items: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
     return b, out, starts
 
 
+def charged(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """False for marks at a segment's start, which follow from the text before."""
+    out = np.ones(len(b), bool)
+    out[starts] = b[starts] != MARK[0]
+    return out
+
+
 class Mixer:
     """Predictions of all orders to one probability for each bit."""
 
@@ -170,6 +200,9 @@ class Model:
         self.refined = ((mixer.refine[0] + 4 / (1 + np.exp(-centres))) / (mixer.refine[1] + 4)).astype(np.float32)
 
     def log10(self, items: list[bytes]) -> np.ndarray:
+        return self.coded_log10([coded(x) for x in items])
+
+    def coded_log10(self, items: list[bytes]) -> np.ndarray:
         out = []
         for a, z in chunks(items):
             b, found, starts = slots(items[a:z])
@@ -178,7 +211,7 @@ class Model:
             mixed = self.mixer.mix(inputs, gate)
             p = (np.float32(1) / (np.float32(1) + np.exp(-mixed)) + self.refined.take(self.mixer.bucket(gate, mixed))) * np.float32(0.5)
             p = np.clip(np.abs(p - (1 - BITS[b]).astype(np.float32)), np.float32(1e-6), np.float32(1 - 1e-6))
-            out.append(np.add.reduceat(np.log(p).sum(1, dtype=np.float64) * (b != MARK[0]), starts) / math.log(10))
+            out.append(np.add.reduceat(np.log(p).sum(1, dtype=np.float64) * charged(b, starts), starts) / math.log(10))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -320,7 +353,8 @@ def bit_counts(counted: DataFrame) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * OFFSETS[-1], np.int64)
-        for items, n in _batches_of(batches):
+        for held, n in _batches_of(batches):
+            items = [coded(x) for x in held]
             b, found, _ = slots(items)
             each = np.repeat(np.repeat(n, [len(x) for x in items]), 8)
             bits = BITS[b].ravel()
@@ -360,14 +394,15 @@ def train_mixer(counted: DataFrame, counts: np.ndarray) -> Mixer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, done, (all_zeros, all_ones) = Mixer(), 0.0, shared.value
-        for items, n in _batches_of(batches):
-            b, found, _ = slots(items)
+        for held, n in _batches_of(batches):
+            items = [coded(x) for x in held]
+            b, found, starts = slots(items)
             bits = BITS[b].astype(np.int8)
             inputs = []
             for s in found:
                 zeros, ones = all_zeros.take(s), all_ones.take(s)
                 inputs.append(stretched(zeros - (1 - bits), ones - bits))
-            weight = np.repeat(n, [len(x) for x in items]) * (b != MARK[0]).astype(np.float64)
+            weight = np.repeat(n, [len(x) for x in items]) * charged(b, starts).astype(np.float64)
             mixer.learn(inputs, bits, weight)
             done += float(weight.sum())
         w, at = mixer.weights.ravel(), np.flatnonzero(mixer.refine[1])

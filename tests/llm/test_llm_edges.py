@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -280,6 +281,33 @@ def test_segments_are_the_text():
         assert [w for w in map(lm_score.token_of, found) if w] == [*text.encode().lower().split(), lm_score.END]
 
 
+def test_probabilities_of_texts_add_up_to_one_at_most(spark):
+    draw = random.Random(1)
+    rows = [(i, " ".join(draw.choices(["a", "aa", "aaa"], k=draw.randrange(1, 4)))) for i in range(300)]
+    _, model = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = ["".join(x) for n in range(11) for x in product("a ", repeat=n)]
+    assert 0.5 < sum(10 ** model.log10(lm_score.segments(t.encode())).sum() for t in texts) <= 1
+    for start in (b"\xff", b"\xffa", b" a", b"\xff a"):  # the next byte, a token's or the text's end among them
+        follow = [start + bytes((c,)) for c in range(256)]
+        p = 10 ** (model.coded_log10(follow) - model.coded_log10([start]))
+        assert p.sum() == pytest.approx(1, abs=1e-3)
+        assert p[0xFF] > 0.2 or not start.endswith(b"a")
+
+
+def test_no_segment_begins_another():
+    texts = ["".join(x) for n in range(6) for x in product("a. \x00\t", repeat=n)]
+    found = [[lm_score.coded(s) for s in lm_score.segments(t.encode())] for t in texts]
+    for marked in (True, False):  # what the text before the segment decides
+        parts = {s for segs in found for s in segs if (s[0] == 0xFF) == marked}
+        assert not any(s[:k] in parts for s in parts for k in range(1, len(s)))
+    for segs in found:
+        before = b"."
+        for s in segs:
+            assert (s[0] == 0xFF) == (before[-1:] in (b".", b"!", b"?"))
+            before = s[:-1]
+    assert len({b"".join(x) for x in found}) == len(texts)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 6), max_size=12), st.lists(st.integers(0, 40), max_size=5), st.sampled_from(token_counts.RULES))
 def test_attribution(sizes, cuts, rule):
