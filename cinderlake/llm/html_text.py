@@ -3,7 +3,8 @@
 1. Every block element of a page gets a hash of its subtree: tag, class and id, text in collapsed white space, and the
    children's hashes. Small subtrees (no text, or fewer than MIN_CHARS characters) are left to their parents.
 2. Spark counts, per host, the pages that hold each hash. A subtree is template if it recurs on at least MIN_PAGES
-   pages of the host and on at least SHARE of them.
+   pages of the host; for each tenfold of pages beyond MIN_PAGES, MIN_PAGES more are asked for (25 of 50,000 pages), so
+   what one section or language of a large host repeats is template there as on a small host of its own.
 3. The page is read again without its template subtrees, without elements that HTML itself marks as no main text
    (navigation, footers, asides, forms, scripts, ...) or that name themselves so (class, id or role of menus,
    sidebars, adverts, notices, comments, ...). If an article or main element is left, only such elements' text counts.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cinderlake.llm.common import materialise, table
 
-MIN_PAGES, SHARE, MIN_CHARS = 5, 0.3, 3
+MIN_PAGES, MIN_CHARS = 5, 3
 
 #: HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,7 +215,7 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text of each row."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.xxhash64("url", "html"))
     host = F.xxhash64(host_of(F.col("url")))
@@ -228,7 +229,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
     held = materialise(rows.select("row", host.alias("host"), "html").mapInArrow(digests, "row bigint, host bigint, digests array<bigint>").dropDuplicates(["row", "host"]), "subtrees")
     counts = held.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     hosts = held.groupBy("host").agg(F.count("*").alias("host_pages"))
-    template = materialise(counts.join(hosts, "host").where(F.col("n") >= F.col("host_pages") * share).select("host", "digest"), "template")
+    template = materialise(counts.join(hosts, "host").where(F.col("n") >= min_pages * (1 + F.log10(F.col("host_pages") / min_pages))).select("host", "digest"), "template")
     marked = held.select("row", "host", F.explode("digests").alias("digest")).join(template, ["host", "digest"]).groupBy("row").agg(F.collect_set("digest").alias("template"))
     marked = materialise(marked, "marked")
 

@@ -352,6 +352,12 @@ def test_templates_recur_on_a_host(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_template_of_a_section_of_a_large_host(spark):
+    rows = [(i, f"https://a.org/{i}", page(f"<div>{'<div>Sale in our shop</div>' if i % 10 == 0 else ''}<div>Text number {i}</div></div>")) for i in range(600)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text number {i}" for i in range(600)}
+
+
 def test_parts_that_are_no_main_text():
     body = """<header>Site</header><nav><ul><li>Home</ul></nav><div class="cookie-banner">We use cookies</div><main><article><h1>Title</h1>
     <p>One<br>two <b>three</b><p>Four&nbsp;five<script>var x = "<p>no</p>";</script><form><input>Mail</form><ul><li>a<li>b</ul>
