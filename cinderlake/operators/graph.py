@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.functions.storage import materialise
+from cinderlake.functions.storage import discard, materialise
 
 FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
 AROUND = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0))
@@ -28,8 +28,11 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         met = materialise(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("via")), "met")
         jump = met.select(F.col("node").alias("via"), F.col("via").alias("next"))
         new = materialise(met.join(jump, "via").select("node", F.col("label").alias("old"), F.least("via", "next").alias("label")), "labels")
-        labels = new.select("node", "label")
+        discard(met, labels)
+        labels = new.drop("old")
+        labels._table_path = new._table_path
         if new.where("old <> label").isEmpty():
+            discard(edges)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
