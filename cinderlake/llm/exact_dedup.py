@@ -1,13 +1,18 @@
 """Operator 6, exact dedup: a log-structured merge index in DataFrame operations only.
 
-* Flush: every input split is a memtable; it becomes one run, sorted by digest, a Parquet file with
-  min/max statistics and a Bloom filter on the digest.
-* Compaction: the runs merge into one level that keeps, for each digest, the smallest doc_id and the number of rows.
-* Lookup: digests that occur more than once go into a bitmap of fixed size (FILTER_BITS bits, broadcast);
-  rows that pass it are hits.
+* Flush: every input split is a memtable. It becomes a run, a Parquet file sorted by digest, with statistics and a Bloom
+  filter on the digest.
+* Compaction, tier 1: FAN runs at a time merge; of equal digests the smallest doc_id and the number of rows stay.
+  Tier 2: the merged runs are cut by ranges of digests and merge into one level, sorted, range after range. A digest comes
+  at most once from each run of the tier before, so a hot one is small by then.
+* Lookup: rows consult a filter of the level's repeated digests (bits by their counted number, broadcast, 32 MB at most)
+  before they look anything up. Only rows that pass it carry their text further.
 * Verification: hits are grouped by digest *and* bytes of the normalised text, with map-side combine. Where one
   digest has several texts, its rows are told apart by the text itself.
 
+Text is shuffled for hits only: rows with repeated digests, and the few in a hundred that the filter lets pass (all rows,
+once, where more than some 100 million digests repeat and the bound on the filter is met).
+
 Defined results: a null text counts as empty. Of equal texts the smallest doc_id stays; null ids count only where
 a group has no other (its keep_id is null). Repeated rows (same id and text) are all reported, each as kept, and
 drop_copies() leaves one of them. An empty table gives no rows. Extra columns are ignored, drop_copies() keeps them.
@@ -18,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import WHITE, fresh, materialise, table
+from cinderlake.llm.common import WHITE, Filter, discard, fresh, materialise, one_row, table
 
-#: Bits of the lookup filter: 512 bitmaps of 4 KB, so the broadcast is 2 MB at any input size.
-FILTER_BITS = 1 << 24
+#: Runs that merge into one in tier 1.
+FAN = 16
+BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -32,39 +38,38 @@ def text_digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-def _filter_key() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)) + 1
-
-
-def _bitmaps(level: DataFrame) -> DataFrame:
-    """The filter: a bit for each digest that occurs more than once."""
-    keyed = level.where("group_size > 1").select(_filter_key().alias("k"))
-    return keyed.groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+def flush(rows: DataFrame) -> DataFrame:
+    """doc_id, digest, run: a sorted run of each input split."""
+    return materialise(rows.select("doc_id", "digest", F.spark_partition_id().alias("run")).sortWithinPartitions("digest"), "runs", **BLOOM)
 
 
-def _hits(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    keyed = rows.withColumn("k", _filter_key()).withColumn("bucket", F.bitmap_bucket_number("k"))
-    at = F.bitmap_bit_position("k")
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    found = keyed.join(F.broadcast(bitmaps), "bucket").where(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
-    return found.select("doc_id", "digest", "norm")
+def compact(runs: DataFrame) -> DataFrame:
+    """digest, keep_id, group_size: one level, each digest once, sorted by ranges of digests."""
+    merged = runs.groupBy(F.floor(F.col("run") / FAN).alias("merged"), "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    tier = materialise(merged.sortWithinPartitions("merged", "digest"), "tier", **BLOOM)
+    ranges = tier.select("digest", "keep_id", "group_size").repartitionByRange("digest").sortWithinPartitions("digest")
+    level = materialise(ranges.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")), "level", **BLOOM)
+    discard(tier)
+    return level
 
 
 def exact_groups(docs: DataFrame, digest_of=text_digest) -> DataFrame:
     """doc_id, digest, keep_id, group_size and kept for every row of docs."""
     rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", "norm", digest_of(F.col("norm")).alias("digest"))
-    runs = materialise(rows.select("doc_id", "digest").sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
-    level = materialise(runs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "level")
-    bitmaps = _bitmaps(level)
-    by_bytes = _hits(rows, bitmaps).groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    runs = flush(rows)
+    level = compact(runs)
+    filter_ = Filter(level.where("group_size > 1").select(F.xxhash64("digest").alias("key")), "key")
+    hits = filter_.passing(rows.withColumn("key", F.xxhash64("digest")), "key")
+    by_bytes = hits.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # One row per digest: with one text below it, its group is verified byte by byte.
     checked = materialise(
         by_bytes.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1"),
         "checked",
     )
+    discard(level)
     plain = checked.where("texts = 1").drop("texts")
     clashing = checked.where("texts > 1").select("digest")
-    out = runs.join(plain, "digest", "left")
+    out = runs.drop("run").join(plain, "digest", "left")
     if not clashing.isEmpty():
         out = out.join(clashing, "digest", "left_anti")
         told = rows.join(clashing, "digest", "left_semi")
@@ -88,9 +93,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn(own, text_digest(normalised(F.col("text"))))
     same = marked["doc_id"].eqNullSafe(kept["_keep_doc_id"]) & (marked[own] == kept["_keep_digest"])
     out = marked.join(kept, same, "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id", own])
-    return out.drop(own)
+    return (one_row(out, ["doc_id", own]) if repeated else out).drop(own)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
