@@ -5,18 +5,21 @@ any passage shared with it lies inside such a run. Over those runs a suffix arra
 every test suffix (from each word of each item that starts a window) is binary-searched in it. The range found gives
 all verbatim occurrences and their locations; forward comparison from there gives the longest match.
 
-The benchmark is broadcast in blocks of at most BLOCK_WORDS words, so one broadcast has a fixed bound; the blocks are
-searched one after another in the same pass, and no row of the documents is shuffled.
+The benchmark is broadcast in blocks of at most BLOCK_WORDS words (and the words of one item more). A benchmark of one block
+takes one pass without a shuffle. Beyond that, blocks are searched one after another, each in its own pass, so that driver and
+executors hold one block at a time; what they find is joined by row.
 
 Defined results: null or wordless texts have no words, no hits and the digest of an empty list. Null items, and items
 without words, match nothing; items with the same id count once in n_items. Repeated rows each get their own result.
-An empty benchmark hits nothing. Extra columns are ignored; clean_documents() keeps them.
+An empty benchmark hits nothing. Extra columns are ignored; clean_documents() keeps them, and keeps or drops each row
+by its own text, so rows that share an id or have none do not touch each other.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +109,16 @@ def search(ids: np.ndarray, order: np.ndarray, test: np.ndarray, starts: np.ndar
     return bound(False), bound(True)
 
 
-def shard_matches(docs: list[list[bytes]], block: TestBlock) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, first word, window length, item, longest match from there) of each occurrence of a window."""
-    if not len(block.starts):
-        return
+def shard_matches(docs: list[list[bytes]], block: TestBlock) -> tuple[list[np.ndarray], list[dict[int, tuple[int, int]]]]:
+    """For each document: words that lie inside an occurrence of a window, and by item the place and length of its longest match.
+
+    A window's occurrences are one range of the suffix array. Where the test suffix one word on matches one word on, the
+    match is one longer than that one, so suffixes are gone through from the last to the first and each is extended at once.
+    """
+    hits, found = [np.zeros(0, np.int64)] * len(docs), [{} for _ in docs]
     get = block.vocab.get
     parts, home, offset = [], [], []
-    for d, words in enumerate(docs):
+    for d, words in enumerate(docs if len(block.starts) else []):
         own = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (own > 0).astype(np.int8), [0]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -121,71 +127,120 @@ def shard_matches(docs: list[list[bytes]], block: TestBlock) -> Iterator[tuple[i
                 home.append(np.full(b - a + 1, d, np.int64))
                 offset.append(np.arange(a, b + 1))
     if not parts:
-        return
+        return hits, found
     ids, home, offset = np.concatenate(parts), np.concatenate(home), np.concatenate(offset)
     order = suffix_array(ids)
-    for size in np.unique(block.need):
+    cover = np.zeros(len(ids) + 1, np.int64)
+    for size in np.unique(block.need).tolist():
         starts = block.starts[block.need == size]
-        lo, hi = search(ids, order, block.ids, starts, int(size))
-        for s, a, b in zip(starts[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-            for p in order[a:b]:
-                longest = int(size)
-                while p + longest < len(ids) and longest < block.left[s] and ids[p + longest] == block.ids[s + longest]:
-                    longest += 1
-                yield int(home[p]), int(offset[p]), int(size), int(block.owner[s]), longest
+        lo, hi = search(ids, order, block.ids, starts, size)
+        length, from_ = np.zeros(len(ids) + 1, np.int64), np.full(len(ids) + 1, -1, np.int64)
+        for k in np.flatnonzero(hi > lo)[::-1]:
+            s, at = int(starts[k]), np.sort(order[lo[k] : hi[k]])
+            longest = np.where((from_[at + 1] == s + 1) & (block.owner[s] == block.owner[s + 1]), length[at + 1] + 1, size)
+            length[at], from_[at] = longest, s
+            cover[at] += 1
+            cover[at + size] -= 1
+            first = np.flatnonzero(np.concatenate([[True], home[at[1:]] != home[at[:-1]]]))
+            most = np.maximum.reduceat(longest, first)
+            item = int(block.owner[s])
+            for d, n, a, z in zip(home[at[first]].tolist(), most.tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+                if n >= found[d].get(item, (0, 0))[1]:
+                    found[d][item] = (int(offset[at[a + int(longest[a:z].argmax())]]), n)
+    inside = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    cut = np.flatnonzero(np.diff(home[inside])) + 1
+    for own in np.split(inside, cut) if len(inside) else []:
+        hits[home[own[0]]] = offset[own]
+    return hits, found
 
 
 MATCHES = "array<struct<item_id:string,first_word:bigint,n_words:bigint>>"
-SCHEMA = f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, matches {MATCHES}"
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each row of docs: its words, words inside benchmark windows, sorted item ids, longest matches found."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in blocks_of(benchmark.select("item_id", "text").toLocalIterator(), window)]
-
-    def shard(ids: list, docs: list[list[bytes]]) -> pa.RecordBatch:
-        hit = [set() for _ in docs]
-        items: list[dict] = [{} for _ in docs]
-        for b in blocks:
-            for d, at, size, item, longest in shard_matches(docs, b.value):
-                hit[d].update(range(at, at + size))
-                found = items[d].setdefault(b.value.items[item], (at, longest))
-                if longest > found[1]:
-                    items[d][b.value.items[item]] = (at, longest)
-        rows = [[{"item_id": i, "first_word": m[i][0], "n_words": m[i][1]} for i in sorted(m)] for m in items]
+PART = f"n_words bigint, hits array<bigint>, matches {MATCHES}"
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text_at: int, block: TestBlock | None, result) -> Iterator[pa.RecordBatch]:
+    """result(rows, words, hits, found) of each shard of the batches' rows."""
+    rows, held, size = [], [], 0
+
+    def shard() -> pa.RecordBatch:
+        hits, found = shard_matches(held, block) if block else ([np.zeros(0, np.int64)] * len(held), [{} for _ in held])
+        return result(pa.Table.from_batches(rows).combine_chunks().to_batches()[0], held, hits, found)
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            rows.append(part)
+            for text in part.column(text_at):
+                held.append(words_of(text.as_py()))
+                size += len(held[-1])
+            if size >= SHARD_WORDS or len(held) >= 50_000:
+                yield shard()
+                rows, held, size = [], [], 0
+    if held:
+        yield shard()
+
+
+def _search_block(docs: DataFrame, block: TestBlock | None, keys: str) -> DataFrame:
+    """The columns keys of docs (all but the last, text), with n_words, hits and matches."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    at = len(docs.columns) - 1
+
+    def result(rows: pa.RecordBatch, words: list, hits: list, found: list) -> pa.RecordBatch:
+        items = shared.value.items if shared.value else []
+        merged: list[dict] = []
+        for own in found:  # items of one id count once
+            best: dict = {}
+            for k, m in own.items():
+                if m[1] > best.get(items[k], (0, 0))[1]:
+                    best[items[k]] = m
+            merged.append(best)
+        matches = [[{"item_id": i, "first_word": m[i][0], "n_words": m[i][1]} for i in sorted(m)] for m in merged]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()),
-                pa.array([len(w) for w in docs], pa.int64()),
-                pa.array([len(h) for h in hit], pa.int64()),
-                pa.array([sorted(m) for m in items], pa.list_(pa.string())),
-                pa.array(rows, pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))),
+                *rows.columns[:at],
+                pa.array([len(w) for w in words], pa.int64()),
+                pa.array([h.tolist() for h in hits], pa.list_(pa.int64())),
+                pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))),
             ],
-            names=["doc_id", "n_words", "n_hit", "items", "matches"],
+            names=[*rows.schema.names[:at], "n_words", "hits", "matches"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                ids.append(doc_id.as_py())
-                held.append(words)
-                size += len(words)
-                if size >= SHARD_WORDS or len(held) >= 50_000:
-                    yield shard(ids, held)
-                    ids, held, size = [], [], 0
-        if held:
-            yield shard(ids, held)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark window, with all columns."""
-    hit = materialise(find_matches(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_hit_doc_id")).distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_doc_id"]), "left_anti")
+    return docs.mapInArrow(lambda batches: _searched(batches, at, shared.value, result), f"{keys}, {PART}")
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row of docs: its words, words inside benchmark windows, sorted item ids, longest matches found."""
+    blocks = blocks_of(benchmark.select("item_id", "text").toLocalIterator(), window)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        whole = _search_block(docs.select(F.col("doc_id").cast("long"), "text"), first, "doc_id bigint")
+    else:  # block by block: each is searched, written and let go before the next
+        rows = materialise(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text"), "rows")
+        parts = [materialise(_search_block(rows, b, "doc_id bigint, row bigint").where("size(hits) > 0"), "block") for b in chain((first, second), blocks)]
+        hit = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("matches")).alias("all"))
+        of = lambda i: F.array_max(F.transform(F.filter("all", lambda m: m["item_id"] == i), lambda m: F.struct(m["n_words"], m["first_word"])))
+        best = F.transform(F.array_sort(F.array_distinct(F.transform("all", lambda m: m["item_id"]))), lambda i: F.struct(i.alias("item_id"), of(i)["first_word"].alias("first_word"), of(i)["n_words"].alias("n_words")))
+        counted = _search_block(rows, None, "doc_id bigint, row bigint").select("doc_id", "row", "n_words")
+        none = F.array().cast(MATCHES)
+        whole = counted.join(hit.select("row", "hits", best.alias("matches")), "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"), F.coalesce("matches", none).alias("matches"))
+    return whole.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.transform("matches", lambda m: m["item_id"]).alias("items"), "matches")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that hold no benchmark window, with all columns. Every row is judged by its own text, whatever its id,
+    in the task that reads it; each block of the benchmark is one such pass."""
+    at = docs.columns.index("text")
+    out = docs
+
+    def result(rows: pa.RecordBatch, words: list, hits: list, found: list) -> pa.RecordBatch:
+        return rows.filter(pa.array([not len(h) for h in hits], pa.bool_()))
+
+    blocks = blocks_of(benchmark.select("item_id", "text").toLocalIterator(), window)
+    for k, block in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = materialise(out, "clean") if k else out
+        out = out.mapInArrow(lambda batches, shared=shared: _searched(batches, at, shared.value, result), docs.schema)
+    return out
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
