@@ -17,11 +17,14 @@ A document is its set of distinct k-word shingles (64-bit hashes); two link when
    bucket's others in blocks of at most BLOCK x BLOCK documents (products of 0/1 matrices), which return links between
    components, not pairs. So no link that joins two components is lost, and no group's pairs are listed.
 
-Documents are identified by a 64-bit hash of their word sequence: equal sequences are one node.
+Documents are identified by a 64-bit hash of their word sequence: equal sequences are one node. A second 64-bit hash goes with
+it; where sequences of one hash differ in the other, they are renamed by both, so 128 bits tell documents apart.
 
 Defined results: null, empty or wordless texts have no shingles and are their own component. The component's id is
 its smallest doc_id (null ids count only if there is no other). Repeated rows are reported as often as they come. An
-empty table gives no rows. Extra columns are ignored, and kept by one_of_each().
+empty table gives no rows. Extra columns are ignored, and kept by one_of_each(). It keeps, of each component, the row with
+the smallest doc_id (null ids last; of equal ids the one with the smaller node; of equal rows the least by their other
+columns), and every row without words.
 """
 
 from __future__ import annotations
@@ -34,14 +37,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from cinderlake.llm.common import materialise, table
+from cinderlake.llm.common import Filter, fresh, materialise, one_row, table
 from cinderlake.operators.graph import components
 
 RARE = 16
 BLOCK = 512
-#: Slots of the broadcast filter of documents that go on: 1 bit each, 512 KB; more documents only make it pass more.
-SLOTS = 1 << 22
 CACHE = 400_000
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -51,16 +53,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Shingler:
-    """Distinct shingles of a text in UTF-8, and the hash of its word sequence."""
+    """Distinct shingles of a text in UTF-8, and two hashes of its word sequence."""
 
     def __init__(self, k: int):
         self.k, self.cache = k, {}
 
-    def __call__(self, text: bytes | None) -> tuple[int | None, np.ndarray]:
+    def __call__(self, text: bytes | None) -> tuple[int | None, int | None, np.ndarray]:
         words = (text or b"").lower().split()
         if not words:
-            return None, np.zeros(0, np.uint64)
+            return None, None, np.zeros(0, np.uint64)
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
@@ -71,14 +77,18 @@ class Shingler:
                 x = cache[w] = xxhash.xxh3_64_intdigest(w)
             h.append(x)
         h = np.array(h, np.uint64)
-        node = xxhash.xxh3_64_intdigest(b" ".join(words))
         size = min(self.k, len(h))
         t = h[: len(h) - size + 1]
         for i in range(1, size):
             t = t * _A + h[i : len(h) - size + 1 + i]
         if size < self.k:
             t = t + np.uint64(size)
-        return node - (1 << 64) if node >> 63 else node, np.unique(_mixed(t))
+        return *self.hashes(words), np.unique(_mixed(t))
+
+    @staticmethod
+    def hashes(words: list[bytes]) -> tuple[int, int]:
+        both = xxhash.xxh3_128_intdigest(b" ".join(words))
+        return _signed(both >> 64), _signed(both & (1 << 64) - 1)
 
 
 def required(n, t: int):
@@ -149,7 +159,7 @@ def _some(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, k: int, t: int) -> DataFrame:
-    """doc_id, node, n and the shingles in the region of each row."""
+    """doc_id, node, check, n and the shingles in the region of each row."""
     share = min(1.0, 2 * (100 - t) / 100 + 0.05)
     below = np.uint64(min(share * 2.0**64, 2.0**64 - 2048))
 
@@ -157,32 +167,39 @@ def signatures(docs: DataFrame, k: int, t: int) -> DataFrame:
         shingles = Shingler(k)
         for batch in (x for b in batches for x in _some(b)):
             found = [shingles(x) for x in _texts(batch, 1)]
+            node, check, sets = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), _lists([s[s < below] for _, s in found])],
-                names=["doc_id", "node", "n", "region"],
+                [batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([s[s < below] for s in sets])],
+                names=["doc_id", "node", "check", "n", "region"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, node bigint, n bigint, region array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, node bigint, check bigint, n bigint, region array<bigint>")
 
 
-def _slots(nodes: DataFrame) -> np.ndarray:
-    found = nodes.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    bits = np.zeros(SLOTS, bool)
-    bits[found] = True
-    return np.packbits(bits)
-
-
-def _full(docs: DataFrame, slots: np.ndarray, k: int) -> DataFrame:
-    """node and all shingles of the documents that the filter passes."""
-    packed = docs.sparkSession.sparkContext.broadcast(slots)
+def _full(docs: DataFrame, going: Filter, k: int) -> DataFrame:
+    """node, check and all shingles of the documents that the filter passes."""
+    packed, buckets = docs.sparkSession.sparkContext.broadcast(going.collected()), going.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bits = Shingler(k), packed.value
+
+        def passes(node: int) -> bool:
+            row = (node & (buckets - 1)) * (Filter.BUCKET // 8)
+            return all(bits[row + (at >> 3)] >> (at & 7) & 1 for at in ((node >> (16 * j + 4)) & (Filter.BUCKET - 1) for j in range(1, Filter.PROBES + 1)))
+
         for batch in (x for b in batches for x in _some(b)):
-            found = [(x, s) for x, s in map(shingles, _texts(batch, 0)) if x is not None and bits[(x % SLOTS) >> 3] >> (7 - (x % SLOTS & 7)) & 1]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), _lists([s for _, s in found])], names=["node", "tokens"])
+            found = [x for x in map(shingles, _texts(batch, 0)) if x[0] is not None and passes(x[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.int64()), _lists([s for _, _, s in found])], names=["node", "check", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, check bigint, tokens array<bigint>")
+
 
-    return docs.select("text").mapInArrow(run, "node bigint, tokens array<bigint>")
+def _told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows with node and check, where nodes of several sequences are renamed by both hashes."""
+    if clashes is None:
+        return rows
+    marked = rows.join(clashes.withColumn("_several", F.lit(True)), "node", "left")
+    return marked.withColumn("node", F.when(F.col("_several"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("_several").select(*rows.columns)
 
 
 def _indexed(nodes: DataFrame, t: int) -> DataFrame:
@@ -250,15 +267,27 @@ def _rest_links(stars: DataFrame, labels: DataFrame, nodes: DataFrame, t: int) -
     return placed.groupBy("pivot", "i", "j").applyInPandas(lambda part: block_links(part, t), "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, k: int, t: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; t: per cent of the union that must be shared."""
-    signed = materialise(signatures(docs, k, t), "signatures")
+def _nodes(signed: DataFrame) -> DataFrame:
+    wordy = signed.where("node IS NOT NULL")
+    return materialise(wordy.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")), "nodes")
+
+
+def _components(docs: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Signatures of the rows; node, component_id, least_node of the nodes; nodes that were renamed."""
+    signed, clashes = materialise(signatures(docs, k, t), "signatures"), None
+    every = _nodes(signed)
+    if not (several := every.where("lo <> hi").select("node")).isEmpty():
+        clashes = materialise(several, "clashes")
+        signed = materialise(_told_apart(signed, clashes), "signatures")
+        every = _nodes(signed)
     by_token = signed.where("node IS NOT NULL").select("node", F.explode("region").alias("token")).groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     own = by_token.where("a = b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("own"))
-    every = materialise(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "nodes")
     need = F.col("n") - F.floor((F.lit(t) * F.col("n") + 99) / 100) + 1
     going = materialise(every.join(own, "node", "left").where(F.coalesce("own", F.lit(0)) < need).select("node"), "going")
-    full = materialise(_full(docs, _slots(going), k).groupBy("node").agg(F.first("tokens").alias("tokens")).join(going, "node", "left_semi"), "full")
+    # The filter knows documents by the hash of the text alone: renamed ones pass by the hash they had.
+    hashes = going if clashes is None else going.unionByName(clashes)
+    full = _told_apart(_full(docs, Filter(hashes, "node"), k), clashes)
+    full = materialise(full.groupBy("node").agg(F.first("tokens").alias("tokens")).join(going, "node", "left_semi"), "full")
     exploded = full.select("node", F.explode("tokens").alias("token"))
     common = materialise(exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     spread = exploded.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("pairs"))
@@ -274,20 +303,53 @@ def similar_groups(docs: DataFrame, k: int, t: int) -> DataFrame:
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
     joined = materialise(labels.join(every.select("node", "rep"), "node"), "placed")
-    least = materialise(joined.groupBy("label").agg(F.min("rep").alias("component")), "least")
-    component = materialise(joined.join(least, "label").select("node", "component"), "component")
-    final = materialise(every.join(component, "node", "left").select("node", F.coalesce("component", "rep").alias("component_id")), "final")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))  # null ids last
+    least = materialise(joined.groupBy("label").agg(first.alias("first")), "least")
+    component = materialise(joined.join(least, "label").select("node", F.col("first.rep").alias("component"), F.col("first.node").alias("first_node")), "component")
+    final = every.join(component, "node", "left").select("node", F.coalesce("component", "rep").alias("component_id"), F.coalesce("first_node", "node").alias("least_node"))
+    return signed, materialise(final, "final"), clashes
+
+
+def similar_groups(docs: DataFrame, k: int, t: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; t: per cent of the union that must be shared."""
+    signed, final, _ = _components(docs, k, t)
     out = signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(final, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_nodes(docs: DataFrame, node: str, check: str) -> DataFrame:
+    """docs with two columns more, the hashes of each row's word sequence."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in _some(b)):
+            words = [(x or b"").lower().split() for x in _texts(batch, at)]
+            both = [Shingler.hashes(w) if w else (None, None) for w in words]
+            hashes = [pa.array([x[i] for x in both], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *hashes], names=[*batch.schema.names, node, check])
+
+    schema = StructType([*docs.schema.fields, StructField(node, LongType()), StructField(check, LongType())])
+    return docs.mapInArrow(run, schema)
+
+
 def one_of_each(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
-    """The rows of docs that have the smallest id of their group of similar documents, with all columns."""
-    groups = materialise(similar_groups(docs, k, t), "groups")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_doc_id")).agg(F.count("*").alias("_kept_rows"))
-    kept = materialise(kept, "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_doc_id"]), "left_semi")
-    return out if kept.where("_kept_rows > 1 AND _kept_doc_id IS NOT NULL").isEmpty() else out.dropDuplicates(["doc_id"])
+    """One row of each group of similar documents and all rows without words, with all columns."""
+    signed, final, clashes = _components(docs, k, t)
+    kept = signed.join(final.where("node = least_node"), "node").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialise(kept.groupBy("node", "check").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "kept")
+    if clashes is not None:  # back to the hash of the text alone, which docs is marked by
+        hashes = materialise(signatures(docs, k, t).select("node", "check"), "hashes").distinct()
+        kept = _told_apart(hashes.withColumn("plain", F.col("node")), clashes).join(kept, ["node", "check"]).select(F.col("plain").alias("node"), "check", "id", "rows")
+    node, check, id_, hit = (fresh(docs, c) for c in ("_kept_node", "_kept_check", "_kept_id", "_kept_hit"))
+    marked = _with_nodes(docs, node, check)
+    found = kept.select(F.col("node").alias(f"{node}_"), F.col("check").alias(f"{check}_"), F.col("id").alias(id_), F.lit(True).alias(hit))
+    # Rows without words find nothing (their check is null) and are dealt out by id.
+    same = (F.coalesce(F.col(node), F.xxhash64("doc_id")) == F.col(f"{node}_")) & (F.col(check) == F.col(f"{check}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+    out = marked.join(found, same, "left").where(F.col(hit) | F.col(node).isNull()).drop(f"{node}_", f"{check}_", id_, hit)
+    if not kept.where("rows > 1").isEmpty():
+        out = materialise(out, "repeated")
+        out = one_row(out.where(F.col(node).isNotNull()), ["doc_id", node, check]).unionByName(out.where(F.col(node).isNull()))
+    return out.drop(node, check)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
