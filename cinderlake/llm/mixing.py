@@ -118,11 +118,11 @@ def select_mixture(docs: DataFrame, weights=WEIGHTS, total: float | None = None,
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that the mixture uses, once for each epoch, with a column mix_epoch."""
-    docs = docs.drop("mix_epoch")
+    """The rows of docs that the mixture uses, once for each epoch, with a column mix_epoch (_mix_epoch where docs has one)."""
+    epoch = fresh(docs, "mix_epoch")
     names = [fresh(docs, n) for n in ("_mix_id", *(f"_mix_{c}" for c in LEAF))]
     chosen = select_mixture(docs, **parameters)
-    chosen = chosen.select(*[F.col(c).alias(n) for c, n in zip(["doc_id", *LEAF], names, strict=True)], F.col("epoch").alias("mix_epoch"))
+    chosen = chosen.select(*[F.col(c).alias(n) for c, n in zip(["doc_id", *LEAF], names, strict=True)], F.col("epoch").alias(epoch))
     same = docs["doc_id"].eqNullSafe(chosen[names[0]])
     for name, own in zip(names[1:], leaf_columns(docs), strict=True):
         same = same & (own == chosen[name])
