@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cinderlake.llm.common import table
 
 BEGIN, SEP, END = "<|begin|>", "<|sep|>", "<|end|>"
+CHUNK = 64
 #: First character, backslashes, rest of a control string.
 CONTROL = r"(<|\[)(\\*)(\||/?s>|/?INST\])"
 ESCAPED = r"(<|\[)\\(\\*)(\||/?s>|/?INST\])"
@@ -51,15 +52,27 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     text = F.concat(F.lit(BEGIN), F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
     sizes = F.transform("pieces", lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), F.length(p["tail"]).alias("tail"), p["loss"].alias("loss")))
 
+    # Starts are running sums. CHUNK pieces at a time, so that no array grows by one element for each turn of a long conversation.
+    total = lambda p: (p["head"] + p["body"] + p["tail"]).cast("long")
+    spans_type = "array<struct<start:bigint,length:bigint>>"
+    zero = F.lit(0).cast("long")
+    chunked = pieces.select("conv_id", text.alias("formatted"), F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int")), lambda c: F.slice(sizes, c * CHUNK + 1, CHUNK)).alias("chunks"))
+    lengths = F.transform("chunks", lambda c: F.aggregate(c, zero, lambda acc, p: acc + total(p)))
+    starts = F.aggregate(
+        lengths,
+        F.struct(F.lit(len(BEGIN) + 1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")),
+        lambda acc: acc["all"],
+    )
+
     def step(acc: Column, p: Column) -> Column:
-        span = F.array(F.struct((acc["at"] + p["head"]).alias("start"), p["body"].cast("long").alias("length")))
-        return F.struct(
-            (acc["at"] + p["head"] + p["body"] + p["tail"]).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+        span = F.struct((acc["at"] + p["head"]).alias("start"), p["body"].cast("long").alias("length"))
+        return F.struct((acc["at"] + total(p)).alias("at"), F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def spans(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(spans_type).alias("spans")), step, lambda acc: acc["spans"])
 
-    start = F.struct(F.lit(len(BEGIN) + 1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    return pieces.select("conv_id", text.alias("formatted"), F.aggregate(sizes, start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    return chunked.select("conv_id", "formatted", F.flatten(F.zip_with("chunks", starts, spans)).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, lm_score, mixing, token_counts, toxicity
+from cinderlake.llm.common import Filter
 
 WORDS = [f"w{i}" for i in range(60)]
 LONG = " ".join(random.Random(4).choices(WORDS, k=30_000))
@@ -50,6 +51,15 @@ def test_exact_groups(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_filter_passes_all_its_keys(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    held = Filter(keys, "k")
+    assert held.passing(keys, "k").count() == 5000
+    others = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("k"), F.lit(1).alias("_bucket"))
+    assert held.passing(others, "k").count() < 0.1 * 20_000 and held.passing(others, "k").columns == ["k", "_bucket"]
+    assert Filter(keys.limit(0), "k").passing(others, "k").count() == 0
+
+
 def test_exact_groups_tell_texts_of_one_digest_apart(docs):
     weak = lambda norm: F.substring(exact_dedup.text_digest(norm), 1, 1).bitwiseAND(F.lit(1)) if False else F.unhex(F.lpad(F.hex(F.length(norm) % 3), 2, "0"))
     key = lambda df: Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
@@ -151,6 +161,35 @@ def test_one_of_each(docs, none):
     assert jaccard_join.one_of_each(none).count() == 0 and jaccard_join.similar_groups(none, 3, 90).count() == 0
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    unique = [" ".join(f"u{j}x{i}" for i in range(12)) for j in range(5)]
+    copy = " ".join(f"c{i}" for i in range(40))
+    near = copy.replace("c39", "d39")
+    rows = [(1, copy), (5, near), (5, unique[0]), (5, unique[1]), (None, unique[2]), (None, unique[3]), (None, copy), (7, unique[4]), (7, unique[4]), (8, ""), (8, None), (None, " ")]
+    df = frame(spark, [(i, x, "en", "s") for i, x in rows]).withColumn("text_no", F.monotonically_increasing_id())
+    out = jaccard_join.one_of_each(df)
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == df.columns and got == Counter(dict.fromkeys([(1, copy), (5, unique[0]), (5, unique[1]), (None, unique[2]), (None, unique[3]), (7, unique[4]), (8, ""), (8, None), (None, " ")], 1))
+    alone = frame(spark, [(None, copy, "en", "s"), (None, near, "en", "s"), (None, near, "en", "s")])
+    assert jaccard_join.one_of_each(alone).count() == 1
+
+
+def test_sequences_of_one_hash_are_told_apart(spark, monkeypatch):
+    class Weak(jaccard_join.Shingler):  # the first hash of every sequence is one of three
+        @staticmethod
+        def hashes(words):
+            node, check = jaccard_join.Shingler.hashes(words)
+            return node % 3, check
+
+    rows = list(enumerate([*near_copies(1, 20, 60, 5), *near_copies(2, 10, 20, 3), "a b", "a c", ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "Shingler", Weak)
+    got = jaccard_join.similar_groups(df, 3, 90)
+    want = brute_groups(rows, 3, 90)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(df, 3, 90).collect()} == {c for _, _, c in want}
+
+
 # decontamination
 @pytest.fixture(scope="module")
 def benchmark(spark):
@@ -191,6 +230,25 @@ def test_clean_documents(docs, none, benchmark, spark):
     assert decontaminate.find_matches(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_clean_documents_judges_each_row(spark, benchmark, monkeypatch):
+    rows = [(None, f"x {' '.join(WORDS[:10])}"), (None, "clean one"), (3, f"{' '.join(WORDS[2:12])} y"), (3, "clean two"), (3, "clean two"), (4, None), (4, "1234")]
+    for block in (1 << 21, 3):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        out = decontaminate.clean_documents(frame(spark, [(i, x, "en", "s") for i, x in rows]), benchmark)
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(None, "clean one"), (3, "clean two"), (3, "clean two"), (4, None)])
+
+
+def test_long_verbatim_matches_take_time_in_proportion():
+    draw = random.Random(2)
+    words = [f"v{draw.randrange(10**6)}".encode() for _ in range(60_000)]
+    block = decontaminate.TestBlock([("a", words), ("b", words[100:140])], 10)
+    hits, found = decontaminate.shard_matches([[b"x", *words, b"y"], words[110:130], [b"ha"] * 9], block)
+    assert [len(h) for h in hits] == [60_000, 20, 0] and found == [{0: (1, 60_000), 1: (101, 40)}, {0: (0, 20), 1: (0, 20)}, {}]
+    same = decontaminate.TestBlock([("a", [b"ha"] * 300)], 10)
+    hits, found = decontaminate.shard_matches([[b"ha"] * 20_000], same)
+    assert len(hits[0]) == 20_000 and found[0][0][1] == 300
+
+
 # mixing
 def test_shortage_goes_to_siblings_first(spark):
     rows = [(i, "x " * n, lang, s) for i, (n, lang, s) in enumerate([(10, "en", "src0"), (500, "en", "src4"), (500, "fr", "src0"), (500, "en", "src1")])]
@@ -217,6 +275,8 @@ def test_mix_edges(docs, none):
     out = mixing.mix(docs)
     assert out.columns == [*docs.columns, "mix_epoch"]
     assert mixing.mix(none).count() == 0
+    own = mixing.mix(docs.withColumn("mix_epoch", F.lit("mine")))
+    assert own.columns == [*docs.columns, "mix_epoch", "_mix_epoch"] and {r["mix_epoch"] for r in own.collect()} == {"mine"}
     assert {r["doc_id"] for r in out.collect()} <= {0, 1, 2, 3, 4, 5, None, 7, 8}
 
 
@@ -237,6 +297,13 @@ def test_round_trip(spark, conversations):
         assert got[k]["formatted"].count(chat.END) == merged
 
 
+def test_spans_of_a_long_conversation(spark):
+    rows = [(1, k, "user" if k % 3 == 0 else "assistant", f"t{k}") for k in range(1000)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = out.select(F.size("loss_spans").alias("n"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert got["n"] == 666 and got["loss"] == "".join(f"t{k}" for k in range(1000) if k % 3)
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, None, None), (1, 0, None, None), (None, 3, "user", "x"), (2, None, "assistant", "y"), (2, 1, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pieces", F.lit(1))
