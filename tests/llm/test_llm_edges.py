@@ -433,3 +433,53 @@ def test_parts_that_are_no_main_text():
     assert html_text.main_text("") == "" and html_text.main_text("<p>a<div>b") == "a\nb"
     assert html_text.main_text('<div class="header">Top</div><div data-id="nav" width=3>in</div><div hidden>no</div><div aria-hidden="true">no</div>') == "in"
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_templates_alone_find_the_main_text(spark):
+    """No article, no telling tag or name, and no text of the menus recurs: only their skeletons do."""
+    draw = random.Random(3)
+    some = lambda n: " ".join(draw.choices(WORDS, k=n))
+    rows, want = [], {}
+    for i in range(12):
+        parts = [some(30) for _ in range(draw.randrange(2, 5))]
+        top = "".join(f'<div><a href="/{k}">{some(2)}</a></div>' for k in range(draw.randrange(3, 7)))
+        rows.append((i, f"https://a.org/{i}", page(f"<div>{top}</div><span>Share this</span><div>{some(6)}</div><div>{''.join(f'<p>{x}</p>' for x in parts)}</div><div><i>{some(4)}</i></div>")))
+        want[i] = "\n".join(parts)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == want
+    assert all(len(html_text.main_text(h)) > len(want[i]) for i, _, h in rows)
+
+
+def test_both_ways_to_the_templates_agree(spark, data, monkeypatch):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    key = lambda df: Counter(map(tuple, df.collect()))
+    near = key(html_text.extract(pages, 2))
+    monkeypatch.setattr(html_text, "BROADCAST", 0)
+    assert key(html_text.extract(pages, 2)) == near
+
+
+def test_driver_pages_have_templates(spark, data):
+    rows = spark.read.parquet(f"{data}/pages.parquet").select(F.xxhash64("url").alias("row_a"), F.xxhash64("html").alias("row_b"), F.xxhash64(html_text.host_of(F.col("url"))).alias("host"), "html")
+    assert html_text.templates(rows, 2)[0].count() > 0
+
+
+def test_broken_markup():
+    read = html_text.main_text
+    assert read("<p title=it's>hello</p><p>there's more</p>") == "hello\nthere's more"
+    assert read("<p title='a>b' id=x/y>hello") == "hello" and read('<p title="open>hello</p><p>next</p>') == "hello\nnext"
+    assert read("<div>" * 1000 + "<nav>MENU</nav>text") == "text"
+    assert read('<article><div class="social-science">a</div><table class="table-legal"><tr><td>b</table><div class="share-buttons">c</div><div class="comments">d</div></article>') == "a\nb"
+    assert read("<article><p>teaser</p></article><div><p>A text that is much longer than the teaser above it.</p></div>") == "teaser\nA text that is much longer than the teaser above it."
+    assert read("<main><article><p>long enough text</p></article><p>x</p></main>y") == "long enough text"
+    assert read("a<!-- open") == "a" and read("a<!-->b<!x>c<?php?>d") == "abcd" and read("1 < 2 <3") == "1 < 2 <3"
+    assert read("<script>x</script >a<style>") == "a" and read("<b") == ""
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for text in ('<a href="', "<p><li><b>", "<b><p>", "</x><y>", "<!--", "<script", "<a href='x' =", "<div><div", "<p title= "):
+        began = time.process_time()
+        nodes = html_text.parse(text * 40_000)
+        html_text.measure(nodes)
+        assert time.process_time() - began < 10, text
