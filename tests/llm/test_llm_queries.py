@@ -29,7 +29,7 @@ def test_guarded_registry(spark):
 def test_op2_base_score_counts_and_model(spark, data):
     got = {r["doc_id"]: r for r in registry.queries()["op2_lm_score"](spark, data).collect()}
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
-    tokens = {i: [*t.encode().lower().split(), b"\x00"] for i, t in docs}
+    tokens = {i: [*t.encode().lower().split(), "end"] for i, t in docs}
     held = {i: crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
     c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
@@ -44,6 +44,22 @@ def test_op2_base_score_counts_and_model(spark, data):
     assert sum(r["score"] for i, r in got.items() if held[i]) > 0.5 * even  # far better than even bits
 
 
+def test_op2_sees_the_order_of_words(spark, data):
+    import random
+
+    from cinderlake.llm import lm_score
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    counted, model = lm_score.train(docs)
+    draw, rows = random.Random(5), []
+    for r in docs.where("n_chars > 200").limit(60).collect():
+        words = r["text"].split()[:200]
+        rows += [(r["doc_id"], " ".join(words)), (-1 - r["doc_id"], " ".join(draw.sample(words, len(words))))]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), counted, model).collect()}
+    worse = [got[i] > got[-1 - i] for i in got if i >= 0]
+    assert sum(worse) >= 0.9 * len(worse)
+
+
 def test_op5_held_out_accuracy(spark, data):
     rows = registry.queries()["op5_language_id"](spark, data).collect()
     lang = {r["doc_id"]: (r["lang"], r["n_chars"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
