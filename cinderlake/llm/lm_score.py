@@ -1,9 +1,9 @@
 """Operator 2, LM scoring: logistic context mixing over the bits of a text.
 
 A text is cut into segments, each a run of white space and the token after it; the last is the white space left and an
-end. Joined, they are the text. An item is a segment with the last CARRY bytes of the text before it. The bits of a segment's
-bytes are predicted by hashed contexts: the last 1, 2, 3 and 5 bytes (which reach over the white space into the token before),
-the segment so far, and the segment so far with the bytes carried. The end of a token is coded too, as a mark (a byte that
+end. Joined, they are the text. An item is a segment behind the kind of byte that the text before it ends with (a sentence's
+end, a comma, a vowel, ...). The bits of a segment's bytes are predicted by hashed contexts: the last 1, 2 and 4 bytes (which
+reach over the white space to that kind), the segment so far, and the segment so far with the kind. The end of a token is coded too, as a mark (a byte that
 UTF-8 never has), so no segment is the beginning of another and probabilities over texts add up to 1 at most. A segment's
 probability depends on its item alone, so each distinct item is worked out once per task, whatever its count.
 
@@ -45,20 +45,23 @@ from pyspark.sql import functions as F
 
 from cinderlake.llm.common import crc_mod, materialise, table
 
-CARRY = 2
-ORDERS = (1, 2, 3, 5, 0, -1)  # 0: the segment so far, -1: and the bytes carried
-MOST_LINES = (13, 15, 17, 17, 18, 18)  # base-2 logarithms
+CARRY = 1
+ORDERS = (1, 2, 4, 0, -1)  # 0: the segment so far, -1: and the kind carried
+MOST_LINES = (13, 15, 17, 17, 17)  # base-2 logarithms
 BLOCK = 4096
 FREQUENT = 200_000
 COUNTER_KEYS, PARTS = 700_000, 512
-CHUNK_BYTES = 12_000
-HELD = 250_000
+CHUNK_BYTES = 24_000
+HELD = 350_000
 RATE, PRIOR, BUCKETS, LIMIT = 0.02, 0.2, 33, 8.0
 SHARE = 0.5
 END, END_TOKEN = b"\x00", b"\xff\xff"
 GATES = (len(ORDERS) + 1) * 8
 MARK, SPACES = b"\xff", b" \t\n\x0b\x0c\r"
-START = MARK * CARRY
+#: Of each last byte, what is carried on: a sentence's end (or the text's start), a comma or the like, a or o, a letter beyond
+#: ASCII, another.
+_KINDS = [b"." if c in b".!?\xff" else b"," if c in b",;:" else b"a" if c in b"ao" else b"\xc3" if c >= 0x80 else b"x" for c in range(256)]
+START = _KINDS[0xFF]
 _SEGMENT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Where a token starts with the byte that stands for an end, a mark tells it from one.
 _LIKE_END = re.compile(rb"(?<![^\t-\r ])\x00")
@@ -86,11 +89,9 @@ def segments(raw: bytes) -> list[bytes]:
 
 
 def items_of(raw: bytes) -> list[bytes]:
-    """The segments, each behind the last bytes of the text before it."""
+    """The segments, each behind the kind of the byte before it."""
     found = segments(raw)
-    tails = [x[-CARRY:] for x in found]
-    tails[0] = (START + found[0])[-CARRY:]
-    return [START + found[0], *map(bytes.__add__, tails, islice(found, 1, None))]
+    return [_KINDS[before[-1]] + x for before, x in zip((MARK, *found), found)]  # noqa: B905
 
 
 def coded(item: bytes) -> bytes:
@@ -122,7 +123,7 @@ def form_of(item: bytes) -> int:
         capital = 1
     else:
         return -1
-    return (6 if item[CARRY - 1 : CARRY] in (b".", b"!", b"?", MARK) else 0) + kind * 2 + capital
+    return (6 if item[:CARRY] == START else 0) + kind * 2 + capital
 
 
 def chunks(items: list[bytes]) -> Iterator[tuple[int, int]]:
