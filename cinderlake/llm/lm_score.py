@@ -3,7 +3,7 @@
 A text is cut into segments, each a run of white space and the token after it; the last is the white space left and an
 end. Joined, they are the text. An item is a segment behind the kind of byte that the text before it ends with (a sentence's
 end, a comma, a vowel, ...). The bits of a segment's bytes are predicted by hashed contexts: the last 1, 2 and 4 bytes (which
-reach over the white space to that kind), the segment so far, and the segment so far with the kind. The end of a token is coded too, as a mark (a byte that
+reach over the white space to that kind), and the segment so far. The end of a token is coded too, as a mark (a byte that
 UTF-8 never has), so no segment is the beginning of another and probabilities over texts add up to 1 at most. A segment's
 probability depends on its item alone, so each distinct item is worked out once per task, whatever its count.
 
@@ -46,8 +46,8 @@ from pyspark.sql import functions as F
 from cinderlake.llm.common import crc_mod, materialise, table
 
 CARRY = 1
-ORDERS = (1, 2, 4, 0, -1)  # 0: the segment so far, -1: and the kind carried
-MOST_LINES = (13, 15, 17, 17, 17)  # base-2 logarithms
+ORDERS = (1, 2, 4, 0)  # 0: the segment so far
+MOST_LINES = (13, 15, 17, 17)  # base-2 logarithms
 BLOCK = 4096
 FREQUENT = 200_000
 COUNTER_KEYS, PARTS = 700_000, 512
@@ -70,6 +70,7 @@ _LAST = re.compile(rb"[\t-\r ]*\x00")
 _NIBBLE = np.stack([np.arange(256) >> 4, np.arange(256) & 15], 1)
 #: Of each byte: its bits and their places in a line, by half and bit.
 BITS = ((_NIBBLE[:, :, None] >> (3 - np.arange(4))) & 1).astype(np.uint8)
+_ZEROS = (1 - BITS).astype(np.float32)
 _PLACE = ((1 << np.arange(4)) | (_NIBBLE[:, :, None] >> (4 - np.arange(4)))).astype(np.int64)
 _HALF = ((np.arange(16, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B))[np.arange(256) >> 4]
 _POWERS = np.ones(1 << 12, np.uint64)
@@ -156,10 +157,9 @@ def lines(items: list[bytes], bits: tuple[int, ...]) -> tuple[np.ndarray, list[n
     before = np.concatenate([[np.uint64(0)], sums])
     here, far = before[charged], place[charged].astype(np.uint64)
     counts = sizes - CARRY
-    for order, first in ((0, starts + CARRY), (-1, starts)):
-        prefix = here - np.repeat(before[first], counts)
-        prefix = (prefix ^ (prefix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + far
-        found[order] = (prefix >> np.uint64(32)).astype(np.uint32)
+    prefix = here - np.repeat(before[starts + CARRY], counts)
+    prefix = (prefix ^ (prefix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + far
+    found[0] = (prefix >> np.uint64(32)).astype(np.uint32)
     b = b[charged]
     places, half, out = _PLACE[b], _HALF[b], []
     for order, size in zip(ORDERS, bits, strict=True):
@@ -244,7 +244,7 @@ class Model:
             gate = self.mixer.gates(inputs)
             mixed = self.mixer.mix(inputs, gate)
             p = (np.float32(1) / (np.float32(1) + np.exp(-mixed)) + self.refined.take(self.mixer.bucket(gate, mixed))) * np.float32(0.5)
-            p = np.clip(np.abs(p - (1 - BITS[b]).astype(np.float32)), np.float32(1e-6), np.float32(1 - 1e-6))
+            p = np.clip(np.abs(p - _ZEROS[b]), np.float32(1e-6), np.float32(1 - 1e-6))
             out.append(np.add.reduceat(np.log(p).sum((1, 2), dtype=np.float64), starts) / math.log(10))
         return np.concatenate(out) if out else np.zeros(0)
 
