@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,20 @@ def discs(radius: float) -> tuple:
 
 
 def geodesic_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance on a sphere of 6371.0088 km (up to 0.6 % from the ellipsoid)."""
+    """Distance on the WGS-84 ellipsoid by the Andoyer-Lambert formula: reduced latitudes on a sphere, corrected to first
+    order in the flattening (some metres in 1,000 km; antipodal points are out of its range)."""
+    radius, flat = 6378.137, 1 / 298.257223563
+    b1, b2 = (F.atan((1 - flat) * F.tan(F.radians(lat))) for lat in (lat1, lat2))
+    h = F.sin((b2 - b1) / 2) ** 2 + F.cos(b1) * F.cos(b2) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
+    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (s - F.sin(s)) * (F.sin(p) * F.cos(q)) ** 2 / F.cos(s / 2) ** 2
+    y = (s + F.sin(s)) * (F.cos(p) * F.sin(q)) ** 2 / F.sin(s / 2) ** 2
+    return F.when(s == 0, 0.0).otherwise(radius * (s - flat / 2 * (x + y)))
+
+
+def sphere_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Great-circle distance on a sphere of 6371.0088 km (up to 0.6 % from the ellipsoid)."""
     a = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
     return 2 * 6371.0088 * F.asin(F.sqrt(a))
 
@@ -71,7 +86,7 @@ def neighbour_mean(values: DataFrame, edges: DataFrame, value: str) -> DataFrame
     return symmetric(edges).join(values.select(F.col("id").alias("dst"), value), "dst").groupBy(F.col("src").alias("id")).agg(F.avg(value).alias(f"{value}_near"))
 
 
-def neighbour_fill(values: DataFrame, edges: DataFrame, value: str, max_rounds: int = 100) -> DataFrame:
+def neighbour_fill(values: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """Missing values become their neighbours' mean, again and again until none changes.
 
     All cells of a round see the values before it, so the result does not depend on row order. Cells that no value can
@@ -80,9 +95,7 @@ def neighbour_fill(values: DataFrame, edges: DataFrame, value: str, max_rounds:
     edges = materialise(edges, "fill-edges")
     out = materialise(values.select("id", F.col(value).cast("double").alias(value)), "fill")
     missing = out.where(F.col(value).isNull()).count()
-    for _ in range(max_rounds):
-        if not missing:
-            break
+    while missing:  # every round but the last fills some
         near = neighbour_mean(out, edges, value)
         out = materialise(out.join(near, "id", "left").select("id", F.coalesce(value, f"{value}_near").alias(value)), "fill")
         left = out.where(F.col(value).isNull()).count()
@@ -101,14 +114,58 @@ def low_count_impute(values: DataFrame, edges: DataFrame, count: str, columns: S
     return rich.select("id", count, *columns).withColumn("imputed", F.lit(0)).unionByName(poor.select("id", count, *columns, "imputed"))
 
 
-def merge_same_month(pixels: DataFrame, radius: float, keys: Sequence[str] = ("year", "month")) -> DataFrame:
+def _tile_labels(px: np.ndarray, row: np.ndarray, col: np.ndarray, offsets) -> np.ndarray:
+    """The least px of each pixel's component within one tile; pixels at one of the offsets are linked."""
+    by = np.argsort(px, kind="stable")
+    r, c = row[by] - row.min(), col[by] - col.min()
+    width = int(c.max()) + 1 + 2 * max(abs(k) for _, k in offsets)
+    code = r * width + c
+    at = np.argsort(code, kind="stable")
+    ordered = code[at]
+    pairs = []
+    for dr, dc in ((0, 0), *offsets):
+        want = code + dr * width + dc
+        i, z = np.searchsorted(ordered, want), np.searchsorted(ordered, want, side="right")
+        for k in range(int((z - i).max())):  # several rows of one pixel
+            here = np.flatnonzero(i + k < z)
+            pairs.append((here, at[i[here] + k]))
+    a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+    label = np.arange(len(px))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(px), np.int64)
+    out[by] = px[by][label]
+    return out
+
+
+def merge_same_month(pixels: DataFrame, radius: float, keys: Sequence[str] = ("year", "month"), tile: int = 256) -> DataFrame:
     """Pixels of one month within radius of each other belong to one fire; label is its smallest pixel number.
 
-    pixels: keys, px (unique within keys), row, col.
+    pixels: keys, px (unique within keys), row, col. Each tile of tile x tile pixels is labelled on its own; only pixels within
+    radius of a tile's border look for neighbours in other tiles, and only labels that meet there go to components.
     """
-    named = pixels.withColumn("node", F.concat_ws("/", *keys, F.lpad(F.col("px").cast("string"), 12, "0")))
-    links = neighbours(named, keys, discs(radius), "node").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return label_all(named, links, "node").withColumn("fire", F.element_at(F.split("label", "/"), -1).cast("long")).drop("node", "label")
+    offsets, reach = discs(radius), int(radius)
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        row, col = part["row"].to_numpy(), part["col"].to_numpy()
+        at = np.stack([row % tile, col % tile])
+        edge = ((at < reach) | (at >= tile - reach)).any(0)
+        return part.assign(local=_tile_labels(part["px"].to_numpy(np.int64), row, col, offsets), edge=edge).drop(columns=["_tr", "_tc"])
+
+    tiled = pixels.select(*keys, "px", "row", "col").withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
+    local = tiled.groupBy(*keys, "_tr", "_tc").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "px", "row", "col"]) + ", local bigint, edge boolean")
+    local = materialise(local.withColumn("_node", F.concat_ws("/", *keys, F.lpad(F.col("local").cast("string"), 12, "0"))), "tiles")
+    links = neighbours(local.where("edge"), keys, offsets, "_node").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    met = label_all(local, links, "_node")
+    return met.withColumn("fire", F.element_at(F.split("label", "/"), -1).cast("long")).select(*keys, "px", "row", "col", "fire")
 
 
 def merge_consecutive_months(pixels: DataFrame, radius: float, months: Sequence[int] = tuple(range(1, 13))) -> DataFrame:

@@ -75,30 +75,76 @@ def pair_combinations(spark, sf):
     return R.pairs_with_self(A.read(spark, sf, "nation"), "n_nationkey")
 
 
-_AREAS = "n AS (SELECT n_nationkey AS id, (n_nationkey * 7 % 40)::DOUBLE AS x0, (n_nationkey * 3 % 40)::DOUBLE AS y0, 3.5::DOUBLE + n_nationkey % 3 AS w FROM nation)"
+#: Diamonds: squares in u = x + y, v = x - y, so that SQL can compare them exactly.
+_AREAS = "n AS (SELECT n_nationkey AS id, (n_nationkey * 7 % 40)::DOUBLE AS x, (n_nationkey * 3 % 40)::DOUBLE AS y, x + y AS u, x - y AS v, 1.5::DOUBLE + n_nationkey % 3 * 3 AS r FROM nation)"
+_PAIRS = "p AS (SELECT a.id AS a, b.id AS b, greatest(abs(a.u - b.u), abs(a.v - b.v)) AS gap, a.r AS s, b.r AS t FROM n a JOIN n b ON a.id <> b.id)"
+
+
+def _diamond(x, y, r):
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    return F.array(corner(x - r, y), corner(x, y - r), corner(x + r, y), corner(x, y + r))
 
 
 def _areas(spark, sf):
     k = F.col("n_nationkey")
-    x0, y0, w = (k * 7 % 40).cast("double"), (k * 3 % 40).cast("double"), k % 3 + F.lit(3.5)
-    return A.read(spark, sf, "nation").select(k.cast("long").alias("id"), X.rectangle(x0, y0, x0 + w, y0 + w).alias("ring"))
+    return A.read(spark, sf, "nation").select(k.cast("long").alias("id"), _diamond((k * 7 % 40).cast("double"), (k * 3 % 40).cast("double"), k % 3 * 3 + F.lit(1.5)).alias("ring"))
+
+
+def _both(areas):
+    return areas.select(F.col("id").alias("a_id"), F.col("ring").alias("a_ring")), areas.select(F.col("id").alias("b_id"), F.col("ring").alias("b_ring"))
 
 
 @query("dissolve_overlaps", "id:l label:l", "", f"""
-WITH RECURSIVE {_AREAS}, l AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.w AND b.y0 <= a.y0 + a.w),
-reach(a, b) AS (SELECT id, id FROM n UNION SELECT reach.a, l.dst FROM reach JOIN l ON l.src = reach.b) SELECT a AS id, min(b) AS label FROM reach GROUP BY a""")
+WITH RECURSIVE {_AREAS}, {_PAIRS}, reach(a, b) AS (SELECT id, id FROM n UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b WHERE gap <= s + t) SELECT a AS id, min(b) AS label FROM reach GROUP BY a""")
 def dissolve_overlaps(spark, sf):
-    """Components of areas that meet."""
+    """Components of areas that meet."""
     n = _areas(spark, sf)
-    pairs = X.spatial_join(n.select(F.col("id").alias("a_id"), F.col("ring").alias("a_ring")), n.select(F.col("id").alias("b_id"), F.col("ring").alias("b_ring")), 4.0).where("a_id < b_id")
+    pairs = X.spatial_join(*_both(n), 4.0).where("a_id < b_id")
     return G.label_all(n.select("id"), pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "id")
 
 
-@query("format_grid", "id:l within:l clip_area:d pct_area:d lon:d lat:d", "grid", "SELECT id, CAST(row + 1 <= 6 AS INT) AS within, greatest(least(row + 1, 6.5) - row, 0) AS clip_area, 100 * greatest(least(row + 1, 6.5) - row, 0) AS pct_area, col + 0.5 AS lon, row + 0.5 AS lat FROM grid")
+@query("spatial_predicates", "a:l b:l touches:l within:l contains:l overlaps:l", "", f"""
+WITH {_AREAS}, {_PAIRS} SELECT a, b, CAST(gap = s + t AS INT) AS touches, CAST(gap <= t - s AS INT) AS within, CAST(gap <= s - t AS INT) AS contains, CAST(gap < s + t AND gap > abs(s - t) AS INT) AS overlaps FROM p WHERE gap <= s + t""")
+def spatial_predicates(spark, sf):
+    """How areas that intersect lie to each other."""
+    pairs = X.spatial_join(*_both(_areas(spark, sf)), 4.0).where("a_id <> b_id").withColumn("how", X.relation("a_ring", "b_ring"))
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[X.PREDICATES[p](F.col("how")).cast("int").alias(p) for p in ("touches", "within", "contains", "overlaps")])
+
+
+@query("within_join", "a:l b:l", "", f"WITH {_AREAS}, {_PAIRS} SELECT a, b FROM p WHERE gap <= t - s")
+def within_join(spark, sf):
+    """Areas and those that hold them."""
+    return X.spatial_join(*_both(_areas(spark, sf)), 4.0, "within").where("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+@query("polygon_border_flag", "id:l border:l", "", f"""
+WITH {_AREAS}, d AS (SELECT *, greatest(5 - x, 0, x - 35) + greatest(5 - y, 0, y - 35) AS away FROM n)
+SELECT id, CAST(away <= r AND NOT (x - r > 5 AND x + r < 35 AND y - r > 5 AND y + r < 35) AS INT) AS border FROM d""")
+def polygon_border_flag(spark, sf):
+    """Areas that meet the border of a region."""
+    region = spark.range(1).select("id", X.rectangle(F.lit(5), F.lit(5), F.lit(35), F.lit(35)).alias("ring"))
+    return X.border_flags(_areas(spark, sf), region, 4.0)
+
+
+@query("format_grid", "id:l within:l clip_area:d pct_area:d lon:d lat:d", "grid", "SELECT id, CAST(row + 1 <= 6 AS INT) AS within, least(row + 1, 6.5) - row AS clip_area, 100 * (least(row + 1, 6.5) - row) AS pct_area, col + 0.5 AS lon, row + 0.5 AS lat FROM grid WHERE row < 6.5")
 def format_grid(spark, sf):
-    """Cells within or cut by a border (here y = 6.5), with area share and centre."""
-    g = A.grid(spark, sf)
-    cells = g.select("id", "row", "col", X.rectangle(F.col("col"), F.col("row"), F.col("col") + 1, F.col("row") + 1).alias("ring"))
-    region = X.rectangle(F.lit(-10), F.lit(-10), F.lit(100), F.lit(6.5))
-    out = cells.withColumn("clip_area", X.clipped_area("ring", region)).withColumn("pct_area", 100 * F.col("clip_area") / X.ring_area("ring"))
-    return out.select("id", (F.col("row") + 1 <= 6).cast("int").alias("within"), "clip_area", "pct_area", (F.col("col") + 0.5).alias("lon"), (F.col("row") + 0.5).alias("lat"))
+    """Cells that meet a region (here y < 6.5), with area share and centre."""
+    cells = A.grid(spark, sf).select("id", X.rectangle(F.col("col"), F.col("row"), F.col("col") + 1, F.col("row") + 1).alias("ring"))
+    region = spark.range(1).select("id", X.rectangle(F.lit(-10), F.lit(-10), F.lit(100), F.lit(6.5)).alias("ring"))
+    return X.grid_cells(cells, region, 4.0)
+
+
+@query("size_by_cell_month", "id:l month:l n:l q50:d q99:d", "fires", "SELECT id, month, count(*) AS n, quantile_cont(units * 0.01::DOUBLE, 0.5) AS q50, quantile_cont(units * 0.01::DOUBLE, 0.99) AS q99 FROM fires WHERE units >= 3 GROUP BY ALL")
+def size_by_cell_month(spark, sf):
+    """Size quantiles of each cell and month. Equal sizes are counted first, so a cell's buffer holds sizes, not fires."""
+    f = A.fires(spark, sf).where("units >= 3").groupBy("id", "month", "units").agg(F.count("*").alias("n"))
+    q = F.percentile("units", F.array(F.lit(0.5), F.lit(0.99)), F.col("n"))
+    return f.groupBy("id", "month").agg(F.sum("n").alias("n"), q.alias("q")).select("id", "month", "n", (F.col("q")[0] * 0.01).alias("q50"), (F.col("q")[1] * 0.01).alias("q99"))
+
+
+@query("count_density", "id:l n:l density:d", "fires grid", "SELECT id, count(f.id) AS n, count(f.id) / any_value(pct_area) AS density FROM grid LEFT JOIN fires f USING (id) WHERE pct_area > 0 GROUP BY id")
+def count_density(spark, sf):
+    """Rows of each cell over its area; cells without rows have density 0."""
+    n = A.fires(spark, sf).groupBy("id").agg(F.count("*").alias("n"))
+    g = A.grid(spark, sf).where("pct_area > 0").select("id", "pct_area").join(n, "id", "left")
+    return g.select("id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("pct_area")).alias("density"))

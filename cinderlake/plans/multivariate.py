@@ -104,11 +104,23 @@ def bd_distance(spark, sf):
     return M.bd_distances(_points(spark, sf), "label", E)
 
 
-@query("mvee", "label:l volume:d")
+@query("mvee", "label:l n:l volume:d")
 def mvee(spark, sf):
     return M.volumes(_points(spark, sf), "label", E)
 
 
+@query("should_merge", "a:l b:l by_volume:l inside:d merge:l")
+def should_merge(spark, sf):
+    """M9: classes 0 and 1, 2 and 3, ..."""
+    out = M.merges(_points(spark, sf), "label", E, [(k, k + 1) for k in range(0, 10, 2)])
+    return out.withColumns({c: F.col(c).cast("int") for c in ("by_volume", "merge")})
+
+
+@query("broken_stick", "axis:l share:d", "", f"SELECT k AS axis, sum(1.0::DOUBLE / i) / {DIMS} AS share FROM (SELECT unnest(range(1, {DIMS + 1})) AS k), (SELECT unnest(range(1, {DIMS + 1})) AS i) WHERE i >= k GROUP BY k")
+def broken_stick(spark, sf):
+    return spark.createDataFrame(list(enumerate(M.broken_stick(DIMS), 1)), "axis int, share double")
+
+
 @query("silhouette", "id:l label:l silhouette:d", "", f"""
 WITH {_PTS}, d AS (SELECT a.id, a.label, b.label AS other, sum(sqrt({" + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(DIMS))})) AS s, count(*) AS n FROM pts a CROSS JOIN pts b GROUP BY ALL),
 m AS (SELECT id, label, max(CASE WHEN other = label THEN s / nullif(n - 1, 0) END) AS inn, min(CASE WHEN other <> label THEN s / n END) AS outt, max(CASE WHEN other = label THEN n END) AS own FROM d GROUP BY ALL)
@@ -150,7 +162,11 @@ def clip_fraction(spark, sf):
     return X.clip_fractions(cells, areas, 2.0)
 
 
-@query("areal_density", "id:l density:d")
+@query("areal_density", "id:l density:d", "grid", """
+WITH n AS (SELECT n_nationkey AS id, (n_nationkey * 7 % 10)::DOUBLE AS x0, (n_nationkey * 3 % 10)::DOUBLE + 0.25 AS y0, 1.5 + n_nationkey % 3 AS w, 0.5 + n_nationkey % 2 AS h FROM nation),
+c AS (SELECT c_nationkey AS area, avg(c_acctbal) AS density FROM customer GROUP BY 1),
+f AS (SELECT g.id AS cell, n.id AS area, (least(col + 1, x0 + w) - greatest(col, x0)) * (least(row + 1, y0 + h) - greatest(row, y0)) AS frac FROM grid g JOIN n ON least(col + 1, x0 + w) > greatest(col, x0) AND least(row + 1, y0 + h) > greatest(row, y0))
+SELECT cell AS id, sum(frac * density) AS density FROM f JOIN c USING (area) GROUP BY cell""")
 def areal_density(spark, sf):
     """A24 over clipped fractions: sum of fraction times density."""
     density = A.read(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("area")).agg(F.avg("c_acctbal").alias("density"))

@@ -23,8 +23,9 @@ def edge_list(spark, sf):
     return _edges(spark, sf)
 
 
-@query("distance_pairs", "src:l dst:l km:d", "grid", f"""WITH {_EDGES}, p AS (SELECT id, col * 0.5::DOUBLE - 60 AS lon, row * 0.5::DOUBLE - 20 AS lat FROM grid)
-SELECT src, dst, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS km FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst""")
+@query("distance_pairs", "src:l dst:l km:d", "grid", f"""WITH {_EDGES}, p AS (SELECT id, radians(col * 0.5::DOUBLE - 60) AS lon, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(row * 0.5::DOUBLE - 20))) AS b FROM grid),
+t AS (SELECT src, dst, (a.b + b.b) / 2 AS p, (b.b - a.b) / 2 AS q, 2 * asin(sqrt(pow(sin((b.b - a.b) / 2), 2) + cos(a.b) * cos(b.b) * pow(sin((b.lon - a.lon) / 2), 2))) AS s FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst)
+SELECT src, dst, 6378.137::DOUBLE * (s - 1 / 298.257223563::DOUBLE / 2 * ((s - sin(s)) * pow(sin(p) * cos(q), 2) / pow(cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(q), 2) / pow(sin(s / 2), 2))) AS km FROM t""")
 def distance_pairs(spark, sf):
     p = A.grid(spark, sf).select("id", (F.col("col") * 0.5 - 60).alias("lon"), (F.col("row") * 0.5 - 20).alias("lat"))
     at = lambda k: p.select(F.col("id").alias(k), F.col("lon").alias(f"{k}_lon"), F.col("lat").alias(f"{k}_lat"))

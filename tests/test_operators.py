@@ -204,3 +204,80 @@ def test_cell_filter_applies_every_rule(spark):
     df, grid = spark.createDataFrame([(i,) for i in range(5)], "id int"), spark.createDataFrame([(i, 20.0 * i) for i in range(5)], "id int, pct_area double")
     ids = lambda **k: sorted(r["id"] for r in T.cell_filter(df, grid, 50, **k).collect())
     assert ids() == [3, 4] and ids(include=[0]) == [0, 3, 4] and ids(exclude=[3]) == [4] and ids(include=[0, 1], exclude=[1, 4]) == [0, 3]
+
+
+def test_least_ellipsoids(spark):
+    from cinderlake.operators import multivariate as M
+
+    square = np.array([[0, 0], [0, 2], [2, 0], [2, 2], [1, 1], [0.5, 1]], float)
+    centre, matrix = M.ellipsoid(square)
+    assert centre == pytest.approx([1, 1], abs=1e-4) and matrix == pytest.approx(np.eye(2) / 2, abs=1e-4)
+    assert M.ellipsoid_volume(np.eye(2) / 2, 4) == pytest.approx(0.8**-4 * 2)
+    with pytest.raises(ValueError, match="plane"):
+        M.ellipsoid(np.array([[0, 0], [1, 1], [2, 2]], float))
+    draw = np.random.default_rng(3)
+    clouds = {k: draw.normal(k, 1 + k, (200, 3)) @ draw.normal(0, 1, (3, 3)) for k in range(3)}
+    rows = [(k, *map(float, p)) for k, x in clouds.items() for p in x] + [(9, 1.0, 2.0, 3.0)] * 5
+    df = spark.createDataFrame(rows, "label int, x double, y double, z double")
+    got = {r["label"]: r for r in M.volumes(df, "label", ["x", "y", "z"]).collect()}
+    for k, x in clouds.items():
+        c, m = M.ellipsoid(x, 1e-8)
+        assert (np.einsum("ij,jk,ik->i", x - c, m, x - c) <= 1 + 1e-6).all()
+        assert got[k]["volume"] == pytest.approx(M.ellipsoid_volume(m, 200), rel=1e-3)
+    assert got[9]["volume"] is None and got[9]["n"] == 5
+    merged = {(r["a"], r["b"]): r for r in M.merges(df, "label", ["x", "y", "z"], [(0, 1), (1, 9)]).collect()}
+    both = M.ellipsoid(np.vstack([clouds[0], clouds[1]]), 1e-8)[1]
+    volume = sum(M.ellipsoid_volume(M.ellipsoid(clouds[k], 1e-8)[1], 200) for k in (0, 1)) / M.ellipsoid_volume(both, 400)
+    c, m = M.ellipsoid(clouds[1], 1e-8)
+    inside = (np.einsum("ij,jk,ik->i", clouds[0] - c, m, clouds[0] - c) <= 1.5).mean()
+    assert merged[0, 1]["by_volume"] == (volume > 1) and merged[0, 1]["inside"] == pytest.approx(inside) and merged[0, 1]["merge"] == (volume > 1 or inside >= 0.3)
+
+
+def test_relations_of_rings():
+    from cinderlake.operators.geometry import A_OUT, B_OUT, INSIDE, MEET, relate
+
+    ell = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)]
+    cases = {
+        ((2, 2), (3, 2), (3, 3), (2, 3)): A_OUT | B_OUT,  # in the notch: bounds meet, rings do not
+        ((1, 1), (3, 1), (3, 3), (1, 3)): MEET | A_OUT | B_OUT,  # fills the notch, edges in common
+        ((4, 1), (5, 1), (5, 2), (4, 2)): MEET | A_OUT | B_OUT,  # a corner in common
+        ((0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)): INSIDE | A_OUT,
+        ((0, 0), (0, 1), (1, 1), (1, 0)): MEET | INSIDE | A_OUT,
+        ((-1, -1), (5, -1), (5, 5), (-1, 5)): INSIDE | B_OUT,
+        ((0.5, 0.5), (3, 0.5), (3, 3)): MEET | INSIDE | A_OUT | B_OUT,
+        tuple(ell[::-1]): MEET | INSIDE,
+    }
+    for ring, want in cases.items():
+        assert relate(ell, list(ring)) == want, ring
+
+
+def test_distances_on_the_ellipsoid(spark):
+    from cinderlake.operators import graph as G
+
+    at = [(0.0, 0.0, 0.0, 1.0, 110.574), (0.0, 0.0, 1.0, 0.0, 111.320), (-50.0, -10.0, -49.5, -10.5, None), (3.0, 4.0, 3.0, 4.0, 0.0)]
+    df = spark.createDataFrame(at, "a double, b double, c double, d double, want double")
+    for r in df.withColumn("km", G.geodesic_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect():
+        assert r["want"] is None or r["km"] == pytest.approx(r["want"], abs=2e-3)
+
+
+def test_merges_across_tiles(spark):
+    from cinderlake.operators import graph as G
+
+    draw = np.random.default_rng(7)
+    cells = sorted({(int(y), int(r), int(c)) for y, r, c in zip(draw.integers(0, 2, 500), draw.integers(0, 40, 500), draw.integers(0, 40, 500), strict=True)})
+    rows = [(y, 1, r * 40 + c, r, c) for y, r, c in cells]
+    df = spark.createDataFrame(rows, "year int, month int, px long, row long, col long")
+    got = {(r["year"], r["px"]): r["fire"] for r in G.merge_same_month(df, 2.3, tile=8).collect()}
+    root = {(y, px): (y, px) for y, _, px, _, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, p in enumerate(rows):
+        for q in rows[:i]:
+            if p[0] == q[0] and (p[3] - q[3]) ** 2 + (p[4] - q[4]) ** 2 <= 2.3**2:
+                a, b = find((p[0], p[2])), find((q[0], q[2]))
+                root[max(a, b)] = min(a, b)
+    assert got == {k: find(k)[1] for k in root}
