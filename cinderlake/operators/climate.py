@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.functions.months import wrap
 from cinderlake.operators.relational import top_by
 
 
@@ -33,20 +34,22 @@ def dry_season(df: DataFrame, period: Column) -> DataFrame:
     return yearly.withColumn("period", period).where("period IS NOT NULL").groupBy("id", "period").agg(F.avg("prec_ds").alias("mean_prec_ds"), F.avg("pet_ds").alias("mean_pet_ds"))
 
 
-def wettest_month(df: DataFrame) -> DataFrame:
-    """The month with the highest mean precipitation, first on ties."""
+def wettest_month(df: DataFrame, single: bool = False) -> DataFrame:
+    """The month with the highest mean precipitation, first on ties; single: that of the highest value of any one year, the earliest on ties."""
+    if single:
+        return df.groupBy("id").agg(F.max_by("month", F.struct(F.round("prec", 9), -F.col("year"), -F.col("month"))).alias("wettest"))
     mean = df.groupBy("id", "month").agg(F.avg("prec").alias("v"))
     return mean.groupBy("id").agg(F.max_by("month", F.struct(F.round("v", 9), -F.col("month"))).alias("wettest"))
 
 
-def water_deficit(df: DataFrame, first_year: int, last_year: int, strict_last: bool = True) -> DataFrame:
-    """Deficit of each month of a climate year, which starts at the cell's wettest month with 0.
+def water_deficit(df: DataFrame, first_year: int, last_year: int, strict_last: bool = True, single: bool = False) -> DataFrame:
+    """Deficit of each month of a climate year, which starts at the cell's wettest month (single: see there) with 0.
 
     The recurrence min(0, previous + P - |AET|) is S - max(S so far, 0 at the start) on running sums S, so it is a
     window, not a loop. Only complete climate years stay; with strict_last also not one that ends in the last month.
     """
     at = 12 * (F.col("year") - first_year) + F.col("month") - 1
-    d = df.join(wettest_month(df), "id").withColumn("at", at - (F.col("wettest") - 1))
+    d = df.join(wettest_month(df, single), "id").withColumn("at", at - (F.col("wettest") - 1))
     d = d.where("at >= 0").withColumn("climate_year", F.floor(F.col("at") / 12) + first_year).withColumn("k", F.col("at") % 12)
     year = Window.partitionBy("id", "climate_year")
     so_far = year.orderBy("k")
@@ -57,8 +60,15 @@ def water_deficit(df: DataFrame, first_year: int, last_year: int, strict_last: b
 
 
 def max_deficit(cwd: DataFrame) -> DataFrame:
-    """The lowest deficit of a climate year, its month (first on ties) and the months with P - AET < 0."""
-    return cwd.groupBy("id", "climate_year").agg(F.min("cwd").alias("mcwd"), F.min_by("month", F.struct(F.round("cwd", 9), "k")).alias("mcwd_month"), F.count_if((F.col("prec") - F.col("aet") < 0) & (F.col("k") > 0)).alias("cwd_length"))
+    """The lowest deficit of a climate year, its year and month (first on ties) and the months with P - AET < 0."""
+    first = F.struct(F.round("cwd", 9), "k")
+    return cwd.groupBy("id", "climate_year").agg(F.min("cwd").alias("mcwd"), F.min_by("year", first).alias("mcwd_year"), F.min_by("month", first).alias("mcwd_month"), F.count_if((F.col("prec") - F.col("aet") < 0) & (F.col("k") > 0)).alias("cwd_length"))
+
+
+def relabelled_deficit(mcwd: DataFrame) -> DataFrame:
+    """W20, yearly form: rows of max_deficit with peak_rel, the month counted so that the cell's mean peak comes to place 6."""
+    mean = F.avg("mcwd_month").over(Window.partitionBy("id"))  # a cell's years
+    return mcwd.withColumn("peak_rel", wrap(F.col("mcwd_month") + 6 - mean))
 
 
 def max_deficit_by_period(mcwd: DataFrame, period: Column) -> DataFrame:

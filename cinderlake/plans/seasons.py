@@ -32,7 +32,22 @@ def season_quantiles(spark, sf):
     return S.quantiles_nearest(A.period_fires(spark, sf))
 
 
-@query("season_variance", "id:l period:s mean:d var_month:d std_month:d", "rl", """
+@query("prec_season_quantiles", "id:l period:s peak_month:l q05_month:l median_month:l q95_month:l q_length:l", "climate", f"""
+WITH m AS (SELECT id, {A.PERIOD_SQL} AS period, month, avg(prec) AS v FROM climate WHERE {A.PERIOD_SQL} IS NOT NULL GROUP BY ALL),
+d AS (SELECT k.id, k.period, t.month, coalesce(m.v, 0.0::DOUBLE) AS v FROM (SELECT DISTINCT id, period FROM m) k CROSS JOIN (SELECT unnest(range(1, 13)) AS month) t LEFT JOIN m ON m.id = k.id AND m.period = k.period AND m.month = t.month),
+p AS (SELECT id, period, arg_max(month, (v, -month)) AS peak FROM d GROUP BY ALL),
+r AS (SELECT id, period, peak, v, (month + 6 - peak + 23) % 12 + 1 AS r FROM d JOIN p USING (id, period)),
+g AS (SELECT *, 100.0::DOUBLE * sum(v) OVER (PARTITION BY id, period ORDER BY r) / sum(v) OVER (PARTITION BY id, period) AS share FROM r),
+q AS (SELECT id, period, peak, arg_min(r, (abs(share - 5), r)) AS a, arg_min(r, (abs(share - 50), r)) AS b, arg_min(r, (abs(share - 95), r)) AS c FROM g GROUP BY ALL)
+SELECT id, period, peak AS peak_month, {_BACK.format("a")} AS q05_month, {_BACK.format("b")} AS median_month, {_BACK.format("c")} AS q95_month, c - a + 1 AS q_length FROM q""")
+def prec_season_quantiles(spark, sf):
+    """Peak and quantiles of the mean monthly precipitation of a period, outer-joined."""
+    c = A.climate(spark, sf).withColumn("period", A.period_of(F.col("year"))).where("period IS NOT NULL")
+    mean = c.groupBy("id", "period", "month").agg(F.avg("prec").alias("mean_prec"))
+    return S.upsert(S.peak(mean, value="mean_prec"), S.quantiles_nearest(mean, value="mean_prec"))
+
+
+@query("season_variance","id:l period:s mean:d var_month:d std_month:d", "rl", """
 WITH mu AS (SELECT id, period, sum(v * r)::DOUBLE / sum(v) AS mean FROM rl GROUP BY ALL)
 SELECT id, period, mean, sum(v * (r - mean) * (r - mean)) / sum(v) AS var_month, sqrt(sum(v * (r - mean) * (r - mean)) / sum(v)) AS std_month FROM rl JOIN mu USING (id, period) GROUP BY id, period, mean""")
 def season_variance(spark, sf):

@@ -157,15 +157,16 @@ def monthly_prec(spark, sf):
     return c.groupBy("id", "period", "month").agg(F.avg("prec").alias("mean_prec"))
 
 
-_CWD = """
-w AS (SELECT id, arg_max(month, (round(v, 9), -month)) AS wettest FROM (SELECT id, month, avg(prec) AS v FROM climate GROUP BY ALL) GROUP BY id),
+_WETTEST = "w AS (SELECT id, arg_max(month, (round(v, 9), -month)) AS wettest FROM (SELECT id, month, avg(prec) AS v FROM climate GROUP BY ALL) GROUP BY id)"
+_WETTEST_SINGLE = "w AS (SELECT id, arg_max(month, (round(prec, 9), -year, -month)) AS wettest FROM climate GROUP BY id)"
+_DEFICIT = """
 a AS (SELECT c.*, 12 * (year - 1995) + month - 1 AS m, 12 * (year - 1995) + month - wettest AS pos FROM climate c JOIN w ON w.id = c.id),
 y AS (SELECT *, pos // 12 + 1995 AS climate_year, pos % 12 AS k FROM a WHERE pos >= 0),
 z AS (SELECT * FROM y QUALIFY count(*) OVER (PARTITION BY id, climate_year) = 12 AND max(m) OVER (PARTITION BY id, climate_year) < 83),
 cwd(id, climate_year, k, month, prec, aet, cwd) AS (
   SELECT id, climate_year, k, month, prec, aet, 0.0::DOUBLE FROM z WHERE k = 0
   UNION ALL SELECT z.id, z.climate_year, z.k, z.month, z.prec, z.aet, least(0.0, c.cwd + z.prec - abs(z.aet)) FROM cwd c JOIN z ON z.id = c.id AND z.climate_year = c.climate_year AND z.k = c.k + 1)"""
-
+_CWD = f"{_WETTEST},{_DEFICIT}"
 
 
 @query("cwd_series", "id:l climate_year:l month:l cwd:d", "climate", f"WITH RECURSIVE {_CWD.strip()} SELECT id, climate_year, month, cwd FROM cwd")
@@ -183,6 +184,14 @@ def mcwd_period(spark, sf):
     return C.max_deficit_by_period(C.max_deficit(C.water_deficit(A.climate(spark, sf), 1995, 2001)), A.period_of(F.col("climate_year")))
 
 
+@query("mcwd_annual", "id:l climate_year:l mcwd_year:l mcwd:d mcwd_month:l peak_rel:d cwd_length:l", "climate", f"""
+WITH RECURSIVE {_WETTEST_SINGLE},{_DEFICIT}, mc AS (SELECT id, climate_year, min(cwd) AS mcwd, arg_min(month, (round(cwd, 9), k)) AS p, count(*) FILTER (prec - aet < 0 AND k > 0) AS l FROM cwd GROUP BY ALL),
+r AS (SELECT *, p + 6 - avg(p) OVER (PARTITION BY id) AS x FROM mc)
+SELECT r.id, climate_year, climate_year + CAST(p < wettest AS INT) AS mcwd_year, mcwd, p AS mcwd_month, CASE WHEN x > 12 THEN x - 12 WHEN x < 1 THEN x + 12 ELSE x END AS peak_rel, l AS cwd_length FROM r JOIN w ON w.id = r.id""")
+def mcwd_annual(spark, sf):
+    return C.relabelled_deficit(C.max_deficit(C.water_deficit(A.climate(spark, sf), 1995, 2001, single=True)))
+
+
 _CLASSES = range(1, 51)
 
 

@@ -63,7 +63,18 @@ def test_water_deficit(spark):
     assert [r["cwd"] for r in got.where("climate_year = 2000").orderBy("k").collect()] == [0, 0, 0, -30, -80, -125, -155, -175, -175, -145, -85, 0]
     assert sorted({r["climate_year"] for r in got.collect()}) == [2000, 2001]
     top = C.max_deficit(got).where("climate_year = 2000").first()
-    assert (top["mcwd"], top["mcwd_month"], top["cwd_length"]) == (-175, 8, 5)
+    assert (top["mcwd"], top["mcwd_year"], top["mcwd_month"], top["cwd_length"]) == (-175, 2000, 8, 5)
+
+
+def test_single_wettest_month_and_relabelled_deficit(spark):
+    rows = [(1, 2000, 1, 10.0), (1, 2001, 1, 10.0), (1, 2000, 3, 0.0), (1, 2001, 3, 15.0), (1, 2001, 9, 15.0)]
+    df = spark.createDataFrame(rows, "id int, year int, month int, prec double")
+    assert (C.wettest_month(df).first()["wettest"], C.wettest_month(df, single=True).first()["wettest"]) == (9, 3)
+    assert C.wettest_month(df.where("month < 9")).first()["wettest"] == 1
+    assert C.wettest_month(df.limit(0), single=True).count() == 0
+    mcwd = spark.createDataFrame([(1, 2000, 11), (1, 2001, 12), (1, 2002, 1), (2, 2000, 4), (2, 2001, None)], "id int, climate_year int, mcwd_month int")
+    found = {(r["id"], r["climate_year"]): r["peak_rel"] for r in C.relabelled_deficit(mcwd).collect()}
+    assert found == {(1, 2000): 9.0, (1, 2001): 10.0, (1, 2002): 11.0, (2, 2000): 6.0, (2, 2001): None}
 
 
 def brute_components(nodes, links):
