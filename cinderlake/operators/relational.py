@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,12 +68,46 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
 
 def roll_up(df: DataFrame, keys: Sequence[str], node: str, value: str, closure: DataFrame) -> DataFrame:
     """Sums for each ancestor of a ragged hierarchy; closure (node, ancestor, level) holds every node itself too."""
-    return df.join(F.broadcast(closure), node).groupBy(*keys, "ancestor", "level").agg(F.sum(value).alias(value))
+    return df.join(closure, node).groupBy(*keys, "ancestor", "level").agg(F.sum(value).alias(value))
 
 
 def singletons(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """With a flag for rows whose key occurs once."""
-    return df.withColumn("single", F.count("*").over(Window.partitionBy(*keys)) == 1)
+    """With a flag for rows whose key occurs once (a null key is a key). Counts are joined back: a hot key's rows need not meet
+    in one task, as they would in a window."""
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((F.count("*") == 1).alias("single"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(counts, same).drop(*[f"_{k}" for k in keys])
+
+
+def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
+    """Linear quantiles, named. Equal values are counted before the quantiles are taken, so a key's buffer holds its
+    distinct values only. Null values count for nothing; a key with no others has null quantiles."""
+    counts = df.groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    q = counts.groupBy(*keys).agg(F.percentile("_value", F.array(*[F.lit(x) for x in named.values()]), F.col("_n")).alias("_q"))
+    return q.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(named)])
+
+
+def density(df: DataFrame, count: str, area: str, name: str = "density") -> DataFrame:
+    """Count to the km2; null where there is no area."""
+    return df.withColumn(name, F.try_divide(F.col(count).cast("double"), F.nullif(F.col(area).cast("double"), F.lit(0.0))))
+
+
+def class_table(spark: SparkSession, lists: dict[str, Sequence[int]]) -> DataFrame:
+    """class lists as a dimension table: list, class. A class may be in several lists."""
+    return spark.createDataFrame([(name, int(c)) for name, own in lists.items() for c in own], "list string, class int")
+
+
+def by_class_list(df: DataFrame, column: str, lists: DataFrame, default: str | None = None) -> DataFrame:
+    """each row once for every list that holds its class, with the list; rows in none come with default, or go if that is None."""
+    named = lists.select("list", F.col("class").alias("_class"))
+    joined = df.join(named, F.col(column) == F.col("_class"), "inner" if default is None else "left").drop("_class")
+    return joined if default is None else joined.withColumn("list", F.coalesce("list", F.lit(default)))
+
+
+def harmonise_vintages(maps: dict[int, DataFrame], renames: dict[int, dict[str, str]], code: str, fixes: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """harmonise() of each vintage by its own renames, in one table with the vintage."""
+    parts = [harmonise(df, renames.get(year, {}), code, fixes, order).withColumn("vintage", F.lit(year)) for year, df in sorted(maps.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def first_wins(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

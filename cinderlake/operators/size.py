@@ -42,8 +42,10 @@ def pixel_frequency(px: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _dense(freq: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Shares of pixels up to each frequency from 0 to most; a frequency beyond most is an error."""
     sums = [F.coalesce(F.sum(F.when(F.col("frequency") <= k, F.col("npixels"))), F.lit(0)) for k in range(most + 1)]
-    g = freq.groupBy(*keys).agg(F.array(*sums).alias("run"))
+    over = F.when(F.max("frequency") > most, F.raise_error(F.lit(f"a frequency is over {most}")).cast("array<bigint>"))
+    g = freq.groupBy(*keys).agg(F.coalesce(over, F.array(*sums)).alias("run"))
     return g.withColumn("ecdf", F.transform("run", lambda x: x / F.element_at("run", -1)))
 
 

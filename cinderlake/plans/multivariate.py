@@ -129,11 +129,45 @@ def silhouette(spark, sf):
     return M.silhouette(_points(spark, sf), "label", E)
 
 
+_WITHIN = " + ".join(f"var_pop(e{i})" for i in range(DIMS))
+_APART = " + ".join(f"(a{i} - t{i} / n) * (a{i} - t{i} / n)" for i in range(DIMS))
+
+
+@query("calinski_harabasz", "n:l k:l ch:d", "", f"""
+WITH {_PTS}, g AS (SELECT label, count(*) AS m, {", ".join(f"avg(e{i}) AS a{i}" for i in range(DIMS))}, count(*) * ({_WITHIN}) AS w FROM pts GROUP BY label),
+t AS (SELECT sum(m) AS n, count(*) AS k, sum(w) AS w, {", ".join(f"sum(m * a{i}) AS t{i}" for i in range(DIMS))} FROM g)
+SELECT n, k, sum(m * ({_APART})) / (k - 1) / (t.w / (n - k)) AS ch FROM g CROSS JOIN t GROUP BY n, k, t.w""")
+def calinski_harabasz(spark, sf):
+    return M.calinski_harabasz(_points(spark, sf), "label", E)
+
+
+@query("discriminant_accuracy", "label:l n:l accuracy:d")
+def discriminant_accuracy(spark, sf):
+    return M.discriminant_accuracy(_points(spark, sf), "label", E)
+
+
+def _season_cells(spark, sf, g):
+    return S.series(A.period_fires(spark, sf)).select("id", "period", *[F.element_at("m", m).cast("double").alias(f"m{m}") for m in (1, 4, 7, 10)]).join(g.select("id"), "id")
+
+
+@query("fusion_levels", "period:s step:l height:d")
+def fusion_levels(spark, sf):
+    """M4: costs of all constrained merges of each period's cells."""
+    g = A.grid(spark, sf)
+    return M.fusion_levels(_season_cells(spark, sf, g), G.neighbours(g), ["period"], ["m1", "m4", "m7", "m10"])
+
+
+@query("partial_redundancy", "axis:l eigenvalue:d r2:d r2_adj:d")
+def partial_redundancy(spark, sf):
+    """What aet explains of prec and pet beside the month."""
+    r2, adjusted, values = M.redundancy(A.climate(spark, sf), ["prec", "pet"], ["aet"], ["month"])
+    return spark.createDataFrame([(k + 1, float(v), r2, adjusted) for k, v in enumerate(values)], "axis int, eigenvalue double, r2 double, r2_adj double")
+
+
 @query("constrained_clusters", "period:s id:l cluster:l")
 def constrained_clusters(spark, sf):
     g = A.grid(spark, sf)
-    cells = S.series(A.period_fires(spark, sf)).select("id", "period", *[F.element_at("m", m).cast("double").alias(f"m{m}") for m in (1, 4, 7, 10)]).join(g.select("id"), "id")
-    return M.constrained_clusters(cells, G.neighbours(g), ["period"], ["m1", "m4", "m7", "m10"], 5)
+    return M.constrained_clusters(_season_cells(spark, sf, g), G.neighbours(g), ["period"], ["m1", "m4", "m7", "m10"], 5)
 
 
 @query("discriminants", "axis:l variable:s coefficient:d eigenvalue:d")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderlake.operators import climate as C
+from cinderlake.operators import multivariate as M
 from cinderlake.operators import relational as R
 from cinderlake.operators import size as Z
 from cinderlake.plans.build import query
@@ -81,8 +82,23 @@ def powerlaw_fit(spark, sf):
 
 @query("size_by_month", "month:l q50:d q95:d largest:d", "fires", "SELECT month, quantile_cont(units * 0.01::DOUBLE, 0.5) AS q50, quantile_cont(units * 0.01::DOUBLE, 0.95) AS q95, max(units) * 0.01 AS largest FROM fires GROUP BY month")
 def size_by_month(spark, sf):
-    area = F.col("units") * A.UNIT_KM2
-    return A.fires(spark, sf).groupBy("month").agg(F.percentile(area, 0.5).alias("q50"), F.percentile(area, 0.95).alias("q95"), F.max(area).alias("largest"))
+    f = A.fires(spark, sf).withColumn("area", F.col("units") * A.UNIT_KM2)
+    return R.quantiles_by(f, ["month"], "area", {"q50": 0.5, "q95": 0.95, "largest": 1.0})
+
+
+@query("size_by_cell_month", "id:l " + " ".join(f"m{m}:d" for m in MONTHS), "fires", "SELECT id, " + ", ".join(f"quantile_cont(units * 0.01::DOUBLE, 0.5) FILTER (month = {m}) AS m{m}" for m in MONTHS) + " FROM fires GROUP BY id")
+def size_by_cell_month(spark, sf):
+    """Median sizes by cell, a column for each month; null in months without fires."""
+    f = A.fires(spark, sf).withColumn("area", F.col("units") * A.UNIT_KM2)
+    q = R.quantiles_by(f, ["id", "month"], "area", {"q50": 0.5})
+    return q.groupBy("id").agg(*[F.max(F.when(F.col("month") == m, F.col("q50"))).alias(f"m{m}") for m in MONTHS])
+
+
+@query("density", "id:l n:l area:d density:d", "", "SELECT c_nationkey AS id, count(*) AS n, c_nationkey % 5 * 2.5 AS area, count(*) / nullif(c_nationkey % 5 * 2.5::DOUBLE, 0) AS density FROM customer GROUP BY c_nationkey")
+def density(spark, sf):
+    """Customers of each nation to the area; some areas are 0."""
+    n = R.count_by(A.read(spark, sf, "customer").select(F.col("c_nationkey").alias("id")), ["id"], "n")
+    return R.density(n.withColumn("area", F.col("id") % 5 * 2.5), "n", "area")
 
 
 @query("fire_return_interval", "id:l period:s area_T:d flammable:d perc_ba:d fri:d fri_freq:d", "pf land", f"""
@@ -208,7 +224,9 @@ def zonal_mode(spark, sf):
 @query("zonal_stats", "cell:l mean:d lo:l hi:l med:d q95:d", "land", "SELECT cell, avg(v) AS mean, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.95) AS q95 FROM (SELECT cell, nullif(value, 1) AS v FROM land) GROUP BY cell")
 def zonal_stats(spark, sf):
     v = F.nullif(F.col("value"), F.lit(1).cast("long"))  # 1 stands for no data
-    return A.land_pixels(spark, sf).groupBy("cell").agg(F.avg(v).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, 0.5).alias("med"), F.percentile(v, 0.95).alias("q95"))
+    px = A.land_pixels(spark, sf).select("cell", v.alias("v"))
+    plain = px.groupBy("cell").agg(F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return plain.join(R.quantiles_by(px, ["cell"], "v", {"med": 0.5, "q95": 0.95}), "cell")
 
 
 @query("weighted_zonal_mean", "cell:l weighted_mean:d", "land", "SELECT cell, sum(cls * value)::DOUBLE / sum(value) AS weighted_mean FROM land GROUP BY cell")
@@ -237,6 +255,22 @@ def reclass(spark, sf):
     return A.land_pixels(spark, sf).groupBy(F.coalesce(names[F.col("cls")], F.lit("other")).alias("grp")).agg(F.count("*").alias("n"))
 
 
+#: Lists of land-cover classes that analyses take together.
+CLASS_LISTS = {
+    "standard_5": [3, 4, 9, 12, 15, 39, 20, 41, 36, 21],
+    "standard_6": [3, 4, 11, 12, 15, 18, 21, 22],
+    "main": [3, 4, 12, 18, 15, 21, 22],
+    "main_cutoff": [3, 4, 12, 18, 15],
+}
+
+
+@query("class_lists", "cell:l list:s npixels:l", "land", "SELECT cell, list, count(*) AS npixels FROM land JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS list, unnest({cs}) AS class" for n, cs in CLASS_LISTS.items()) + ") ON cls = class GROUP BY ALL")
+def class_lists(spark, sf):
+    """pixels by cell and class list; cells and classes are counted before the join."""
+    counts = R.count_by(A.land_pixels(spark, sf), ["cell", "cls"], "n")
+    return R.by_class_list(counts, "cls", R.class_table(spark, CLASS_LISTS)).groupBy("cell", "list").agg(F.sum("n").alias("npixels"))
+
+
 @query("mean_delta", "id:l period:s prec:d prec_delta:d", "climate", f"WITH y AS (SELECT id, {A.PERIOD_SQL} AS period, year, sum(prec) AS prec FROM climate GROUP BY ALL) SELECT id, period, avg(prec) AS prec, arg_max(prec, year) - arg_min(prec, year) AS prec_delta FROM y WHERE period IS NOT NULL GROUP BY ALL")
 def mean_delta(spark, sf):
     yearly = A.climate(spark, sf).groupBy("id", "year").agg(F.sum("prec").alias("prec")).withColumn("period", A.period_of(F.col("year"))).where("period IS NOT NULL")
@@ -321,6 +355,12 @@ def corr_matrix(spark, sf):
     return c.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("r")) for a, b in pairs])))
 
 
+@query("corr_stars", "a:s b:s n:l r:d p:d stars:s")
+def corr_stars(spark, sf):
+    """Correlations with two-sided p values and their marks."""
+    return M.correlations(A.climate(spark, sf), ["prec", "aet", "pet", "month"])
+
+
 @query("transforms", "id:l log_v:d sqrt_v:d log1_v:d logrev_v:d", "climate", "WITH y AS (SELECT id, sum(prec - aet) AS v, sum(prec) AS p FROM climate GROUP BY id) SELECT id, ln(p) AS log_v, sqrt(p) AS sqrt_v, ln(1 + p) AS log1_v, ln(v + abs((SELECT min(v) FROM y)) + 1) AS logrev_v FROM y")
 def transforms(spark, sf):
     y = A.climate(spark, sf).groupBy("id").agg(F.sum(F.col("prec") - F.col("aet")).alias("v"), F.sum("prec").alias("p"))

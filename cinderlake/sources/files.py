@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cinderlake.operators.relational import cell_filter
+from cinderlake.operators.relational import cell_filter, first_wins
 from cinderlake.sources.adapters import period_of
 
 
@@ -60,6 +61,56 @@ def assert_same_years(a: DataFrame, b: DataFrame) -> None:
         raise ValueError("the inputs cover different years")
 
 
+def align_months(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Files of a (scan()) with those of b of the same year and month; path_b is null where b has none."""
+    return a.join(b.select("year", "month", F.col("path").alias("path_b")), ["year", "month"], "left")
+
+
+def align_years(named: dict[str, DataFrame]) -> DataFrame:
+    """Year and a path column for each named table of files; tables that do not cover the same years are an error."""
+    (first, out), *rest = named.items()
+    base, out = out, out.select("year", F.col("path").alias(first))
+    for name, other in rest:
+        assert_same_years(base, other)
+        out = out.join(other.select("year", F.col("path").alias(name)), "year", "full")
+    return out
+
+
+def by_template(files: DataFrame, template: str) -> DataFrame:
+    """Files (scan()) whose whole name follows a template such as '{year}{month}.{variable}.tif', with its fields as columns.
+    year has four digits and month two; other fields are of letters, digits, '_' and '-'."""
+    parts = re.split(r"\{(\w+)\}", template)
+    kinds = {"year": r"(\d{4})", "month": r"(\d{2})"}
+    pattern = "^" + "".join(kinds.get(x, r"([\w-]+)") if i % 2 else re.escape(x) for i, x in enumerate(parts)) + "$"
+    found = {x: F.regexp_extract("file", pattern, i + 1) for i, x in enumerate(parts[1::2])}
+    return files.where(F.col("file").rlike(pattern)).withColumns({x: c.cast("int") if x in kinds else c for x, c in found.items()})
+
+
+def read_periods(spark: SparkSession, folder: str, schema: StructType | str, periods: Sequence[str], grid: DataFrame | None = None, threshold: float = 0.0, include=(), exclude=()) -> DataFrame:
+    """Rows of period partitions (period=LABEL) of the labels wanted, with the grid's filter; other partitions are not read."""
+    rows = spark.read.schema(schema).parquet(folder).where(F.col("period").isin(list(periods)))
+    return rows if grid is None else cell_filter(rows, grid, threshold, include, exclude)
+
+
+def explanatory(tables: Sequence[DataFrame], by_class: DataFrame, fixed: DataFrame, period: str, wanted: Sequence[str], kept_class: str = "natural", prefix: str = "cell_") -> DataFrame:
+    """One row a cell: tables by (id, period), the kept class of by_class (class_val) with prefixed columns, and fixed by id, inner
+    joined; the period's rows and the wanted columns only. Both are chosen before the joins, so they reach the scans."""
+    own = by_class.where(F.col("class_val") == kept_class).drop("class_val")
+    own = own.withColumnsRenamed({c: f"{prefix}{c}" for c in own.columns if c not in ("id", "period")})
+    out = None
+    for t in [*tables, own]:
+        part = t.where(F.col("period") == period).select("id", *[c for c in t.columns if c in wanted])
+        out = part if out is None else out.join(part, "id")
+    return out.join(fixed.select("id", *[c for c in fixed.columns if c in wanted]), "id")
+
+
+def write_mosaic(parts: Sequence[DataFrame], folder: str, keys: Sequence[str] = ("row", "col"), tile: int = 256) -> None:
+    """K4: one raster of pixel tables, of which the first listed wins each pixel; written by bands of tile rows, which a rewrite
+    replaces one by one."""
+    merged = first_wins(parts, keys).withColumn("band", F.floor(F.col(keys[0]) / tile).cast("int"))
+    merged.write.partitionBy("band").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+
+
 def masked(df: DataFrame, value: str, sentinel: float) -> DataFrame:
     """No-data values become null."""
     return df.withColumn(value, F.when(F.col(value) != sentinel, F.col(value)))
@@ -79,9 +130,10 @@ def union_with_srid(parts: Sequence[DataFrame], srid: int = 4674) -> DataFrame:
     return out.withColumn("srid", F.coalesce("srid", F.lit(srid)))
 
 
-def write_years(df: DataFrame, folder: str, kind: str = "parquet", append: bool = False) -> None:
-    """K1, K2: one folder a year; a rewrite replaces the years it holds only, so a rerun is harmless."""
-    writer = df.repartition("year").write.partitionBy("year").option("header", "true").option("partitionOverwriteMode", "dynamic")
+def write_years(df: DataFrame, folder: str, kind: str = "parquet", append: bool = False, by: str = "year") -> None:
+    """K1, K2: one folder a year (or period); a rewrite replaces the years it holds only, so a rerun is harmless. A large
+    year is split over several tasks and files."""
+    writer = df.hint("rebalance", F.col(by)).write.partitionBy(by).option("header", "true").option("partitionOverwriteMode", "dynamic")
     writer.mode("append" if append else "overwrite").format(kind).save(folder)
 
 

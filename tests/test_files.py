@@ -53,3 +53,33 @@ def test_masks_bounds_srid_and_failures(spark):
     assert [r["srid"] for r in S.union_with_srid([df, df.withColumn("srid", F.lit(1))]).orderBy("srid").collect()] == [1, 1, 4674, 4674]
     ok, bad = S.split_failures(df, F.col("v") > 0, F.lit("negative"))
     assert ok.count() == 1 and bad.first()["reason"] == "negative"
+
+
+def test_alignment_and_templates(spark):
+    files = lambda rows: spark.createDataFrame(rows, "path string, file string, year int, month int")
+    a = files([("a1", "200101.t2m.tif", 2001, 1), ("a2", "200102.t2m.tif", 2001, 2), ("a3", "x.tif", None, None)])
+    b = files([("b1", "b", 2001, 1)])
+    assert sorted((r["path"], r["path_b"]) for r in S.align_months(a, b).collect() if r["year"]) == [("a1", "b1"), ("a2", None)]
+    one, two = files([("p", "p", 2001, None), ("q", "q", 2002, None)]), files([("r", "r", 2002, None), ("s", "s", 2001, None)])
+    assert sorted(map(tuple, S.align_years({"one": one, "two": two}).collect())) == [(2001, "p", "s"), (2002, "q", "r")]
+    with pytest.raises(ValueError):
+        S.align_years({"one": one, "two": b})
+    got = S.by_template(a.drop("year", "month"), "{year}{month}.{variable}.tif").select("path", "year", "month", "variable").collect()
+    assert sorted(map(tuple, got)) == [("a1", 2001, 1, "t2m"), ("a2", 2001, 2, "t2m")]
+
+
+def test_periods_explanatory_and_mosaic(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, "p"), (2, 1.5, "q")], "id long, v double, period string")
+    S.write_years(df, str(tmp_path / "t"), by="period")
+    out = S.read_periods(spark, str(tmp_path / "t"), "id long, v double, period string", ["q"])
+    assert [tuple(r) for r in out.collect()] == [(2, 1.5, "q")] and "PartitionFilters: [" in out._jdf.queryExecution().executedPlan().toString()
+    other = spark.createDataFrame([(1, "p", 7, 8)], "id long, period string, pop int, unused int")
+    classes = spark.createDataFrame([(1, "p", "natural", 3), (1, "p", "anthropic", 4)], "id long, period string, class_val string, v int")
+    topo = spark.createDataFrame([(1, 9), (2, 9)], "id long, slope int")
+    got = S.explanatory([df, other], classes, topo, "p", ["v", "pop", "cell_v", "slope"])
+    assert got.columns == ["id", "v", "pop", "cell_v", "slope"] and [tuple(r) for r in got.collect()] == [(1, 0.5, 7, 3, 9)]
+    a = spark.createDataFrame([(0, 0, 1), (300, 0, 1)], "row int, col int, value int")
+    b = spark.createDataFrame([(0, 0, 2), (0, 1, 2)], "row int, col int, value int")
+    for _ in range(2):
+        S.write_mosaic([a, b], str(tmp_path / "m"))
+    assert sorted((r["row"], r["col"], r["value"], r["band"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [(0, 0, 1, 0), (0, 1, 2, 0), (300, 0, 1, 1)]

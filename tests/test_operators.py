@@ -292,3 +292,118 @@ def test_merges_across_tiles(spark):
                 a, b = find((p[0], p[2])), find((q[0], q[2]))
                 root[max(a, b)] = min(a, b)
     assert got == {k: find(k)[1] for k in root}
+
+
+def test_student_tail():
+    for t, degrees, p in ((2.0, 10, 0.073388), (-1.812461, 10, 0.1), (3.0, 1, 0.204833), (1.959964, 1e7, 0.05), (0.0, 5, 1.0)):
+        assert M.t_tail(t, degrees) == pytest.approx(p, abs=2e-6)
+
+
+def test_correlations_mark_what_is_significant(spark):
+    x = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([(a, 2 * a, b, None) for a, b in zip(x, [2.0, 1.0, 4.0, 3.0, 6.0, 5.0], strict=True)] + [(None, 1.0, 1.0, None)], "x double, y double, z double, w double")
+    got = {(r["a"], r["b"]): r for r in M.correlations(df, ["x", "y", "z", "w"]).collect()}
+    assert got["x", "y"]["p"] < 1e-9 and got["x", "y"]["stars"] == "***" and got["x", "y"]["n"] == 6
+    r = np.corrcoef(x, [2, 1, 4, 3, 6, 5])[0, 1]
+    assert got["x", "z"]["r"] == pytest.approx(r) and got["x", "z"]["p"] == pytest.approx(0.0415627, abs=1e-5) and got["x", "z"]["stars"] == "*"
+    assert got["x", "w"]["p"] is None and got["x", "w"]["stars"] == "" and got["x", "w"]["n"] == 0
+
+
+def _classes(spark):
+    rng = np.random.default_rng(3)
+    label = np.repeat([0, 1, 2], [40, 25, 10])
+    x = rng.normal(size=(75, 2)) + np.array([[0, 0], [2, 1], [0, 3]])[label]
+    return label, x, spark.createDataFrame([(i, int(c), float(a), float(b)) for i, (c, (a, b)) in enumerate(zip(label, x, strict=True))], "id long, label int, a double, b double")
+
+
+def test_calinski_harabasz_and_widths_by_hand(spark):
+    label, x, df = _classes(spark)
+    means = np.array([x[label == k].mean(0) for k in range(3)])
+    within = ((x - means[label]) ** 2).sum()
+    between = ((means[label] - x.mean(0)) ** 2).sum()
+    got = M.calinski_harabasz(df, "label", ["a", "b"]).first()
+    assert (got["n"], got["k"]) == (75, 3) and got["ch"] == pytest.approx(between / 2 / (within / 72))
+    assert M.calinski_harabasz(df.where("label = 0"), "label", ["a", "b"]).first()["ch"] is None
+    two = df.withColumn("two", F.least("label", F.lit(1)))
+    got = {r["partition"]: (r["k"], r["width"]) for r in M.mean_widths(two, ["label", "two"], ["a", "b"]).collect()}
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for name, own in (("label", label), ("two", np.minimum(label, 1))):
+        widths = []
+        for i in range(75):
+            mean = {k: distance[i, own == k].sum() / ((own == k).sum() - (k == own[i])) for k in set(own)}
+            inner, outer = mean.pop(own[i]), min(mean.values() if own[i] not in mean else [])
+            widths.append((outer - inner) / max(inner, outer))
+        assert got[name] == (len(set(own)), pytest.approx(np.mean(widths)))
+
+
+def test_discriminant_rule_by_numpy(spark):
+    label, x, df = _classes(spark)
+    means, shares = np.array([x[label == k].mean(0) for k in range(3)]), np.bincount(label) / 75
+    within = sum(((x[label == k] - means[k]).T @ (x[label == k] - means[k])) for k in range(3)) / 72
+    w = np.linalg.solve(within, means.T)
+    best = (x @ w - (means.T * w).sum(0) / 2 + np.log(shares)).argmax(1)
+    got = {r["label"]: (r["n"], r["accuracy"]) for r in M.discriminant_accuracy(df, "label", ["a", "b"]).collect()}
+    assert got == {k: ((label == k).sum(), pytest.approx((best == label)[label == k].mean())) for k in range(3)}
+
+
+def test_partial_redundancy_by_least_squares(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "y1 double, y2 double, x1 double, x2 double, g double")
+    fitted = lambda cols: z[:, cols] @ np.linalg.lstsq(z[:, cols], z[:, :2], rcond=None)[0]
+    r2_of = lambda cols: (fitted(cols) ** 2).sum() / (z[:, :2] ** 2).sum()
+    adjusted = lambda cols: 1 - (1 - r2_of(cols)) * 59 / (59 - len(cols))
+    values, axes, coefficients, r2, adj = M.ordination(df, ["y1", "y2"], ["x1", "x2"], ["g"])
+    assert r2 == pytest.approx(r2_of([2, 3, 4]) - r2_of([4])) and adj == pytest.approx(adjusted([2, 3, 4]) - adjusted([4]))
+    assert values == pytest.approx(np.linalg.eigvalsh(np.cov((fitted([2, 3, 4]) - fitted([4])).T))[::-1])
+    assert coefficients == pytest.approx(np.linalg.lstsq(z[:, 2:], z[:, :2], rcond=None)[0][:2])
+    assert M.redundancy(df, ["y1", "y2"], ["x1", "x2", "g"])[0] == pytest.approx(r2_of([2, 3, 4]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 9), st.integers(1, 4), st.integers(0, 10_000))
+def test_constrained_ward_by_brute_force(n, k, seed):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(n, 2))
+    edges = np.array([(a, b) for a in range(n) for b in range(a) if rng.random() < 0.4], int).reshape(-1, 2)
+    groups, heights = [[i] for i in range(n)], []
+    while len(groups) > k:
+        best = None
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups)):
+                if any((a in groups[i]) != (a in groups[j]) and {a, b} <= set(groups[i] + groups[j]) and (a in groups[i]) != (b in groups[i]) for a, b in edges):
+                    p, q = points[groups[i]], points[groups[j]]
+                    cost = len(p) * len(q) / (len(p) + len(q)) * ((p.mean(0) - q.mean(0)) ** 2).sum()
+                    best = min(best or (np.inf,), (cost, i, j))
+        if best is None:
+            break
+        heights.append(best[0])
+        groups[best[1]] += groups.pop(best[2])
+    found: list[float] = []
+    labels = M.constrained_ward(points, edges, k, found)
+    assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist())} == {frozenset(g) for g in groups}
+    assert found == pytest.approx(heights)
+
+
+def test_quantiles_singletons_density_and_lists(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("b", None), (None, 2.0)], "k string, v double")
+    got = {r["k"]: (r["q"], r["top"]) for r in T.quantiles_by(df, ["k"], "v", {"q": 0.75, "top": 1.0}).collect()}
+    assert got == {"a": (2.5, 4.0), "b": (None, None), None: (2.0, 2.0)}
+    assert sorted((str(r["k"]), r["single"]) for r in T.singletons(df, ["k"]).collect()) == [("None", True), ("a", False), ("a", False), ("a", False), ("b", True)]
+    assert [r["density"] for r in T.density(spark.createDataFrame([(4, 2.0), (4, 0.0), (4, None)], "n int, area double"), "n", "area").collect()] == [2.0, None, None]
+    lists = T.class_table(spark, {"x": [1, 2], "y": [2]})
+    px = spark.createDataFrame([(1,), (2,), (3,)], "cls int")
+    assert sorted(map(tuple, T.by_class_list(px, "cls", lists).select("cls", "list").collect())) == [(1, "x"), (2, "x"), (2, "y")]
+    assert sorted(map(tuple, T.by_class_list(px, "cls", lists, "other").select("cls", "list").collect())) == [(1, "x"), (2, "x"), (2, "y"), (3, "other")]
+
+
+def test_vintages_and_frequencies_over_the_most(spark):
+    one = spark.createDataFrame([("1100015", 1.0, "n")], "code string, area double, name string")
+    two = spark.createDataFrame([("1100015", 2.0, "m"), ("1100015", 3.0, "k")], "geo string, area double, name string")
+    got = T.harmonise_vintages({2000: one, 2010: two}, {2010: {"geo": "code"}}, "code", {}, ["m_code", "s_code", "area", "name"])
+    assert sorted((r["vintage"], r["m_code"], r["area"], r["name"]) for r in got.collect()) == [(2000, "110001", 1.0, "n"), (2010, "110001", 5.0, "k")]
+    freq = spark.createDataFrame([(1, 2, 5), (1, 9, 1)], "id int, frequency long, npixels long")
+    assert Z.frequency_nearest(freq, ["id"], 9).first()["f50"] == 2
+    with pytest.raises(Exception, match="a frequency is over 7"):
+        Z.frequency_nearest(freq, ["id"], 7).collect()
