@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, lm_score, mixing, token_counts, toxicity
+from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, lm_score, mixing, periods, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,9 +18,11 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_html_text": html_text.op9_html_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op12_periodic_runs": periods.op12_periodic_runs,
+        "op13_simhash_neardup": simhash.op13_simhash_neardup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op3_chat_format": chat.OP3_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op3_chat_format": chat.OP3_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL, "op12_periodic_runs": periods.OP12_SQL}
