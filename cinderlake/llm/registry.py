@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cinderlake.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, language, lm_score, mixing, periods, simhash, token_counts, toxicity
+from cinderlake.llm import chat, cross_tokens, decontaminate, exact_dedup, html_text, jaccard_join, language, lm_score, mixing, periods, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_html_text": html_text.op9_html_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_cross_tokens": cross_tokens.op11_cross_tokens,
         "op12_periodic_runs": periods.op12_periodic_runs,
         "op13_simhash_neardup": simhash.op13_simhash_neardup,
         "pipeline": corpus_pipeline.run,
