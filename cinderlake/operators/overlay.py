@@ -414,9 +414,9 @@ def rings_of(closed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def overlay(areas: DataFrame, keys: Sequence[str], tile: float, rule: Rule = "union", most: int = MOST) -> DataFrame:
     """keys, ring, area: the outline of what layer 0 and layer 1 of areas (keys, layer, owner, rings) make by the rule, for each
-    value of keys; areas of one layer are united. Outer rings have positive areas, holes negative ones."""
+    value of keys; areas of one layer are united, repeated rows count once. Outer rings have positive areas, holes negative ones."""
     keys = list(keys)
-    whole = areas.select(*keys, "layer", F.col("owner").cast("long").alias("owner"), "rings")
+    whole = areas.select(*keys, "layer", F.col("owner").cast("long").alias("owner"), "rings").distinct()
     dealt = materialise(_fewer(_dealt(edge_rows(whole, keys), keys, tile), keys, tile, most), "dealt")
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
 

@@ -24,6 +24,8 @@ def query(name: str, columns: str, tables: str = "", sql: str | None = None):
             kinds = {"l": lambda c: F.col(f"`{c}`").cast("long"), "d": lambda c: F.round(F.col(f"`{c}`").cast("double") + NUDGE, 6) + F.lit(0.0), "s": lambda c: F.col(f"`{c}`").cast("string")}
             return make(spark, sf).select(*[kinds[k](c).alias(c) for c, k in spec])
 
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = run
         if sql is not None:
             kinds = {"l": 'CAST("{0}" AS BIGINT) AS "{0}"', "d": 'round(CAST("{0}" AS DOUBLE) + 1e-9, 6) + 0.0 AS "{0}"', "s": 'CAST("{0}" AS VARCHAR) AS "{0}"'}

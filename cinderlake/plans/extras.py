@@ -111,12 +111,6 @@ def spatial_predicates(spark, sf):
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[X.PREDICATES[p](F.col("how")).cast("int").alias(p) for p in ("touches", "within", "contains", "overlaps")])
 
 
-@query("within_join", "a:l b:l", "", f"WITH {_AREAS}, {_PAIRS} SELECT a, b FROM p WHERE gap <= t - s")
-def within_join(spark, sf):
-    """Areas and those that hold them."""
-    return X.spatial_join(*_both(_areas(spark, sf)), 4.0, "within").where("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-
 @query("polygon_border_flag", "id:l border:l", "", f"""
 WITH {_AREAS}, d AS (SELECT *, greatest(5 - x, 0, x - 35) + greatest(5 - y, 0, y - 35) AS away FROM n)
 SELECT id, CAST(away <= r AND NOT (x - r > 5 AND x + r < 35 AND y - r > 5 AND y + r < 35) AS INT) AS border FROM d""")
@@ -134,8 +128,8 @@ def format_grid(spark, sf):
     return X.grid_cells(cells, region, 4.0)
 
 
-@query("size_by_cell_month", "id:l month:l n:l q50:d q99:d", "fires", "SELECT id, month, count(*) AS n, quantile_cont(units * 0.01::DOUBLE, 0.5) AS q50, quantile_cont(units * 0.01::DOUBLE, 0.99) AS q99 FROM fires WHERE units >= 3 GROUP BY ALL")
-def size_by_cell_month(spark, sf):
+@query("fire_size_quantiles", "id:l month:l n:l q50:d q99:d", "fires", "SELECT id, month, count(*) AS n, quantile_cont(units * 0.01::DOUBLE, 0.5) AS q50, quantile_cont(units * 0.01::DOUBLE, 0.99) AS q99 FROM fires WHERE units >= 3 GROUP BY ALL")
+def fire_size_quantiles(spark, sf):
     """Size quantiles of each cell and month. Equal sizes are counted first, so a cell's buffer holds sizes, not fires."""
     f = A.fires(spark, sf).where("units >= 3").groupBy("id", "month", "units").agg(F.count("*").alias("n"))
     q = F.percentile("units", F.array(F.lit(0.5), F.lit(0.99)), F.col("n"))

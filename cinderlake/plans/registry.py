@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cinderlake.plans import extras, multivariate, seasons, spatial, tables
+from cinderlake.plans import areas, extras, multivariate, seasons, spatial, tables
 from cinderlake.plans.build import QUERIES, SQL
 
-GROUPS = (extras, multivariate, seasons, spatial, tables)
+GROUPS = (areas, extras, multivariate, seasons, spatial, tables)
 
 
 def queries() -> dict:
