@@ -114,8 +114,8 @@ def low_count_impute(values: DataFrame, edges: DataFrame, count: str, columns: S
     return rich.select("id", count, *columns).withColumn("imputed", F.lit(0)).unionByName(poor.select("id", count, *columns, "imputed"))
 
 
-def _tile_labels(px: np.ndarray, row: np.ndarray, col: np.ndarray, offsets) -> np.ndarray:
-    """The least px of each pixel's component within one tile; pixels at one of the offsets are linked."""
+def tile_labels(px: np.ndarray, row: np.ndarray, col: np.ndarray, offsets, value: np.ndarray | None = None) -> np.ndarray:
+    """The least px of each pixel's component within one tile; pixels at one of the offsets, of equal value if given, are linked."""
     by = np.argsort(px, kind="stable")
     r, c = row[by] - row.min(), col[by] - col.min()
     width = int(c.max()) + 1 + 2 * max(abs(k) for _, k in offsets)
@@ -130,6 +130,9 @@ def _tile_labels(px: np.ndarray, row: np.ndarray, col: np.ndarray, offsets) -> n
             here = np.flatnonzero(i + k < z)
             pairs.append((here, at[i[here] + k]))
     a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+    if value is not None:
+        same = value[by][a] == value[by][b]
+        a, b = a[same], b[same]
     label = np.arange(len(px))
     while True:
         new = label.copy()
@@ -158,31 +161,83 @@ def merge_same_month(pixels: DataFrame, radius: float, keys: Sequence[str] = ("y
         row, col = part["row"].to_numpy(), part["col"].to_numpy()
         at = np.stack([row % tile, col % tile])
         edge = ((at < reach) | (at >= tile - reach)).any(0)
-        return part.assign(local=_tile_labels(part["px"].to_numpy(np.int64), row, col, offsets), edge=edge).drop(columns=["_tr", "_tc"])
+        return part.assign(local=tile_labels(part["px"].to_numpy(np.int64), row, col, offsets), edge=edge).drop(columns=["_tr", "_tc"])
 
     tiled = pixels.select(*keys, "px", "row", "col").withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
     local = tiled.groupBy(*keys, "_tr", "_tc").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "px", "row", "col"]) + ", local bigint, edge boolean")
-    local = materialise(local.withColumn("_node", F.concat_ws("/", *keys, F.lpad(F.col("local").cast("string"), 12, "0"))), "tiles")
+    local = materialise(local.withColumn("_node", F.struct(*keys, "local")), "tiles")
     links = neighbours(local.where("edge"), keys, offsets, "_node").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     met = label_all(local, links, "_node")
-    return met.withColumn("fire", F.element_at(F.split("label", "/"), -1).cast("long")).select(*keys, "px", "row", "col", "fire")
+    return met.select(*keys, "px", "row", "col", F.col("label.local").alias("fire"))
 
 
-def merge_consecutive_months(pixels: DataFrame, radius: float, months: Sequence[int] = tuple(range(1, 13))) -> DataFrame:
+def _sweep(links: pd.DataFrame, months: Sequence[int]) -> pd.DataFrame:
+    """The forward sweep over the links (a_month, a_fire, b_month, b_fire) of some groups: their months and labels."""
+    names = sorted({*zip(links.a_month, links.a_fire, strict=True), *zip(links.b_month, links.b_fire, strict=True)})
+    at = {n: k for k, n in enumerate(names)}
+    root, latest = list(range(len(names))), [m for m, _ in names]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    by_month: dict[int, list[tuple[int, int]]] = {}
+    for am, af, bm, bf in zip(links.a_month, links.a_fire, links.b_month, links.b_fire, strict=True):
+        by_month.setdefault(bm, []).append((at[am, af], at[bm, bf]))
+    for m in months:
+        met = [(find(a), find(b)) for a, b in by_month.get(m, ()) if latest[find(a)] == m - 1]
+        for a, b in met:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)  # names are in order, so a root is its group's least name
+        for a, _ in met:
+            latest[find(a)] = m
+    ends = [find(i) for i in range(len(names))]
+    return pd.DataFrame({"g_month": [m for m, _ in names], "g_fire": [f for _, f in names], "last": [latest[e] for e in ends], "fire_month": [names[e][0] for e in ends], "fire": [names[e][1] for e in ends]})
+
+
+def _sweep_wide(links: DataFrame, months: Sequence[int]) -> DataFrame:
+    """The same sweep as a few joins a month, for groups that are too many for one task."""
+    ends = [links.select("year", F.col(f"{k}_month").alias("g_month"), F.col(f"{k}_fire").alias("g_fire")) for k in "ab"]
+    state = materialise(ends[0].union(ends[1]).distinct().select("*", F.col("g_month").alias("last"), F.struct("year", "g_month", "g_fire").alias("label")), "sweep")
+    for m in months:
+        before = state.where(F.col("last") == m - 1).select("year", F.col("g_month").alias("a_month"), F.col("g_fire").alias("a_fire"), F.col("label").alias("a"))
+        met = links.where(F.col("b_month") == m).join(before, ["year", "a_month", "a_fire"]).select("a", F.struct("year", F.col("b_month").alias("g_month"), F.col("b_fire").alias("g_fire")).alias("b")).distinct()
+        labels = components(met).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+        new = materialise(state.join(labels, "label", "left").select("year", "g_month", "g_fire", F.when(F.col("joined").isNotNull(), m).otherwise(F.col("last")).alias("last"), F.coalesce("joined", "label").alias("label")), "sweep")
+        discard(state)
+        state = new
+    return state.select("year", "g_month", "g_fire", "last", F.col("label.g_month").alias("fire_month"), F.col("label.g_fire").alias("fire"))
+
+
+def merge_consecutive_months(pixels: DataFrame, radius: float, months: Sequence[int] = tuple(range(1, 13)), tile: int = 256, most: int = 200_000) -> DataFrame:
     """Forward sweep over the months of a year. Groups of the month before join those of the month they touch and
     then count as that month's, so chains grow; groups left behind keep their last month.
 
-    pixels: year, month, px, row, col. Returns year, px, month0 (burned), month (of its group), fire (least label).
+    pixels: year, month, px, row, col. Returns year, px, month0 (burned), month (of its group), fire_month and fire (the least
+    month of the group, and the least pixel of that month's first part).
+
+    Pixels of one month become groups first (merge_same_month), as every month's groups are merged before they can meet others.
+    Pixels within radius then give links between groups of different months, once; what follows sees groups only. The sweep
+    runs on connected sets of groups: in one task each where a set has most links at most, else as joins month by month.
     """
-    state = pixels.select("year", "px", "row", "col", F.col("month").alias("month0"), "month").withColumn("fire", F.concat_ws("/", "year", F.lpad("month", 2, "0"), F.lpad(F.col("px").cast("string"), 12, "0")))
-    state = materialise(state, "sweep")
-    offsets = ((0, 0), *discs(radius), *((-r, -c) for r, c in discs(radius)))
-    for m in months:
-        held = state.where(F.col("month").isin(m - 1, m))
-        pairs = neighbours(held.select("year", "row", "col", "fire"), ["year"], offsets, "fire").where("src < dst").distinct()
-        labels = components(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-        moved = state.join(labels.withColumnRenamed("node", "fire"), "fire", "left")
-        latest = moved.where("label IS NOT NULL").groupBy("label").agg(F.max("month").alias("latest"))
-        joined = moved.join(latest, "label", "left")
-        state = materialise(joined.select("year", "px", "row", "col", "month0", F.coalesce("latest", "month").alias("month"), F.coalesce("label", "fire").alias("fire")), "sweep")
-    return state.select("year", "px", "month0", "month", "fire")
+    months = sorted(months)
+    group = materialise(merge_same_month(pixels, radius, ("year", "month"), tile), "months")
+    cells = group.select("year", "row", "col", F.struct("month", "fire").alias("g"))
+    pairs = neighbours(cells, ["year"], ((0, 0), *discs(radius)), "g").where("src.month <> dst.month")
+    old, new = F.least("src", "dst"), F.greatest("src", "dst")
+    links = materialise(pairs.select("year", old["month"].alias("a_month"), old["fire"].alias("a_fire"), new["month"].alias("b_month"), new["fire"].alias("b_fire")).distinct(), "month-links")
+    name = lambda k: F.struct("year", F.col(f"{k}_month").alias("m"), F.col(f"{k}_fire").alias("f"))
+    labels = components(links.select(name("a").alias("a"), name("b").alias("b")))
+    known = links.withColumn("node", name("a")).join(labels, "node").drop("node")
+    known = materialise(known.join(known.groupBy("label").agg(F.count("*").alias("n")), "label"), "month-sets")
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    schema = f"year {kinds['year']}, g_month {kinds['a_month']}, g_fire bigint, last {kinds['a_month']}, fire_month {kinds['a_month']}, fire bigint"
+    swept = known.where(F.col("n") <= most).groupBy("label").applyInPandas(lambda part: _sweep(part, months).assign(year=part.year.iloc[0])[["year", "g_month", "g_fire", "last", "fire_month", "fire"]], schema)
+    large = known.where(F.col("n") > most)
+    if not large.isEmpty():
+        swept = swept.unionByName(_sweep_wide(large, months))
+    swept = swept.select("year", F.col("g_month").alias("month"), F.col("g_fire").alias("fire"), "last", "fire_month", F.col("fire").alias("joined"))
+    out = group.join(swept, ["year", "month", "fire"], "left")
+    return out.select("year", "px", F.col("month").alias("month0"), F.coalesce("last", "month").alias("month"), F.coalesce("fire_month", "month").alias("fire_month"), F.coalesce("joined", "fire").alias("fire"))

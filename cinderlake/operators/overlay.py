@@ -386,8 +386,8 @@ def stitch(chains: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in chains.schema.fields}
     node = lambda at: F.struct(*[F.col(k) for k in keys], F.element_at("xs", at).alias("_x"), F.element_at("ys", at).alias("_y"))
-    open_ = chains.where("NOT closed").withColumn("a", node(1)).withColumn("b", node(-1))
-    labels = components(open_.select("a", "b")).withColumnsRenamed({"node": "a"})
+    open_ = chains.where("NOT closed").withColumn("_a", node(1)).withColumn("_b", node(-1))
+    labels = components(open_.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_a"), F.col("label").alias("_outline"))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         rings, left = joined([np.stack([x, y], 1) for x, y in zip(part["xs"], part["ys"], strict=True)])
@@ -395,8 +395,8 @@ def stitch(chains: DataFrame, keys: Sequence[str]) -> DataFrame:
             raise ValueError(f"an outline does not close at {left[0][0]}")
         return _chain_rows(rings, []).assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "closed", "xs", "ys"]]
 
-    known = open_.join(labels, "a", "left").withColumn("label", F.coalesce("label", "a")).select(*keys, "label", "xs", "ys")
-    met = known.groupBy("label").applyInPandas(join, ", ".join([*(f"{k} {kinds[k]}" for k in keys), _CHAIN]))
+    known = open_.join(labels, "_a", "left").withColumn("_outline", F.coalesce("_outline", "_a")).select(*keys, "_outline", "xs", "ys")
+    met = known.groupBy("_outline").applyInPandas(join, ", ".join([*(f"{k} {kinds[k]}" for k in keys), _CHAIN]))
     return rings_of(chains.where("closed").select(*keys, "closed", "xs", "ys").unionByName(met), keys)
 
 

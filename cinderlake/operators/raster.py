@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,29 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.functions.storage import materialise
-from cinderlake.operators.graph import AROUND, FORWARD, components, neighbours
-
-
-def _label_tile(part: pd.DataFrame) -> np.ndarray:
-    """Least pixel number of the 8-connected patch of equal value, within one tile; union-find on a small grid."""
-    at = {(r, c): i for i, (r, c) in enumerate(zip(part.row, part.col, strict=True))}
-    root = list(range(len(part)))
-    value, px = part.value.to_numpy(), part.px.to_numpy()
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for (r, c), i in at.items():
-        for dr, dc in FORWARD:
-            j = at.get((r + dr, c + dc))
-            if j is not None and value[i] == value[j]:
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b, key=lambda k: px[k])] = min(a, b, key=lambda k: px[k])
-    return px[[find(i) for i in range(len(part))]]
+from cinderlake.operators.graph import AROUND, FORWARD, components, neighbours, tile_labels
 
 
 def label_patches(pixels: DataFrame, keys: Sequence[str], tile: int = 256) -> DataFrame:
@@ -43,12 +21,16 @@ def label_patches(pixels: DataFrame, keys: Sequence[str], tile: int = 256) -> Da
     keys = list(keys)
     tiled = pixels.select(*keys, "px", "row", "col", "value", F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiled.schema.fields) + ", local bigint"
-    local = materialise(tiled.groupBy(*keys, "tr", "tc").applyInPandas(lambda part: part.assign(local=_label_tile(part)), schema), "tiles")
-    local = local.withColumn("node", F.concat_ws("/", *keys, F.lpad(F.col("local").cast("string"), 12, "0")))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(local=tile_labels(part["px"].to_numpy(np.int64), part["row"].to_numpy(), part["col"].to_numpy(), FORWARD, part["value"].to_numpy()))
+
+    local = materialise(tiled.groupBy(*keys, "tr", "tc").applyInPandas(one, schema), "tiles")
+    local = local.withColumn("node", F.struct(*keys, "local"))
     border = local.where(f"row % {tile} IN (0, {tile - 1}) OR col % {tile} IN (0, {tile - 1})").withColumn("cell", F.struct("node", "value", "tr", "tc"))
     pairs = neighbours(border, keys, FORWARD, "cell").where("src.value = dst.value AND (src.tr <> dst.tr OR src.tc <> dst.tc) AND src.node <> dst.node")
     labels = components(pairs.select(F.col("src.node").alias("a"), F.col("dst.node").alias("b")).distinct())
-    joined = local.join(labels, "node", "left").withColumn("patch", F.element_at(F.split(F.coalesce("label", "node"), "/"), -1).cast("long"))
+    joined = local.join(labels, "node", "left").withColumn("patch", F.coalesce("label", "node")["local"])
     return joined.select(*keys, "px", "row", "col", "value", "patch")
 
 
@@ -109,9 +91,3 @@ def terrain(pixels: DataFrame, keys: Sequence[str], side: float = 1.0) -> DataFr
     dx = (v(0, 2) + 2 * v(1, 2) + v(2, 2) - v(0, 0) - 2 * v(1, 0) - v(2, 0)) / (8 * side)
     dy = (v(2, 0) + 2 * v(2, 1) + v(2, 2) - v(0, 0) - 2 * v(0, 1) - v(0, 2)) / (8 * side)
     return g.select(*keys, "row", "col", (F.col("hi") - F.col("lo")).alias("roughness"), F.when(F.col("n") > 1, gaps / (F.col("n") - 1)).alias("tri"), F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
-
-
-def decode_window(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Little-endian int16 tiles to arrays, for binary tile columns (as a pandas UDF)."""
-    for part in raw:
-        yield part.map(lambda b: np.frombuffer(b, "<i2").astype(int).tolist() if b is not None else None)

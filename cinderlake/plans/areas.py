@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinderlake.operators import outlines as O
 from cinderlake.operators import overlay as V
+from cinderlake.operators import raster as R
 from cinderlake.plans.build import query
+from cinderlake.plans.spatial import _PATCH, _classes
 from cinderlake.sources import adapters as A
 
 TILE = 24.0
@@ -105,3 +108,26 @@ def nearest_area(spark, sf):
     """Distance of each area to the nearest of some (those of size 1, one in three)."""
     s = shapes(spark, sf)
     return V.nearest(s, s.where("size = 1 AND id % 3 = 0"), TILE).select(F.col("a_id").alias("a"), "distance")
+
+
+@query("patch_outlines", "patch:l area:d outline:d", "", f"""
+WITH RECURSIVE {_PATCH}, q AS (SELECT patch, b.row AS r, b.col AS c FROM patch JOIN b USING (scene, px)), sides AS (SELECT patch, count(*) AS n FROM q, {_SIDES} WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.patch = q.patch AND o.r = q.r + dr AND o.c = q.c + dc) GROUP BY patch)
+SELECT patch, count(*) AS area, any_value(n) AS outline FROM q JOIN sides USING (patch) GROUP BY patch""")
+def patch_outlines(spark, sf):
+    """§2.15: patches of land classes as rings with holes; their areas and lengths are those of the pixels."""
+    patches = R.label_patches(_classes(spark, sf), ["scene"], tile=16)
+    return _measured(O.outlines(patches, ["scene"], "patch", tile=16), ["patch"])
+
+
+@query("masked_window", "id:l n:l total:l", "grid", """
+WITH p AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, p_size AS v FROM part), z AS (SELECT id, 5 * col + 2 AS x, 4 * row + 3 AS y, 1.25::DOUBLE + id % 4 AS d FROM grid)
+SELECT id, count(*) AS n, sum(v) AS total FROM p JOIN z ON abs(c + 0.5 - x) + abs(r + 0.5 - y) < d AND v <> 7 GROUP BY id""")
+def masked_window(spark, sf):
+    """Pixels of a tiled raster under slanted areas, one value standing for no data."""
+    k = F.col("p_partkey")
+    raster = A.read(spark, sf, "part").select(F.lit(1).alias("scene"), F.floor(k / 50).alias("row"), (k % 50).alias("col"), F.col("p_size").alias("value"))
+    x, y, d = 5 * F.col("col") + 2, 4 * F.col("row") + 3, F.lit(1.25) + F.col("id") % 4
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    zones = A.grid(spark, sf).select("id", F.array(F.array(corner(x - d, y), corner(x, y - d), corner(x + d, y), corner(x, y + d))).alias("rings"))
+    found = O.masked_window(O.tiled(raster, ["scene"], 16, nodata=7), zones, ["scene"], 16, nodata=7)
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

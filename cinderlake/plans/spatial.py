@@ -70,11 +70,11 @@ def components(spark, sf):
     return G.label_all(A.grid(spark, sf).select("id"), links.select(F.col("src").alias("a"), F.col("dst").alias("b")), "id")
 
 
-@query("border_flag", "id:l border:l", "grid", "SELECT id, CAST(row = (SELECT min(row) FROM grid) OR row = (SELECT max(row) FROM grid) OR col IN (0, 9) AS INT) AS border FROM grid")
+@query("border_flag", "id:l border:l", "grid", "SELECT id, CAST(row = (SELECT min(row) FROM grid) OR row = (SELECT max(row) FROM grid) OR col IN ((SELECT min(col) FROM grid), (SELECT max(col) FROM grid)) AS INT) AS border FROM grid")
 def border_flag(spark, sf):
     g = A.grid(spark, sf)
-    lo, hi = g.agg(F.min("row"), F.max("row")).first()
-    return g.select("id", ((F.col("row") == lo) | (F.col("row") == hi) | F.col("col").isin(0, 9)).cast("int").alias("border"))
+    ends = g.agg(*[f(c) for c in ("row", "col") for f in (F.min, F.max)]).first()
+    return g.select("id", (F.col("row").isin(*ends[:2]) | F.col("col").isin(*ends[2:])).cast("int").alias("border"))
 
 
 def _burned(spark, sf):
@@ -95,7 +95,22 @@ def same_month_merge(spark, sf):
     return G.merge_same_month(_burned(spark, sf), 1.5)
 
 
-@query("consecutive_month_merge", "year:l px:l month0:l month:l fire:s")
+def _months_swept(n: int) -> str:
+    """The sweep over n months, on groups of one month and the links between groups of different months."""
+    out = "s0 AS (SELECT year, month AS gm, fire AS gf, month AS last, month * 1000000 + fire AS label FROM (SELECT DISTINCT year, month, fire FROM g))"
+    for m in range(1, n + 1):
+        k = m - 1
+        out += f""", e{m} AS (SELECT DISTINCT s.year, s.label AS a, {m} * 1000000 + l.bf AS b FROM links l JOIN s{k} s ON s.year = l.year AND s.gm = l.am AND s.gf = l.af AND s.last = {k} WHERE l.bm = {m}),
+w{m} AS (SELECT year, a, b FROM e{m} UNION ALL SELECT year, b, a FROM e{m}), r{m}(year, a, b) AS (SELECT DISTINCT year, a, a FROM w{m} UNION SELECT r.year, r.a, w.b FROM r{m} r JOIN w{m} w ON w.year = r.year AND w.a = r.b),
+m{m} AS (SELECT year, a, min(b) AS label FROM r{m} GROUP BY ALL), s{m} AS (SELECT s.year, gm, gf, CASE WHEN t.label IS NULL THEN last ELSE {m} END AS last, coalesce(t.label, s.label) AS label FROM s{k} s LEFT JOIN m{m} t ON t.year = s.year AND t.a = s.label)"""
+    return out
+
+
+@query("consecutive_month_merge", "year:l px:l month0:l month:l fire_month:l fire:l", "fires", f"""
+WITH RECURSIVE b AS (SELECT year, px, px // 50 AS row, px % 50 AS col, min(month) AS month FROM fires WHERE units >= 3 GROUP BY ALL), {_reach('year, month', '(q.row - p.row) * (q.row - p.row) + (q.col - p.col) * (q.col - p.col) <= 2')},
+g AS (SELECT year, month, a AS px, min(b) AS fire FROM reach GROUP BY ALL), gp AS (SELECT * FROM g JOIN b USING (year, month, px)),
+links AS (SELECT DISTINCT p.year, p.month AS am, p.fire AS af, q.month AS bm, q.fire AS bf FROM gp p JOIN gp q ON p.year = q.year AND p.month < q.month AND abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1),
+{_months_swept(12)} SELECT g.year, px, g.month AS month0, s.last AS month, s.label // 1000000 AS fire_month, s.label % 1000000 AS fire FROM g JOIN s12 s ON s.year = g.year AND s.gm = g.month AND s.gf = g.fire""")
 def consecutive_month_merge(spark, sf):
     first = _burned(spark, sf).groupBy("year", "px", "row", "col").agg(F.min("month").alias("month"))
     return G.merge_consecutive_months(first, 1.5)

@@ -117,6 +117,49 @@ def test_consecutive_months_carry_the_newer_month(spark):
     assert got[1] == got[2] == got[3] and got[1][0] == 7 and got[4][0] == 9 and got[4][1] != got[1][1]
 
 
+def swept(rows, radius, months):
+    """The sweep by sets of pixels: year -> groups of (month, pixels)."""
+    near = lambda p, q: (p[3] - q[3]) ** 2 + (p[4] - q[4]) ** 2 <= radius * radius
+    out = {}
+    for year in {r[0] for r in rows}:
+        groups = [(r[1], [r]) for r in rows if r[0] == year]
+        for m in months:
+            held, rest = [g for g in groups if g[0] in (m - 1, m)], [g for g in groups if g[0] not in (m - 1, m)]
+            merged = []
+            while held:
+                now, first, grew = [held.pop()], True, True
+                while grew:
+                    grew = [g for g in held if any(near(p, q) for _, ps in now for p in ps for q in g[1])]
+                    held = [g for g in held if g not in grew]
+                    now += grew
+                merged.append((max(g[0] for g in now), [p for g in now for p in g[1]]))
+            groups = rest + merged
+        for month, pixels in groups:
+            least = min((p[1], p[2]) for p in pixels)
+            out |= {(year, p[2]): (p[1], month, *least) for p in pixels}
+    return out
+
+
+@pytest.mark.parametrize(("most", "tile"), [(200_000, 256), (3, 4)])
+def test_consecutive_months_against_sets_of_pixels(spark, most, tile):
+    draw = np.random.default_rng(9)
+    rows = []
+    for year in (1999, 2000):
+        for k in draw.permutation(14 * 14)[:90]:
+            rows.append((year, int(draw.integers(2, 8)), int(k) - 50 + 2 * 10**12, int(k) // 14 - 5, int(k) % 14 - 5))
+    df = spark.createDataFrame(rows, "year int, month int, px long, row int, col int")
+    got = {(r["year"], r["px"]): (r["month0"], r["month"], r["fire_month"], r["fire"]) for r in G.merge_consecutive_months(df, 1.5, range(2, 8), tile, most).collect()}
+    assert got == swept(rows, 1.5, range(2, 8))
+
+
+def test_wide_pixel_numbers_stay_apart(spark):
+    rows = [(2000, 1, 10**12 + 1, 0, 0), (2000, 1, 10**12 + 2, 900, 900), (2000, 1, -5, 0, 1), (2000, 1, -40, 0, 2)]
+    df = spark.createDataFrame(rows, "year int, month int, px long, row int, col int")
+    assert {r["px"]: r["fire"] for r in G.merge_same_month(df, 1.5, tile=2).collect()} == {10**12 + 1: -40, -5: -40, -40: -40, 10**12 + 2: 10**12 + 2}
+    patches = R.label_patches(df.withColumn("value", F.lit(1)), ["year"], tile=2)
+    assert {r["px"]: r["patch"] for r in patches.collect()} == {10**12 + 1: -40, -5: -40, -40: -40, 10**12 + 2: 10**12 + 2}
+
+
 @pytest.mark.parametrize("tile", [1, 3, 100])
 def test_patches_do_not_depend_on_tiles(spark, tile):
     grid = np.random.default_rng(3).integers(0, 2, (9, 11))
