@@ -11,7 +11,9 @@
    inside it, boxes whose subtree is. Prose inside the main block stays: lines that articles of a host share are content.
 5. Fallback, for hosts with few pages: elements that HTML itself marks as no main text (navigation, footers, asides, forms,
    scripts, ...) go, and those that name themselves so (all parts of a class, id or role name, such as menu, cookie-banner,
-   comments). If article or main elements hold at least half of the text that is left, only they count.
+   comments). Names do not count for the article or main element that holds the page's text, and for nothing on the way to
+   the main block where else no text would be left. If article or main elements hold at least half of the text that is left,
+   only they count; else headers outside the main block go too.
 
 Counting sends 16 bytes a hash. Templates are broadcast up to BROADCAST of them (16 MB), and pages then stay where they are;
 beyond that pages travel to their template hashes as compressed bytes. Blocks: character references are decoded, white space
@@ -255,15 +257,17 @@ def no_main_text(node: Node) -> bool:
     return node.tag in NO_TEXT or node.hidden or bool(node.names) and node.tag not in ("html", "body", "main") and named_so(node.names)
 
 
-def left(nodes: list[Node], template) -> set[int]:
-    """ids of the elements that neither template rules nor the fallback takes away."""
-    path = main_path(nodes[0]) if len(template) else [nodes[0]]
+def left(nodes: list[Node], path: list[Node], template, spare: bool = False) -> set[int]:
+    """ids of the elements that neither template rules nor the fallback takes away. Names do not count for the article or main
+    element that holds the page's text, nor for what it lies in; with spare, for nothing on the way to the main block."""
     on_path, kept, todo = set(map(id, path)), {id(nodes[0])}, [(nodes[0], False)]
+    down_to = len(path) if spare else max((k + 1 for k, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+    spared = set(map(id, path[:down_to]))
     while todo:
         node, inside = todo.pop()
         inside = inside or node is path[-1] and node.tag not in ROOTS
         for child in node.children:
-            if isinstance(child, str) or no_main_text(child):
+            if isinstance(child, str) or no_main_text(child) and (id(child) not in spared or child.hidden or child.tag in NO_TEXT):
                 continue
             if len(template) and id(child) not in on_path and child.tag not in ("article", "main"):
                 if child.digest in template and (is_box(child) or not inside) or not inside and is_box(child) and child.shape in template:
@@ -303,10 +307,20 @@ def mains_of(nodes: list[Node], kept: set[int]) -> list[Node]:
 
 def main_text(page: str, template=frozenset()) -> str:
     nodes = parse(page)
-    if len(template):
-        measure(nodes)
-    kept = left(nodes, template)
+    measure(nodes)
+    path = main_path(nodes[0])
+    text = _text_of(nodes, path, left(nodes, path, template))
+    return text if text or not nodes[0].prose else _text_of(nodes, path, left(nodes, path, template, True))
+
+
+def _text_of(nodes: list[Node], path: list[Node], kept: set[int]) -> str:
+    """Blocks of the elements that are kept. A header stays where it lies in the main block itself, among its prose."""
     mains = mains_of(nodes, kept)
+    within, todo = set(), [path[-1]] if path[-1].tag not in ROOTS and any(isinstance(c, Node) and c.tag in PROSE for c in path[-1].children) else []
+    while todo:
+        node = todo.pop()
+        within.add(id(node))
+        todo.extend(c for c in node.children if isinstance(c, Node))
     blocks: list[list[str]] = [[]]
     for top in mains or nodes[:1]:
         blocks.append([])
@@ -319,7 +333,7 @@ def main_text(page: str, template=frozenset()) -> str:
                 blocks[-1].append(child)
             elif child.tag == "br":
                 blocks[-1].append(" ")
-            elif id(child) in kept and not (not mains and (child.tag == "header" or "header" in _WORD.findall(child.names))):
+            elif id(child) in kept and not (not mains and id(child) not in within and (child.tag == "header" or "header" in _WORD.findall(child.names))):
                 if child.tag in BLOCKS:
                     blocks.append([])
                     todo.append(None)

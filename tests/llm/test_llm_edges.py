@@ -500,6 +500,22 @@ def test_template_of_a_section_of_a_large_host(spark):
     assert got == {i: f"Text number {i}" for i in range(600)}
 
 
+def test_names_do_not_take_the_article_itself():
+    text = "<p>One two three four five six seven.</p><p>Eight nine ten eleven.</p>"
+    want = "One two three four five six seven.\nEight nine ten eleven."
+    for kind in ("post legal", "notice", "comments"):
+        assert html_text.main_text(f'<nav>a b</nav><article class="{kind}">{text}</article><footer>c</footer>') == want
+        assert html_text.main_text(f'<div class="{kind}"><article>{text}</article></div><div class="sidebar">x y</div>') == want
+        assert html_text.main_text(f'<div class="{kind}">{text}</div>') == want  # else nothing would be left
+    assert html_text.main_text(f'<article>{text}</article><div class="comments">{"<p>Long talk of readers.</p>" * 20}</div>') == want
+    assert html_text.main_text('<nav><a href="x">only links</a></nav>') == ""
+
+
+def test_headers_in_the_main_block_stay():
+    assert html_text.main_text('<header>Site</header><div id="content"><p>one two three</p><header><h1>Title</h1></header><p>four five</p></div>') == "one two three\nTitle\nfour five"
+    assert html_text.main_text('<div id="content"><p>a</p><header><h1>Title</h1></header><p>b</p></div>') == "a\nTitle\nb"
+
+
 def test_parts_that_are_no_main_text():
     body = """<header>Site</header><nav><ul><li>Home</ul></nav><div class="cookie-banner">We use cookies</div><main><article><h1>Title</h1>
     <p>One<br>two <b>three</b><p>Four&nbsp;five<script>var x = "<p>no</p>";</script><form><input>Mail</form><ul><li>a<li>b</ul>
