@@ -6,8 +6,9 @@ adds the space. Byte offsets where tokens of both end cut a document into groups
 1. Segments. space + text is cut before each white-space run that starts with a space, after any character behind which neither
    vocabulary has a token that goes on with a space (read off both vocabularies; no merge can reach across such a place, and A's
    pre-tokenisation has a border there); white space at the end stays. Each segment starts with a space, so B gets it without one.
-2. Frequent segments. Segments are counted over all documents. The most frequent (HOT bytes at most, by a histogram of counts)
-   are aligned in one job and sent to all tasks. All other segments, of every row, are dealt out by the segment itself: rows of one
+2. Frequent segments. Segments are counted over all documents (those seen once in a task's window are left out; what is frequent
+   only decides the way, not the result). The most frequent (HOT bytes at most, by a histogram of counts) are aligned in one job
+   and sent to all tasks. All other segments, of every row, are dealt out by the segment itself: rows of one
    segment lie together, so each is aligned once, and its alignment goes back to the texts that hold it.
 3. Composition. A text is put together from its segments' alignments, in order: counts, groups, and which segments and links.
 4. Counts of id pairs are documents that hold them linked, summed in tasks and then by Spark; the highest of each A id follows.
@@ -28,6 +29,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 from pathlib import Path
 
@@ -41,10 +43,14 @@ from cinderlake.llm.common import table
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-HOT, PAIRS = 16 << 20, 1 << 20
+HOT, PAIRS = 12 << 20, 1 << 20
 LONGEST, EACH = 1024, 48  # bytes of a frequent segment; bytes counted for each beside its own
 FLUSH = 300_000
 SPACE = "▁"
+#: White space before a space: only then, or at the ends, is a text more than words with one space before each.
+RUNS = re.compile("[\\s\x1c-\x1f] ")
+ASCII_RUNS = [f"{c} " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+MARKS = str.maketrans(",;|", "   ")
 SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 _LOADED: dict[tuple[int, int], Aligner] = {}
 
@@ -73,53 +79,96 @@ class Aligner:
         special = {t["id"] for t in json.loads(a)["added_tokens"]}
         self.a_bytes = {i: t.encode() if i in special else bytes(of[c] for c in t) for t, i in self.a.get_vocab().items()}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.a_sizes = np.array([len(self.a_bytes[i]) for i in range(len(self.a_bytes))], np.int64)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         #: Bytes behind which a token of A or B goes on with a space; no segment ends after these.
         self.joined = {t[k] for t in [*self.a_bytes.values(), *self.b_bytes] for k in range(len(t) - 1) if t[k + 1] == 32 and t[k] != 32}
+        self.beyond_ascii = min(self.joined, default=255) > 127
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 20:
+            raise ValueError("vocabularies of 2^20 tokens at most")
 
     def segments(self, text: str) -> list[str]:
-        found = SEGMENT.findall(f" {text}")
-        if len(found) > 1 and found[-1].isspace():  # B has no tokens for an empty text, so a last space is no segment
-            found[-2:] = ["".join(found[-2:])]
-        if not any(bytes([x, 32]) in text.encode() for x in self.joined):
+        """Segments of space + text, each without the space it starts with; text is not empty."""
+        ascii_ = text.isascii()
+        if text[0] == " " or text[-1] == " " or (any(r in text for r in ASCII_RUNS) if ascii_ else RUNS.search(text)):
+            found = [s[1:] for s in SEGMENT.findall(f" {text}")]
+            if len(found) > 1 and (not found[-1] or found[-1].isspace()):  # B has no tokens for an empty text, so a last space is no segment
+                found[-2:] = [" ".join(found[-2:])]
+        else:
+            found = text.split(" ")
+        if ascii_ and self.beyond_ascii or not any(bytes([x, 32]) in text.encode() for x in self.joined):
             return found
-        out = [found[0]]
+        out = found[:1]
         for s in found[1:]:
-            if out[-1].encode()[-1] in self.joined:
-                out[-1] += s
+            if out[-1].encode()[-1:] and out[-1].encode()[-1] in self.joined:
+                out[-1] += f" {s}"
             else:
                 out.append(s)
         return out
 
-    def encode(self, segments: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        for at in range(0, len(segments), 1000):
-            part = segments[at : at + 1000]
-            both = zip(part, self.a.encode_batch(part, add_special_tokens=False), self.b.encode([s[1:] for s in part], num_threads=1), strict=True)
-            yield from ((s, a.ids, b) for s, a, b in both)
-
-    def align(self, segments: list[str]) -> Iterator[tuple[str | None, list[int]]]:
-        """Groups as text, None where the bytes differ; linked ids, a << 20 | b, in order."""
-        for s, a, b in self.encode(segments):
-            sizes_a, sizes_b = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-            whole = s.encode()
-            if b"".join(sizes_a) != whole or b"".join(sizes_b) != whole:
-                yield None, []
-                continue
-            groups, links, i, j, from_i, from_j, end_a, end_b = [], [], 0, 0, 0, 0, len(sizes_a[0]), len(sizes_b[0])
-            while True:
-                links.append(a[i] << 20 | b[j])
-                on_a, on_b = end_a <= end_b, end_b <= end_a
-                if on_a and on_b:
-                    groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                    from_i, from_j = i + 1, j + 1
-                    if from_i == len(a):
-                        break
-                if on_a:
-                    i += 1
-                    end_a += len(sizes_a[i])
-                if on_b:
-                    j += 1
-                    end_b += len(sizes_b[j])
-            yield ";".join(groups), links
+    def tokens(self, whole: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and of B for a text that starts with a space; None where their bytes differ from it."""
+        a, b = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:])
+        raw = whole.encode()
+        if b"".join([self.a_bytes[x] for x in a]) != raw or b"".join([self.b_bytes[x] for x in b]) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def align(self, segments: list[str]) -> Iterator[str | None]:
+        """Groups of each segment as text, None where the bytes differ. Many are encoded as one text: no merge reaches across."""
+        part = []
+        for k, s in enumerate(segments):
+            part.append(s)
+            if len(part) == 1000 or k + 1 == len(segments) or s[-1:].isspace():  # nothing may follow white space at a text's end
+                yield from self._aligned(part)
+                part = []
+
+    def _aligned(self, part: list[str]) -> list[str | None]:
+        found = self.tokens(" " + " ".join(part))
+        if found is None:
+            half = len(part) // 2
+            return [*self._aligned(part[:half]), *self._aligned(part[half:])] if half else [None]
+        a, b = found
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        cuts_a, cuts_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
+        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups, p, q = [], 0, 0
+        for i, j in zip(cuts_a.tolist(), cuts_b.tolist(), strict=True):
+            groups.append(f"{x[p]}|{y[q]}" if i == p + 1 and j == q + 1 else f"{','.join(x[p:i])}|{','.join(y[q:j])}")
+            p, q = i, j
+        of = np.searchsorted(both, np.cumsum([len(s.encode()) + 1 for s in part])) + 1
+        return [";".join(groups[i:j]) for i, j in zip([0, *of.tolist()], of.tolist(), strict=False)]
+
+    def read(self, texts: list[str]) -> Aligned:
+        """What groups as text say, of all texts at once; '' has no tokens."""
+        some = [t for t in texts if t]
+        which = np.array([k for k, t in enumerate(texts) if t], np.int64)
+        whole = np.frombuffer(";".join(some).encode(), np.uint8)
+        marks = whole[(whole < 48) | (whole > 57)]
+        ids = np.array(";".join(some).translate(MARKS).split(), np.int64)
+        bars, semis = (np.concatenate([[0], np.cumsum(marks == m)]) for m in b"|;")
+        if not some:
+            bars = semis = np.zeros(0, np.int64)
+        on_a = bars == semis
+        groups = np.array([t.count(";") + 1 for t in some], np.int64)
+        of_group = np.repeat(which, groups)
+        a, b, of_a, of_b = ids[on_a], ids[~on_a], of_group[semis[on_a]], of_group[semis[~on_a]]
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        every = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
+        n = len(texts)
+        counts = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_group, minlength=n)], 1)
+        return Aligned(counts.astype(np.int64), a[at_a] << 20 | b[at_b], of_a[at_a])
+
+
+@dataclass
+class Aligned:
+    """Of many segments: tokens of A and B and groups (a row each), all links, and the segment of each link (in order)."""
+
+    counts: np.ndarray
+    links: np.ndarray
+    of: np.ndarray
 
 
 def aligner(files) -> Aligner:
@@ -131,18 +180,21 @@ def aligner(files) -> Aligner:
     return _LOADED[key]
 
 
-def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
-    return pa.array(values, pa.list_(kind))
+def _lists(flat: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """A list for each of n rows, from values and their rows (in order)."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
 def segment_counts(docs: DataFrame, files) -> DataFrame:
-    """segment, n: occurrences over all rows."""
+    """segment, n: occurrences over all rows, without those that are alone in their task's window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, counts = aligner(files).segments, Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["segment", "n"])
+            several = {s: n for s, n in counts.items() if n > 1}
+            return pa.RecordBatch.from_arrays([pa.array(list(several), pa.string()), pa.array(list(several.values()), pa.int64())], names=["segment", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -167,34 +219,32 @@ def frequent(counted: DataFrame, cost: Column, most: int) -> DataFrame:
     return counted.where(F.lit(False)) if least is None else counted.where(size_class >= least)
 
 
-def shape(groups: str) -> tuple[int, int, int]:
-    """Tokens of A, tokens of B and groups."""
-    n_a = n_b = n = 0
-    for a, b in (g.split("|") for g in groups.split(";") if g):
-        n_a, n_b, n = n_a + a.count(",") + 1, n_b + b.count(",") + 1, n + 1
-    return n_a, n_b, n
-
-
 class Frequent:
     """Alignments of frequent segments, as sent to tasks."""
 
     def __init__(self, counted: DataFrame, files, most: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                segments = batch.column(0).to_pylist()
-                groups, links = zip(*aligner(files).align(segments), strict=True) if segments else ((), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string()), _lists(list(links), pa.int64())], names=["segment", "groups", "links"])
+                groups = list(aligner(files).align(batch.column(0).to_pylist()))
+                made = aligner(files).read([g or "" for g in groups])
+                counts = [pa.array(c) for c in made.counts.T]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string()), *counts, _lists(made.links, made.of, len(groups), pa.int64())], names=["segment", "groups", "n_a", "n_b", "n_groups", "links"])
 
         bytes_ = F.octet_length("segment")
         hot = frequent(counted.where(bytes_ <= LONGEST), bytes_ + EACH, most)
-        got = hot.select("segment").mapInArrow(run, "segment string, groups string, links array<bigint>").toArrow()
+        got = hot.select("segment").mapInArrow(run, "segment string, groups string, n_a bigint, n_b bigint, n_groups bigint, links array<bigint>").toArrow()
         self.numbers = {s: k for k, s in enumerate(got.column("segment").to_pylist())}
         self.groups = got.column("groups").to_pylist()
+        self.counts = np.stack([got.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups")], 1).astype(np.int64)
         links = got.column("links").combine_chunks()
+        self.flat = links.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.sizes = np.diff(links.offsets.to_numpy()).astype(np.int64)
-        self.flat = links.values.to_numpy(zero_copy_only=False)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.shapes = [shape(g or "") for g in self.groups]
+
+    def links(self, numbers: np.ndarray) -> np.ndarray:
+        """Links of segments, one after the other."""
+        sizes = self.sizes[numbers]
+        return self.flat[np.repeat(self.starts[numbers], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -203,43 +253,47 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def other_segments(docs: DataFrame, files, hot) -> DataFrame:
-    """k1, k2, segment, groups, links of the segments of each text that are not frequent."""
+    """k1, k2, i, groups of the segments of each text that are not frequent, numbered as they first occur in it."""
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = aligner(files).segments, hot.value.numbers
-        for batch in batches:
-            seen, at, found = set(), [], []
-            for row, (text, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                if text and (k1, k2) not in seen:
-                    seen.add((k1, k2))
-                    own = [s for s in set(cut(text)) if s not in known]
-                    at += [row] * len(own)
-                    found += own
-            if found:
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(3).take(rows), pa.array(found, pa.string())], names=["k1", "k2", "segment"])
+        for whole in batches:
+            seen = set()
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                at, numbers, found = [], [], []
+                for row, (text, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                    if text and (k1, k2) not in seen:
+                        seen.add((k1, k2))
+                        own = list(dict.fromkeys([s for s in cut(text) if s not in known]))
+                        at += [row] * len(own)
+                        numbers += range(len(own))
+                        found += own
+                if found:
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(3).take(rows), pa.array(numbers, pa.int32()), pa.array(found, pa.string())], names=["k1", "k2", "i", "segment"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_row = (None, None, None), None
+        last, last_groups, last_row = None, None, None
         for batch in batches:
-            k1, k2, segments = (batch.column(c).to_pylist() for c in range(3))
-            fresh = list(dict.fromkeys(s for s in segments if s != last[0]))
+            k1, k2, segments = (batch.column(c).to_pylist() for c in (0, 1, 3))
+            fresh = list(dict.fromkeys(segments))
+            if fresh and fresh[0] == last:
+                fresh = fresh[1:]
             aligned = dict(zip(fresh, aligner(files).align(fresh), strict=True))
-            if last[0] is not None:
-                aligned[last[0]] = last[1:]
+            aligned.setdefault(last, last_groups)
             keep = []
             for row, now in enumerate(zip(segments, k1, k2, strict=True)):
                 if now != last_row:  # rows of repeated texts lie together too
                     keep.append(row)
                 last_row = now
             if segments:
-                last = (segments[-1], *aligned[segments[-1]])
+                last, last_groups = segments[-1], aligned[segments[-1]]
             part = batch.take(pa.array(keep, pa.int64()))
-            groups, links = zip(*(aligned[segments[row]] for row in keep), strict=True) if keep else ((), ())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(groups, pa.string()), _lists(list(links), pa.int64())], names=["k1", "k2", "segment", "groups", "links"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([aligned[segments[row]] for row in keep], pa.string())], names=["k1", "k2", "i", "groups"])
 
-    rows = docs.mapInArrow(rare, "k1 bigint, k2 bigint, segment string").repartition("segment").sortWithinPartitions("segment", "k1", "k2")
-    return rows.mapInArrow(once, "k1 bigint, k2 bigint, segment string, groups string, links array<bigint>")
+    rows = docs.mapInArrow(rare, "k1 bigint, k2 bigint, i int, segment string").repartition("segment").sortWithinPartitions("segment", "k1", "k2")
+    return rows.mapInArrow(once, "k1 bigint, k2 bigint, i int, groups string")
 
 
 COMPOSED = "doc_id bigint, k1 bigint, k2 bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, numbers array<int>, times array<int>, links array<bigint>"
@@ -247,61 +301,64 @@ COMPOSED = "doc_id bigint, k1 bigint, k2 bigint, n_a bigint, n_b bigint, n_group
 
 def compose(docs: DataFrame, files, hot, digest: bool) -> DataFrame:
     """COMPOSED rows: counts and groups of each text; its frequent segments by number, how often each, and all other links."""
-    others = other_segments(docs, files, hot)
-    by_text = others.groupBy("k1", "k2").agg(F.collect_list(F.struct("segment", "groups", "links")).alias("others"))
+    by_text = other_segments(docs, files, hot).groupBy("k1", "k2").agg(F.collect_list(F.concat_ws(":", "i", "groups")).alias("others"))
     names = [f.split()[0] for f in COMPOSED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known, texts, sizes, shapes = aligner(files).segments, hot.value.numbers, hot.value.groups, hot.value.sizes, np.array(hot.value.shapes, np.int64).reshape(-1, 3)
-
-        def one(text: str | None, more: list[dict] | None) -> tuple:
-            nothing = (0, 0, 0, 0, "", [], [], [])
-            if not text:
-                return nothing
-            own = {x["segment"]: (x["groups"], x["links"]) for x in more or ()}
-            numbers, parts, links, other = [], [], [], np.zeros(3, np.int64)
-            for s in cut(text):
-                k = known.get(s)
-                if k is None:
-                    part, found = own[s]
-                    links += found
-                    other += shape(part or "")
-                else:
-                    part = texts[k]
-                    numbers.append(k)
-                if part is None:
-                    return nothing
-                parts.append(part)
-            ids, times = np.unique(np.array(numbers, np.int64), return_counts=True)
-            counts = (shapes[ids] * times[:, None]).sum(0) + other
-            groups = ";".join(parts)
-            return *counts.tolist(), len(links) + int((sizes[ids] * times).sum()), sha256(groups.encode()).hexdigest() if digest else groups, ids, times, links
-
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [one(t, m) for t, m in zip(part.column(1).to_pylist(), part.column(4).to_pylist(), strict=True)]
-                made = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *made], names=names)
+        cut, read = aligner(files).segments, aligner(files).read
+        known, texts, frequent_counts, sizes = hot.value.numbers.get, hot.value.groups, hot.value.counts, hot.value.sizes
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
+                groups, numbers, others, n = [], [], [], part.num_rows
+                sizes_in, sizes_out = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for row, (text, more) in enumerate(zip(part.column(1).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                    own = list(map(known, segments := cut(text))) if text else []
+                    outside = []
+                    if more:
+                        rest = dict(x.partition(":")[::2] for x in more)
+                        place: dict[str, str] = {}
+                        gone = [k for k, number in enumerate(own) if number is None]
+                        # a segment without groups (null) comes as its number alone
+                        outside = [rest[place.setdefault(segments[k], str(len(place)))] for k in gone]
+                        pieces = [texts[k] if k is not None else "" for k in own]
+                        for k, g in zip(gone, outside, strict=True):
+                            pieces[k] = g or None
+                        own = [k for k in own if k is not None]
+                    else:
+                        pieces = [texts[k] for k in own]
+                    if None in pieces:
+                        pieces, own, outside = [], [], []
+                    joined = ";".join(pieces)
+                    groups.append(sha256(joined.encode()).hexdigest() if digest and joined else joined)
+                    numbers += own
+                    others += outside
+                    sizes_in[row], sizes_out[row] = len(own), len(outside)
+                of_number, of_other, numbers = np.repeat(np.arange(n), sizes_in), np.repeat(np.arange(n), sizes_out), np.array(numbers, np.int64)
+                made = read(others)
+                keys, times = np.unique(of_number << 32 | numbers, return_counts=True)
+                rows, numbers = keys >> 32, keys & 0xFFFFFFFF
+                counts = np.zeros((n, 4), np.int64)
+                np.add.at(counts, rows, np.concatenate([frequent_counts[numbers], sizes[numbers, None]], 1) * times[:, None])
+                np.add.at(counts[:, :3], of_other, made.counts)
+                of_link = of_other[made.of]
+                counts[:, 3] += np.bincount(of_link, minlength=n)
+                lists = [_lists(x, r, n, kind) for x, r, kind in ((numbers, rows, pa.int32()), (times, rows, pa.int32()), (made.links, of_link, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *map(pa.array, counts.T), pa.array(groups, pa.string()), *lists], names=names)
 
     return docs.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "others").mapInArrow(run, COMPOSED)
 
 
-def _expanded(batch: pa.RecordBatch, hot: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, link and how often, of all links of a batch of composed rows (columns numbers, times, links)."""
-    numbers, times, others = batch.columns
-    row = np.repeat(np.arange(batch.num_rows), np.diff(numbers.offsets.to_numpy()))
-    k, n = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (numbers, times))
-    sizes = hot.sizes[k]
-    at = np.repeat(hot.starts[k], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    more = others.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    more_row = np.repeat(np.arange(batch.num_rows), np.diff(others.offsets.to_numpy()))
-    return np.concatenate([np.repeat(row, sizes), more_row]), np.concatenate([hot.flat[at], more]).astype(np.int64), np.concatenate([np.repeat(n, sizes), np.ones(len(more), np.int64)])
+def _read_lists(batch: pa.RecordBatch) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Row, number and times of frequent segments; row and link of all others (columns numbers, times, links)."""
+    numbers, times, links = batch.columns
+    rows = [np.repeat(np.arange(batch.num_rows), np.diff(c.offsets.to_numpy())) for c in (numbers, links)]
+    k, n, other = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (numbers, times, links))
+    return (rows[0], k, n), (rows[1], other)
 
 
 def pair_counts(composed: DataFrame, hot) -> DataFrame:
-    """pair, n (documents that hold it linked), best (no pair of the same A id has more)."""
+    """pair (A id << 20 | B id), n (documents that hold it linked), best (none of its A id has more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
@@ -311,12 +368,10 @@ def pair_counts(composed: DataFrame, hot) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                row, pair, _ = _expanded(batch.slice(at, 200), hot.value)
-                by = np.lexsort((row, pair))
-                row, pair = row[by], pair[by]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
-                ids, n = np.unique(pair[new], return_counts=True)
+                (row, number, _), (other_row, other) = _read_lists(batch.slice(at, 200))
+                rows = np.concatenate([np.repeat(row, hot.value.sizes[number]), other_row])
+                held = np.unique(np.concatenate([hot.value.links(number), other]) << 8 | rows)  # 200 rows, so 8 bits
+                ids, n = np.unique(held >> 8, return_counts=True)
                 counts.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
                 if len(counts) > FLUSH:
                     yield out()
@@ -338,17 +393,31 @@ def link_sums(composed: DataFrame, pairs: DataFrame, hot, most: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, bests = (np.append(x, -1) for x in table_.value)
+
+        def looked_up(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            place = np.searchsorted(ids[:-1], pair)
+            found = ids[place] == pair
+            return np.where(found, bests[place], 0), np.where(found, counts[place], 0), ~found
+
+        frequent_ = hot.value
+        of = np.repeat(np.arange(len(frequent_.sizes)), frequent_.sizes)
+        best, count, unknown = (np.bincount(of, x, len(frequent_.sizes)).astype(np.int64) for x in looked_up(frequent_.flat))
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                row, pair, times = _expanded(batch.select(["numbers", "times", "links"]), hot.value)
-                place = np.searchsorted(ids[:-1], pair)
-                known = ids[place] == pair
-                sums = [np.bincount(row[known], weights, batch.num_rows).astype(np.int64) for weights in (bests[place[known]] * times[known], counts[place[known]] * times[known])]
-                left = np.flatnonzero(~known)
-                left = left[np.argsort(row[left], kind="stable")]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[left], minlength=batch.num_rows))]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[left])) for x in (pair, times)]
+                n = batch.num_rows
+                (row, number, times), (other_row, other) = _read_lists(batch.select(["numbers", "times", "links"]))
+                other_best, other_count, other_unknown = looked_up(other)
+                sums = [(np.bincount(row, x[number] * times, n) + np.bincount(other_row, y, n)).astype(np.int64) for x, y in ((best, other_best), (count, other_count))]
+                some = unknown[number] > 0
+                sizes = frequent_.sizes[number[some]]
+                pair = frequent_.links(number[some])
+                left = looked_up(pair)[2]
+                rows = np.concatenate([np.repeat(row[some], sizes)[left], other_row[other_unknown]])
+                by = np.argsort(rows, kind="stable")
+                pair = np.concatenate([pair[left], other[other_unknown]])[by]
+                often = np.concatenate([np.repeat(times[some], sizes)[left], np.ones(int(other_unknown.sum()), np.int64)])[by]
+                lists = [_lists(x, rows[by], n, pa.int64()) for x in (pair, often)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *map(pa.array, sums), *lists], names=[*carried, "n_best", "count_sum", "pair", "times"])
 
     schema = ", ".join(COMPOSED.split(", ")[:8]) + ", n_best bigint, count_sum bigint, pair array<bigint>, times array<bigint>"

@@ -74,9 +74,10 @@ def test_tokens_that_go_on_with_a_space(both):
 def test_segments_hold_the_text(both):
     for text in ("a b  c\n d \n\n e", "   ", "x", " x ", "é  y  z", "a\t b\x1c c"):
         found = both.segments(text)
-        assert "".join(found) == f" {text}" and all(s[0] == " " for s in found)
-    assert both.segments("a b  c\n d  e") == [" a", " b", "  c\n d  e"]
-    assert both.segments("voilà la mer") == [" voilà la", " mer"]
+        assert " ".join(found) == text and all(found)
+    assert both.segments("a b  c\n d  e") == ["a", "b", " c\n d", " e"]
+    assert both.segments("voilà la mer") == ["voilà la", "mer"]
+    assert both.segments("a b ") == ["a", "b "] and both.segments(" a\x85 b") == [" a\x85 b"]
 
 
 def strange(draw, n):
