@@ -78,16 +78,24 @@ def landscape_metrics(pixels: DataFrame, keys: Sequence[str], side_m: float = 30
 
 
 def terrain(pixels: DataFrame, keys: Sequence[str], side: float = 1.0) -> DataFrame:
-    """Roughness (range of the 3 x 3 window), ruggedness (mean absolute difference to the neighbours that exist) and
-    Horn's slope in degrees (null at borders). One exchange: every pixel sends its value to its nine windows."""
+    """Roughness (range of the 3 x 3 window), ruggedness (mean absolute difference to the eight neighbours) and Horn's slope
+    in degrees, of every pixel. Windows at borders are extrapolated: a missing row is twice the middle one less the opposite
+    one, with the nearest columns that exist; a missing side pixel likewise from its row. Where the opposite is missing too,
+    the middle stands for both. One exchange: every pixel sends its value to its nine windows."""
     keys = list(keys)
     steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), *AROUND)])
     sent = pixels.select(*keys, "row", "col", "value", F.explode(steps).alias("s")).select(*keys, (F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), "value", "s.r", "s.c")
     cell = lambda r, c: F.max(F.when((F.col("r") == r) & (F.col("c") == c), F.col("value")))
-    g = sent.groupBy(*keys, "row", "col").agg(*[cell(r, c).alias(f"v{r + 1}{c + 1}") for r in (-1, 0, 1) for c in (-1, 0, 1)], F.max("value").alias("hi"), F.min("value").alias("lo"), F.count("*").alias("n"))
-    g = g.where("v11 IS NOT NULL")
+    g = sent.groupBy(*keys, "row", "col").agg(*[cell(r, c).alias(f"v{r + 1}{c + 1}") for r in (-1, 0, 1) for c in (-1, 0, 1)]).where("v11 IS NOT NULL")
     v = lambda r, c: F.col(f"v{r}{c}")
-    gaps = sum((F.coalesce(F.abs(v(r + 1, c + 1) - v(1, 1)), F.lit(0.0)) for r, c in AROUND), F.lit(0.0))
+    beyond = lambda middle, opposite: F.coalesce(2 * middle - opposite, middle)
+    level = {(r, c): F.coalesce(v(r, c), v(r, 1)) for r in range(3) for c in range(3)}  # columns that exist
+    at_line = v(0, 1).isNull() | v(2, 1).isNull()
+    lined = {(r, c): F.coalesce(level[r, c], beyond(level[1, c], level[2 - r, c])) for r in range(3) for c in range(3)}
+    sided = {(r, c): F.coalesce(v(r, c), beyond(v(r, 1), v(r, 2 - c))) for r in range(3) for c in range(3)}
+    g = g.select(*keys, "row", "col", *[F.when(at_line, lined[r, c]).otherwise(sided[r, c]).cast("double").alias(f"v{r}{c}") for r in range(3) for c in range(3)])
+    every = [v(r, c) for r in range(3) for c in range(3)]
+    gaps = sum((F.abs(x - v(1, 1)) for x in every), F.lit(0.0))
     dx = (v(0, 2) + 2 * v(1, 2) + v(2, 2) - v(0, 0) - 2 * v(1, 0) - v(2, 0)) / (8 * side)
     dy = (v(2, 0) + 2 * v(2, 1) + v(2, 2) - v(0, 0) - 2 * v(0, 1) - v(0, 2)) / (8 * side)
-    return g.select(*keys, "row", "col", (F.col("hi") - F.col("lo")).alias("roughness"), F.when(F.col("n") > 1, gaps / (F.col("n") - 1)).alias("tri"), F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
+    return g.select(*keys, "row", "col", (F.greatest(*every) - F.least(*every)).alias("roughness"), (gaps / 8).alias("tri"), F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))

@@ -23,14 +23,27 @@ def edge_list(spark, sf):
     return _edges(spark, sf)
 
 
-@query("distance_pairs", "src:l dst:l km:d", "grid", f"""WITH {_EDGES}, p AS (SELECT id, radians(col * 0.5::DOUBLE - 60) AS lon, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(row * 0.5::DOUBLE - 20))) AS b FROM grid),
-t AS (SELECT src, dst, (a.b + b.b) / 2 AS p, (b.b - a.b) / 2 AS q, 2 * asin(sqrt(pow(sin((b.b - a.b) / 2), 2) + cos(a.b) * cos(b.b) * pow(sin((b.lon - a.lon) / 2), 2))) AS s FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst)
-SELECT src, dst, 6378.137::DOUBLE * (s - 1 / 298.257223563::DOUBLE / 2 * ((s - sin(s)) * pow(sin(p) * cos(q), 2) / pow(cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(q), 2) / pow(sin(s / 2), 2))) AS km FROM t""")
+def _geodesic(rounds: int) -> str:
+    """Vincenty's inverse iteration over pairs p (src, dst, l, u, w: difference of longitudes and reduced latitudes)."""
+    out = "t0 AS (SELECT *, l AS lam FROM p)"
+    for k in range(1, rounds + 1):
+        out += f""", a{k} AS (SELECT *, sqrt(pow(cos(w) * sin(lam), 2) + pow(cos(u) * sin(w) - sin(u) * cos(w) * cos(lam), 2)) AS ss, sin(u) * sin(w) + cos(u) * cos(w) * cos(lam) AS cs FROM t{k - 1}),
+b{k} AS (SELECT *, atan2(ss, cs) AS sig, coalesce(cos(u) * cos(w) * sin(lam) / nullif(ss, 0), 0) AS sa FROM a{k}), c{k} AS (SELECT *, 1 - sa * sa AS ca FROM b{k}),
+d{k} AS (SELECT *, coalesce(cs - 2 * sin(u) * sin(w) / nullif(ca, 0), 0) AS cm, 1 / 298.257223563::DOUBLE / 16 * ca * (4 + 1 / 298.257223563::DOUBLE * (4 - 3 * ca)) AS cc FROM c{k}),
+t{k} AS (SELECT src, dst, l, u, w, ss AS s_, cs AS c_, sig AS g_, ca AS a_, cm AS m_, l + (1 - cc) * (1 / 298.257223563::DOUBLE) * sa * (sig + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) AS lam FROM d{k})"""
+    return out
+
+
+@query("distance_pairs", "src:l dst:l km:d converged:l", "grid", f"""WITH {_EDGES}, q AS (SELECT id, radians(col * 0.5::DOUBLE - 60) AS lon, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(row * 0.5::DOUBLE - 20))) AS b FROM grid),
+p AS (SELECT src, dst, b.lon - a.lon AS l, a.b AS u, b.b AS w FROM edges JOIN q a ON a.id = src JOIN q b ON b.id = dst), {_geodesic(6)},
+h AS (SELECT *, a_ * (6378.137::DOUBLE * 6378.137 / (6356.752314245179::DOUBLE * 6356.752314245179) - 1) AS z FROM t6),
+n AS (SELECT *, 1 + z / 16384 * (4096 + z * (-768 + z * (320 - 175 * z))) AS aa, z / 1024 * (256 + z * (-128 + z * (74 - 47 * z))) AS bb FROM h)
+SELECT src, dst, 6356.752314245179::DOUBLE * aa * (g_ - bb * s_ * (m_ + bb / 4 * (c_ * (2 * m_ * m_ - 1) - bb / 6 * m_ * (4 * s_ * s_ - 3) * (4 * m_ * m_ - 3)))) AS km, 1 AS converged FROM n""")
 def distance_pairs(spark, sf):
     p = A.grid(spark, sf).select("id", (F.col("col") * 0.5 - 60).alias("lon"), (F.col("row") * 0.5 - 20).alias("lat"))
     at = lambda k: p.select(F.col("id").alias(k), F.col("lon").alias(f"{k}_lon"), F.col("lat").alias(f"{k}_lat"))
     e = _edges(spark, sf).join(at("src"), "src").join(at("dst"), "dst")
-    return e.withColumn("km", G.geodesic_km(F.col("src_lon"), F.col("src_lat"), F.col("dst_lon"), F.col("dst_lat")))
+    return e.withColumn("g", G.geodesic(F.col("src_lon"), F.col("src_lat"), F.col("dst_lon"), F.col("dst_lat"), 8)).select("src", "dst", "g.km", F.col("g.converged").cast("int").alias("converged"))
 
 
 @query("neighbour_mean", "id:l pct_area_near:d", "grid", f"WITH {_BOTH} SELECT src AS id, avg(pct_area) AS pct_area_near FROM sym JOIN grid ON grid.id = dst GROUP BY src")
@@ -149,11 +162,24 @@ def landscape_metrics(spark, sf):
     return R.landscape_metrics(_classes(spark, sf), ["scene"], tile=8)
 
 
-@query("terrain_3x3", "row:l col:l roughness:d tri:d slope:d", "", """
+def _window() -> str:
+    """Nine values of each pixel's window, extrapolated at borders, as columns e00 .. e22."""
+    v = {(r, c): f"max(v) FILTER (r = {r - 1} AND k = {c - 1}) AS v{r}{c}" for r in range(3) for c in range(3)}
+    level = lambda r, c: f"coalesce(v{r}{c}, v{r}1)"
+    lined = lambda r, c: f"coalesce({level(r, c)}, 2 * {level(1, c)} - {level(2 - r, c)}, {level(1, c)})"
+    sided = lambda r, c: f"coalesce(v{r}{c}, 2 * v{r}1 - v{r}{2 - c}, v{r}1)"
+    cells = [f"CASE WHEN v01 IS NULL OR v21 IS NULL THEN {lined(r, c)} ELSE {sided(r, c)} END::DOUBLE AS e{r}{c}" for r in range(3) for c in range(3)]
+    return f"w AS (SELECT row, col, {', '.join(v.values())} FROM s GROUP BY ALL), g AS (SELECT row, col, {', '.join(cells)} FROM w)"
+
+
+_CELLS = [f"e{r}{c}" for r in range(3) for c in range(3)]
+
+
+@query("terrain_3x3", "row:l col:l roughness:d tri:d slope:d", "", f"""
 WITH b AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, p_retailprice AS v FROM part),
-s AS (SELECT a.row, a.col, a.v AS c, n.v, n.row - a.row AS r, n.col - a.col AS k FROM b a JOIN b n ON abs(n.row - a.row) <= 1 AND abs(n.col - a.col) <= 1),
-g AS (SELECT row, col, max(v) - min(v) AS roughness, sum(abs(v - c)) / nullif(count(*) - 1, 0) AS tri, count(*) AS n, sum(v * k * CASE WHEN r = 0 THEN 2 ELSE 1 END) / 8 AS dx, sum(v * r * CASE WHEN k = 0 THEN 2 ELSE 1 END) / 8 AS dy FROM s GROUP BY ALL)
-SELECT row, col, roughness, tri, CASE WHEN n = 9 THEN degrees(atan(sqrt(dx * dx + dy * dy))) END AS slope FROM g""")
+s AS (SELECT a.row, a.col, n.v, n.row - a.row AS r, n.col - a.col AS k FROM b a JOIN b n ON abs(n.row - a.row) <= 1 AND abs(n.col - a.col) <= 1), {_window()},
+d AS (SELECT *, (e02 + 2 * e12 + e22 - e00 - 2 * e10 - e20) / 8 AS dx, (e20 + 2 * e21 + e22 - e00 - 2 * e01 - e02) / 8 AS dy FROM g)
+SELECT row, col, greatest({", ".join(_CELLS)}) - least({", ".join(_CELLS)}) AS roughness, ({" + ".join(f"abs({c} - e11)" for c in _CELLS)}) / 8 AS tri, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope FROM d""")
 def terrain_3x3(spark, sf):
     p = A.read(spark, sf, "part").select(F.lit(1).alias("scene"), F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), F.col("p_retailprice").alias("value"))
     return R.terrain(p, ["scene"])

@@ -450,3 +450,93 @@ def test_vintages_and_frequencies_over_the_most(spark):
     assert Z.frequency_nearest(freq, ["id"], 9).first()["f50"] == 2
     with pytest.raises(Exception, match="a frequency is over 7"):
         Z.frequency_nearest(freq, ["id"], 7).collect()
+
+
+def test_geodesics_at_full_precision(spark):
+    # Published test lines of the ellipsoid: most to a millimetre, and an antipodal pair.
+    lines = [(0.0, 0.0, 0.5, 0.5, 78.451249), (144.42486788888888, -37.95103341666667, 143.92649552777777, -37.65282113888889, 54.972271), (-73.8, 40.6, 103.98, 1.36, 15349.6), (0.0, 0.0, 179.9, 0.1, None), (10.0, 20.0, 10.0, 20.0, 0.0), (0.0, 0.0, 90.0, 0.0, 10018.754171), (0.0, 0.0, 0.0, 90.0, 10001.965729), (179.5, 10.0, -179.5, 10.0, 109.6393)]
+    df = spark.createDataFrame(lines, "a double, b double, c double, d double, want double")
+    for r in df.withColumn("g", G.geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect():
+        if r["want"] is None:
+            assert not r["g"]["converged"] and r["g"]["km"] is None
+        else:
+            assert r["g"]["converged"] and r["g"]["km"] == pytest.approx(r["want"], abs={15349.6: 0.1, 109.6393: 1e-4}.get(r["want"], 1e-6))
+
+
+def test_terrain_at_borders_is_extrapolated(spark):
+    plane = [(1, r, c, 2.0 * c + 3.0 * r) for r in range(5) for c in range(4)]
+    got = {(r["row"], r["col"]): r for r in R.terrain(spark.createDataFrame(plane, "s int, row int, col int, value double"), ["s"]).collect()}
+    assert len(got) == 20 and all(r["slope"] is not None for r in got.values())
+    for (r, c), x in got.items():
+        corner = r in (0, 4) and c in (0, 3)
+        assert x["slope"] == pytest.approx(np.degrees(np.arctan(np.hypot(1.0 if corner else 2.0, 3.0))))
+    one = R.terrain(spark.createDataFrame([(1, 0, 0, 7.0)], "s int, row int, col int, value double"), ["s"]).first()
+    assert (one["roughness"], one["tri"], one["slope"]) == (0, 0, 0)
+
+
+def ordination_by_rows(y, x, w, scaling):
+    standard = lambda m: (m - m.mean(0)) / m.std(0, ddof=1)
+    y, x = standard(y), standard(x)
+    given = standard(w) @ np.linalg.lstsq(standard(w), y, rcond=None)[0] if w is not None else np.zeros_like(y)
+    both = np.hstack([x, standard(w)]) if w is not None else x
+    fitted = both @ np.linalg.lstsq(both, y, rcond=None)[0]
+    out = {}
+    for prefix, base, rows in (("fit", fitted - given, fitted - given), ("site", fitted - given, y - given), ("res", y - fitted, y - fitted)):
+        values, vectors = np.linalg.eigh(base.T @ base / (len(y) - 1))
+        for k in range(y.shape[1] if prefix == "res" else min(y.shape[1], x.shape[1])):
+            out[f"{prefix}{k + 1}"] = rows @ vectors[:, -1 - k] / (np.sqrt(values[-1 - k]) if scaling == 2 else 1)
+    return out
+
+
+@pytest.mark.parametrize("scaling", [1, 2])
+@pytest.mark.parametrize("given", [(), ("g",)])
+def test_ordination_scores_against_regressions(spark, scaling, given):
+    draw = np.random.default_rng(8)
+    m = draw.normal(size=(40, 6)) @ draw.normal(size=(6, 6))
+    df = spark.createDataFrame(m.tolist(), "y1 double, y2 double, y3 double, x1 double, x2 double, g double")
+    got = M.ordination_scores(df, ["y1", "y2", "y3"], ["x1", "x2"], given, scaling).toPandas()
+    want = ordination_by_rows(m[:, :3], m[:, 3:5], m[:, 5:] if given else None, scaling)
+    assert {c for c in got.columns if c[:3] in ("fit", "sit", "res")} == set(want)
+    for c, v in want.items():
+        own = got[c].to_numpy()
+        assert np.allclose(own * np.sign(own @ v), v, atol=1e-8)
+
+
+def test_biplot_and_discriminant_scores(spark):
+    draw = np.random.default_rng(9)
+    m = draw.normal(size=(30, 3)) @ draw.normal(size=(3, 3))
+    df = spark.createDataFrame([(*row, k % 3) for k, row in enumerate(m.tolist())], "a double, b double, c double, label int")
+    scores, values, vectors = M.pca(df, ["a", "b", "c"])
+    z = (m - m.mean(0)) / m.std(0, ddof=1)
+    for scaling in (1, 2):
+        sites, variables = M.biplot(scores, ["a", "b", "c"], values, vectors, 30, scaling)
+        own = sites.select("PC1", "PC2", "PC3").toPandas().to_numpy()
+        assert np.allclose(own @ variables.T, z, atol=1e-8)  # rows times variables give the data back in both scalings
+        if scaling == 2:
+            assert np.allclose(variables @ variables.T, np.corrcoef(m.T)) and np.allclose(own.var(0, ddof=1), 1)
+    ld = M.discriminant_scores(df, "label", ["a", "b", "c"]).toPandas()
+    groups = [ld[ld.label == k][["LD1", "LD2"]].to_numpy() for k in range(3)]
+    within = sum((g - g.mean(0)).T @ (g - g.mean(0)) for g in groups) / (30 - 3)
+    assert np.allclose(within, np.eye(2), atol=1e-8) and np.allclose(ld[["LD1", "LD2"]].mean(), 0, atol=1e-8)
+
+
+@pytest.mark.parametrize("block", [20, 5000])
+def test_dunn_against_all_distances(spark, block):
+    draw = np.random.default_rng(10)
+    x = np.concatenate([draw.normal(size=(700, 3)) * (1, 0.3, 0.2) + at for at in ((0, 0, 0), (6, 1, 0), (0, 5, 4))])
+    y = np.repeat([1, 2, 3], 700)
+    rows = [(int(k), *map(float, v)) for k, v in zip(y, x, strict=True)]
+    df = spark.createDataFrame(rows + rows[:50] + [(None, 0.0, 0.0, 0.0)], "label int, a double, b double, c double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    same = y[:, None] == y[None]
+    got = M.dunn(df, "label", ["a", "b", "c"], block).first()
+    assert got["separation"] == pytest.approx(d[~same].min()) and got["diameter"] == pytest.approx(d[same].max())
+    assert got["dunn"] == pytest.approx(d[~same].min() / d[same].max())
+    assert block > 2000 or got["visits"] < 0.05 * 2100**2 / 2
+
+
+def test_dunn_of_small_tables(spark):
+    of = lambda rows: M.dunn(spark.createDataFrame(rows, "label int, a double, b double"), "label", ["a", "b"])
+    assert of([]).count() == 0
+    assert tuple(of([(1, 0.0, 0.0), (1, 3.0, 4.0)]).first())[:3] == (None, 5.0, None)
+    assert tuple(of([(1, 0.0, 0.0), (2, 3.0, 4.0)]).first())[:3] == (5.0, 0.0, None)
