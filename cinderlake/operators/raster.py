@@ -84,8 +84,9 @@ def terrain(pixels: DataFrame, keys: Sequence[str], side: float = 1.0) -> DataFr
     the middle stands for both. One exchange: every pixel sends its value to its nine windows."""
     keys = list(keys)
     steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), *AROUND)])
-    sent = pixels.select(*keys, "row", "col", "value", F.explode(steps).alias("s")).select(*keys, (F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), "value", "s.r", "s.c")
-    cell = lambda r, c: F.max(F.when((F.col("r") == r) & (F.col("c") == c), F.col("value")))
+    sent = pixels.select(*keys, "row", "col", "value", F.explode(steps).alias("_s"))
+    sent = sent.select(*keys, (F.col("row") - F.col("_s.r")).alias("row"), (F.col("col") - F.col("_s.c")).alias("col"), "value", F.col("_s.r").alias("_r"), F.col("_s.c").alias("_c"))
+    cell = lambda r, c: F.max(F.when((F.col("_r") == r) & (F.col("_c") == c), F.col("value")))
     g = sent.groupBy(*keys, "row", "col").agg(*[cell(r, c).alias(f"v{r + 1}{c + 1}") for r in (-1, 0, 1) for c in (-1, 0, 1)]).where("v11 IS NOT NULL")
     v = lambda r, c: F.col(f"v{r}{c}")
     beyond = lambda middle, opposite: F.coalesce(2 * middle - opposite, middle)

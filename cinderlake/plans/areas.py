@@ -11,7 +11,7 @@ from cinderlake.plans.build import query
 from cinderlake.plans.spatial import _PATCH, _classes
 from cinderlake.sources import adapters as A
 
-TILE = 24.0
+TILE, WIDE = 24.0, 96.0
 #: Pixels of the areas: a square, an L, a square with a hole, two squares that meet at a corner.
 _SHAPES = """shapes AS (SELECT p_partkey AS id, p_brand AS brand, p_size AS size, 2 + p_size % 8 AS a, (3 + p_size % 8) // 2 AS h, p_partkey % 4 AS kind, 6 * (p_partkey % 50) AS x, 6 * (p_partkey // 50) AS y FROM part),
 dots AS (SELECT *, unnest(range(a)) AS dx FROM shapes), dots2 AS (SELECT *, unnest(range(a)) AS dy FROM dots),
@@ -38,7 +38,7 @@ def shapes(spark, sf):
     return p.select("id", "brand", "size", "kind", rings.alias("rings"))
 
 
-_PAIRS = f"""near AS (SELECT DISTINCT p.id AS a, q.id AS b FROM px p, {_AROUND}, px q WHERE q.c = p.c + dc AND q.r = p.r + dr AND p.id <> q.id),
+_PAIRS = f"""rim AS (SELECT DISTINCT id, c + dc AS c, r + dr AS r FROM px, {_AROUND}), near AS (SELECT DISTINCT p.id AS a, q.id AS b FROM rim p JOIN px q USING (c, r) WHERE p.id <> q.id),
 n AS (SELECT id, count(*) AS n FROM px GROUP BY id), com AS (SELECT p.id AS a, q.id AS b, count(*) AS common FROM px p JOIN px q USING (c, r) WHERE p.id <> q.id GROUP BY ALL)"""
 
 
@@ -85,21 +85,21 @@ def _counted(pixels: str) -> str:
 @query("dissolve_areas", "brand:s area:d outline:d", "", f"WITH {_SHAPES}, p AS (SELECT brand AS k, c, r FROM px), {_counted('p')} SELECT k AS brand, count(*) AS area, any_value(edge.n) AS outline FROM u JOIN edge USING (k) GROUP BY k")
 def dissolve_areas(spark, sf):
     """The union of each brand's areas, by tiles."""
-    found = V.dissolve(shapes(spark, sf).withColumnRenamed("id", "owner"), ["brand"], TILE)
+    found = V.dissolve(shapes(spark, sf).withColumnRenamed("id", "owner"), ["brand"], WIDE)
     return _measured(found, ["brand"])
 
 
 @query("buffer_areas", "brand:s area:d outline:d", "", f"WITH {_SHAPES}, p AS (SELECT brand AS k, c + dc AS c, r + dr AS r FROM px, {_AROUND}), {_counted('p')} SELECT k AS brand, count(*) AS area, any_value(edge.n) AS outline FROM u JOIN edge USING (k) GROUP BY k")
 def buffer_areas(spark, sf):
     """Each brand's areas grown by 1 with mitred corners, and united."""
-    return _measured(V.buffer(shapes(spark, sf), 1.0, TILE, "mitre", keys=["brand"]), ["brand"])
+    return _measured(V.buffer(shapes(spark, sf), 1.0, WIDE, "mitre", keys=["brand"]), ["brand"])
 
 
 @query("shrink_areas", "id:l area:d outline:d", "", f"""WITH {_SHAPES}, p AS (SELECT p.id AS k, p.c, p.r FROM px p, {_AROUND}, px q WHERE q.id = p.id AND q.c = p.c + dc AND q.r = p.r + dr GROUP BY ALL HAVING count(*) = 9), {_counted('p')}
 SELECT k AS id, count(*) AS area, any_value(edge.n) AS outline FROM u JOIN edge USING (k) GROUP BY k""")
 def shrink_areas(spark, sf):
     """Each area less a margin of 1 with mitred corners; those without a core are gone."""
-    return _measured(V.buffer(shapes(spark, sf), -1.0, TILE, "mitre"), ["id"])
+    return _measured(V.buffer(shapes(spark, sf), -1.0, WIDE, "mitre"), ["id"])
 
 
 @query("nearest_area", "a:l distance:d", "", f"""
