@@ -131,9 +131,12 @@ def snapshot(df: DataFrame, created: str, years: Sequence[int]) -> DataFrame:
     return df.withColumn("year", F.explode(F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y >= F.col(created))))
 
 
-def intersecting(pixels: DataFrame, month: str, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """A5: fires and pixels per cell and month; a fire counts once in every cell it meets. month: of pixel or polygon."""
-    return pixels.groupBy(*keys, F.col(month).alias("month")).agg(F.count_distinct("fire_id").alias("npolygons"), F.count("*").alias("npixels"))
+def intersecting(pixels: DataFrame, month: str, keys: Sequence[str] = ("id",), rows: int | None = None) -> DataFrame:
+    """A5: fires and pixels per cell and month; a fire counts once in every cell it meets. month: of pixel or polygon.
+    rows: number of pixels, if known; tasks take a million each, so what a task holds does not grow with them."""
+    n = (pixels.count() if rows is None else rows) // 1_000_000 + 1
+    named = pixels.select(*keys, F.col(month).alias("month"), "fire_id").repartition(n, *keys, "month", "fire_id")
+    return named.groupBy(*keys, "month", "fire_id").agg(F.count("*").alias("n")).groupBy(*keys, "month").agg(F.count("fire_id").alias("npolygons"), F.sum("n").alias("npixels"))
 
 
 def pixel_area(pixels: DataFrame, keys: Sequence[str], side_m: float = 30.0) -> DataFrame:

@@ -12,9 +12,14 @@ from cinderlake.plans.build import query
 from cinderlake.sources import adapters as A
 
 
+def _rows(spark, sf) -> int:
+    return A.read(spark, sf, "lineitem").count()
+
+
 def _pixels(spark, sf):
     """Line items as pixels of fires (orders); the pixel's month is its own, the fire's that of its first pixel."""
     d = A.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fire_id"), F.col("l_suppkey").alias("id"), F.month("l_shipdate").alias("px_month"), F.col("l_quantity").cast("long").alias("units"))
+    d = d.repartition(_rows(spark, sf) // 1_000_000 + 1, "fire_id")  # what a task holds does not grow with the input
     first = d.groupBy("fire_id").agg(F.min("px_month").alias("fire_month"))
     return d.join(first, "fire_id")
 
@@ -24,12 +29,13 @@ _PX = "px AS (SELECT l_orderkey AS fire_id, l_suppkey AS id, month(l_shipdate) A
 
 @query("intersecting_by_pixel_month", "id:l month:l npolygons:l npixels:l", "", f"WITH {_PX} SELECT id, px_month AS month, count(DISTINCT fire_id) AS npolygons, count(*) AS npixels FROM px GROUP BY ALL")
 def intersecting_by_pixel_month(spark, sf):
-    return R.intersecting(_pixels(spark, sf), "px_month")
+    d = A.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fire_id"), F.col("l_suppkey").alias("id"), F.month("l_shipdate").alias("px_month"))
+    return R.intersecting(d, "px_month", rows=_rows(spark, sf))
 
 
 @query("intersecting_by_fire_month", "id:l month:l npolygons:l npixels:l", "", f"WITH {_PX} SELECT id, fire_month AS month, count(DISTINCT fire_id) AS npolygons, count(*) AS npixels FROM px GROUP BY ALL")
 def intersecting_by_fire_month(spark, sf):
-    return R.intersecting(_pixels(spark, sf), "fire_month")
+    return R.intersecting(_pixels(spark, sf), "fire_month", rows=_rows(spark, sf))
 
 
 @query("burned_area_pixels", "id:l month:l area:d", "", f"WITH {_PX} SELECT id, px_month AS month, count(*) * 0.0009::DOUBLE AS area FROM px GROUP BY ALL")
