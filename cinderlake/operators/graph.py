@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -162,6 +163,20 @@ def low_count_impute(values: DataFrame, edges: DataFrame, count: str, columns: S
     return rich.select("id", count, *columns).withColumn("imputed", F.lit(0)).unionByName(poor.select("id", count, *columns, "imputed"))
 
 
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number of each number's component, of 0 to n - 1 with links a, b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def tile_labels(px: np.ndarray, row: np.ndarray, col: np.ndarray, offsets, value: np.ndarray | None = None) -> np.ndarray:
     """The least px of each pixel's component within one tile; pixels at one of the offsets, of equal value if given, are linked."""
     by = np.argsort(px, kind="stable")
@@ -181,16 +196,7 @@ def tile_labels(px: np.ndarray, row: np.ndarray, col: np.ndarray, offsets, value
     if value is not None:
         same = value[by][a] == value[by][b]
         a, b = a[same], b[same]
-    label = np.arange(len(px))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    label = _least(a, b, len(px))
     out = np.empty(len(px), np.int64)
     out[by] = px[by][label]
     return out
@@ -245,18 +251,96 @@ def _sweep(links: pd.DataFrame, months: Sequence[int]) -> pd.DataFrame:
     return pd.DataFrame({"g_month": [m for m, _ in names], "g_fire": [f for _, f in names], "last": [latest[e] for e in ends], "fire_month": [names[e][0] for e in ends], "fire": [names[e][1] for e in ends]})
 
 
+def _roots(links: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The groups (m, f) that links (a_month, a_fire, b_month, b_fire) join, each with the least of its connected set (rm, rf),
+    and for each link the row of its first group."""
+    n = len(links)
+    m, f = (np.concatenate([links[f"{k}_{c}"].to_numpy(np.int64) for k in "ab"]) for c in ("month", "fire"))
+    by = np.lexsort((f, m))
+    new = np.append(True, (np.diff(m[by]) != 0) | (np.diff(f[by]) != 0))[: 2 * n]
+    code = np.empty(2 * n, np.int64)
+    code[by] = np.cumsum(new) - 1
+    m, f = m[by][new], f[by][new]
+    root = _least(code[:n], code[n:], len(m))
+    return pd.DataFrame({"m": m, "f": f, "rm": m[root], "rf": f[root]}), code[:n]
+
+
+def tile_links(part: pd.DataFrame, offsets) -> pd.DataFrame:
+    """Links between groups of different months within one tile and to pixels around it, once each, with the least group of
+    their connected set (rm, rf). part: month, fire, row, col, own."""
+    row, col = (part[c].to_numpy(np.int64) - part[c].min() for c in ("row", "col"))
+    month, fire, own = part["month"].to_numpy(), part["fire"].to_numpy(np.int64), np.flatnonzero(part["own"].to_numpy())
+    width = int(col.max()) + 1 + 2 * max((abs(k) for _, k in offsets), default=0)
+    code = row * width + col
+    at = np.argsort(code, kind="stable")
+    ordered = code[at]
+    found = []
+    for dr, dc in ((0, 0), *offsets):
+        want = code[own] + dr * width + dc
+        i, z = np.searchsorted(ordered, want), np.searchsorted(ordered, want, side="right")
+        for k in range(int((z - i).max(initial=0))):  # several groups of one pixel
+            here = np.flatnonzero(i + k < z)
+            p, q = own[here], at[i[here] + k]
+            p, q = p[apart := month[p] != month[q]], q[apart]
+            found.append((np.where(month[p] < month[q], p, q), np.where(month[p] < month[q], q, p)))
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, int) for k in (0, 1))
+    links = pd.DataFrame({"a_month": month[a], "a_fire": fire[a], "b_month": month[b], "b_fire": fire[b]}).drop_duplicates(ignore_index=True)
+    groups, of = _roots(links)
+    return links.assign(rm=groups["rm"].to_numpy()[of], rf=groups["rf"].to_numpy()[of])
+
+
+def _roots_joined(stars: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, label of those least groups of tiles that groups of several tiles bring together.
+
+    stars: year, m, f, rm, rf, of each tile; ends: year, m, f, lo and hi, the least and greatest (rm, rf) of each group."""
+    name = lambda m, f: F.struct("year", F.col(m).alias("m"), F.col(f).alias("f"))
+    shared = stars.join(ends.where("lo <> hi").select("year", "m", "f", "lo"), ["year", "m", "f"])
+    return components(shared.select(name("lo.rm", "lo.rf").alias("a"), name("rm", "rf").alias("b")).where("a <> b").distinct())
+
+
+def _ends(stars: DataFrame) -> DataFrame:
+    root = F.struct("rm", "rf")
+    return materialise(stars.groupBy("year", "m", "f").agg(F.min(root).alias("lo"), F.max(root).alias("hi")), "month-ends")
+
+
 def _sweep_wide(links: DataFrame, months: Sequence[int]) -> DataFrame:
-    """The same sweep as a few joins a month, for groups that are too many for one task."""
+    """The same sweep as a few joins a month, for groups that are too many for one task.
+
+    Only groups that count as the month before's are carried on; the rest keep what they have. A month's links are joined
+    tile by tile first, so that only what several tiles share goes to components."""
+    kinds = {f.name: f.dataType.simpleString() for f in links.schema.fields}
+    tile = ["year", "tr", "tc"]
+    schema = f"year {kinds['year']}, m {kinds['a_month']}, f bigint, rm {kinds['a_month']}, rf bigint"
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return _roots(part)[0].assign(year=part["year"].iloc[0])[["year", "m", "f", "rm", "rf"]]
+
     ends = [links.select("year", F.col(f"{k}_month").alias("g_month"), F.col(f"{k}_fire").alias("g_fire")) for k in "ab"]
-    state = materialise(ends[0].union(ends[1]).distinct().select("*", F.col("g_month").alias("last"), F.struct("year", "g_month", "g_fire").alias("label")), "sweep")
+    groups = materialise(ends[0].union(ends[1]).distinct(), "sweep-groups")
+    own = lambda m: groups.where(F.col("g_month") == m).select("*", F.struct("year", F.col("g_month").alias("m"), F.col("g_fire").alias("f")).alias("label"))
+    done, carried, before = [], None, None
     for m in months:
-        before = state.where(F.col("last") == m - 1).select("year", F.col("g_month").alias("a_month"), F.col("g_fire").alias("a_fire"), F.col("label").alias("a"))
-        met = links.where(F.col("b_month") == m).join(before, ["year", "a_month", "a_fire"]).select("a", F.struct("year", F.col("b_month").alias("g_month"), F.col("b_fire").alias("g_fire")).alias("b")).distinct()
-        labels = components(met).select(F.col("node").alias("label"), F.col("label").alias("joined"))
-        new = materialise(state.join(labels, "label", "left").select("year", "g_month", "g_fire", F.when(F.col("joined").isNotNull(), m).otherwise(F.col("last")).alias("last"), F.coalesce("joined", "label").alias("label")), "sweep")
-        discard(state)
-        state = new
-    return state.select("year", "g_month", "g_fire", "last", F.col("label.g_month").alias("fire_month"), F.col("label.g_fire").alias("fire"))
+        if before != m - 1:
+            carried = own(m - 1)
+        active = carried.select("year", F.col("g_month").alias("a_month"), F.col("g_fire").alias("a_fire"), F.col("label.m").alias("l_month"), F.col("label.f").alias("l_fire"))
+        met = links.where(F.col("b_month") == m).join(active, ["year", "a_month", "a_fire"])
+        met = met.select(*tile, F.col("l_month").alias("a_month"), F.col("l_fire").alias("a_fire"), "b_month", "b_fire")
+        stars = materialise(met.groupBy(*tile).applyInPandas(one, schema), "sweep-tiles")
+        lows = _ends(stars)
+        roots = _roots_joined(stars, lows)
+        low = F.struct("year", F.col("lo.rm").alias("m"), F.col("lo.rf").alias("f"))
+        found = lows.select(F.struct("year", "m", "f").alias("of"), low.alias("node")).join(roots, "node", "left_outer").select("of", F.coalesce("label", "node").alias("joined"))
+        state = carried.unionByName(own(m))
+        state = materialise(state.join(found, F.col("label") == F.col("of"), "left").select("year", "g_month", "g_fire", "label", "joined"), "sweep")
+        left = state.where((F.col("g_month") < m) & F.col("joined").isNull())
+        done.append(left.select("year", "g_month", "g_fire", F.lit(m - 1).cast(kinds["a_month"]).alias("last"), "label"))
+        carried = state.where((F.col("g_month") == m) | F.col("joined").isNotNull()).select("year", "g_month", "g_fire", F.coalesce("joined", "label").alias("label"))
+        discard(stars, lows, roots)
+        before = m
+    if carried is not None:
+        done.append(carried.select("year", "g_month", "g_fire", F.lit(before).cast(kinds["a_month"]).alias("last"), "label"))
+    every = reduce(DataFrame.unionByName, done)
+    return every.select("year", "g_month", "g_fire", "last", F.col("label.m").alias("fire_month"), F.col("label.f").alias("fire"))
 
 
 def merge_consecutive_months(pixels: DataFrame, radius: float, months: Sequence[int] = tuple(range(1, 13)), tile: int = 256, most: int = 200_000) -> DataFrame:
@@ -267,23 +351,33 @@ def merge_consecutive_months(pixels: DataFrame, radius: float, months: Sequence[
     month of the group, and the least pixel of that month's first part).
 
     Pixels of one month become groups first (merge_same_month), as every month's groups are merged before they can meet others.
-    Pixels within radius then give links between groups of different months, once; what follows sees groups only. The sweep
-    runs on connected sets of groups: in one task each where a set has most links at most, else as joins month by month.
+    Each tile, with the pixels around it, then gives the links between its groups of different months and the connected sets
+    they make; what follows sees groups only, and only sets that share a group go to components. The sweep runs on connected
+    sets: in one task each where a set has most links at most, else as joins month by month.
     """
-    months = sorted(months)
+    months, reach, offsets = sorted(months), int(radius), discs(radius)
     group = materialise(merge_same_month(pixels, radius, ("year", "month"), tile), "months")
-    cells = group.select("year", "row", "col", F.struct("month", "fire").alias("g"))
-    pairs = neighbours(cells, ["year"], ((0, 0), *discs(radius)), "g").where("src.month <> dst.month")
-    old, new = F.least("src", "dst"), F.greatest("src", "dst")
-    links = materialise(pairs.select("year", old["month"].alias("a_month"), old["fire"].alias("a_fire"), new["month"].alias("b_month"), new["fire"].alias("b_fire")).distinct(), "month-links")
-    name = lambda k: F.struct("year", F.col(f"{k}_month").alias("m"), F.col(f"{k}_fire").alias("f"))
-    labels = components(links.select(name("a").alias("a"), name("b").alias("b")))
-    known = links.withColumn("node", name("a")).join(labels, "node").drop("node")
-    known = materialise(known.join(known.groupBy("label").agg(F.count("*").alias("n")), "label"), "month-sets")
-    kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
-    schema = f"year {kinds['year']}, g_month {kinds['a_month']}, g_fire bigint, last {kinds['a_month']}, fire_month {kinds['a_month']}, fire bigint"
+    kinds = {f.name: f.dataType.simpleString() for f in group.schema.fields}
+    over = lambda lo, hi: F.explode(F.sequence(F.floor(lo / tile), F.floor(hi / tile)))
+    row, col = F.col("row"), F.col("col")
+    sent = group.select("year", "month", "fire", "row", "col", over(row - reach, row).alias("tr")).withColumn("tc", over(col - reach, col + reach))
+    sent = sent.withColumn("own", (F.col("tr") == F.floor(row / tile)) & (F.col("tc") == F.floor(col / tile)))
+    names = {"year": kinds["year"], "tr": "bigint", "tc": "bigint", "a_month": kinds["month"], "a_fire": "bigint", "b_month": kinds["month"], "b_fire": "bigint", "rm": kinds["month"], "rf": "bigint"}
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return tile_links(part, offsets).assign(**{c: part[c].iloc[0] for c in ("year", "tr", "tc")})[[*names]]
+
+    links = materialise(sent.groupBy("year", "tr", "tc").applyInPandas(one, ", ".join(f"{c} {k}" for c, k in names.items())), "month-links")
+    both = F.explode(F.array(*[F.struct(F.col(f"{k}_month").alias("m"), F.col(f"{k}_fire").alias("f")) for k in "ab"])).alias("g")
+    stars = links.select("year", both, "rm", "rf").select("year", "g.m", "g.f", "rm", "rf")
+    ends = _ends(stars)
+    roots = _roots_joined(stars, ends)
+    known = links.withColumn("node", F.struct("year", F.col("rm").alias("m"), F.col("rf").alias("f"))).join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node", "rm", "rf")
+    sizes = materialise(known.groupBy("label").agg(F.count("*").alias("n")), "month-sets")
+    known = materialise(known.join(sizes, "label"), "month-known")
+    schema = f"year {kinds['year']}, g_month {kinds['month']}, g_fire bigint, last {kinds['month']}, fire_month {kinds['month']}, fire bigint"
     swept = known.where(F.col("n") <= most).groupBy("label").applyInPandas(lambda part: _sweep(part, months).assign(year=part.year.iloc[0])[["year", "g_month", "g_fire", "last", "fire_month", "fire"]], schema)
-    large = known.where(F.col("n") > most)
+    large = known.where(F.col("n") > most).drop("label", "n")
     if not large.isEmpty():
         swept = swept.unionByName(_sweep_wide(large, months))
     swept = swept.select("year", F.col("g_month").alias("month"), F.col("g_fire").alias("fire"), "last", "fire_month", F.col("fire").alias("joined"))

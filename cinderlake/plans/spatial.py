@@ -125,8 +125,8 @@ g AS (SELECT year, month, a AS px, min(b) AS fire FROM reach GROUP BY ALL), gp A
 links AS (SELECT DISTINCT p.year, p.month AS am, p.fire AS af, q.month AS bm, q.fire AS bf FROM gp p JOIN gp q ON p.year = q.year AND p.month < q.month AND abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1),
 {_months_swept(12)} SELECT g.year, px, g.month AS month0, s.last AS month, s.label // 1000000 AS fire_month, s.label % 1000000 AS fire FROM g JOIN s12 s ON s.year = g.year AND s.gm = g.month AND s.gf = g.fire""")
 def consecutive_month_merge(spark, sf):
-    first = _burned(spark, sf).groupBy("year", "px", "row", "col").agg(F.min("month").alias("month"))
-    return G.merge_consecutive_months(first, 1.5)
+    first = A.fires(spark, sf).where(F.col("units") >= A.MIN_UNITS).groupBy("year", "px").agg(F.min("month").alias("month"))
+    return G.merge_consecutive_months(first.select("*", F.floor(F.col("px") / 50).alias("row"), (F.col("px") % 50).alias("col")), 1.5)
 
 
 def _classes(spark, sf):

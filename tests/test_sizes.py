@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cinderlake.operators import graph as G
 from cinderlake.operators import multivariate as M
 from cinderlake.operators import relational as R
 
@@ -32,3 +34,17 @@ def test_tasks_of_intersections_grow_in_number(spark):
     found = R.intersecting(pixels, "m", rows=7_000_000)
     assert sorted(map(tuple, found.collect())) == [(5, 3, 2, 3), (6, 4, 1, 1)]
     assert "hashpartitioning(id#" in (plan := found._jdf.queryExecution().toString()) and ", 8), REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_only_sets_of_several_tiles_go_to_components(spark, monkeypatch, most):
+    seen, whole = [], G.components
+    monkeypatch.setattr(G, "components", lambda links: seen.append(links.count()) or whole(links))
+    rows = [(2000, 1 + (r + c) % 3, 10 * r + c, r, c) for r in range(10) for c in range(10)]
+    df = spark.createDataFrame(rows, "year int, month int, px long, row int, col int")
+    got = G.merge_consecutive_months(df, 1.5, (1, 2, 3), 16, most).collect()
+    assert {(r["month"], r["fire_month"], r["fire"]) for r in got} == {(3, 1, 0)} and len(got) == 100
+    assert sum(seen) == 0
+    seen.clear()
+    got = G.merge_consecutive_months(df, 1.5, (1, 2, 3), 5, most).collect()
+    assert {(r["month"], r["fire_month"], r["fire"]) for r in got} == {(3, 1, 0)} and sum(seen) > 0
