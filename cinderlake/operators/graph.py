@@ -135,23 +135,44 @@ def neighbour_mean(values: DataFrame, edges: DataFrame, value: str) -> DataFrame
     return symmetric(edges).join(values.select(F.col("id").alias("dst"), value), "dst").groupBy(F.col("src").alias("id")).agg(F.avg(value).alias(f"{value}_near"))
 
 
+def fill_rounds(values: DataFrame, edges: DataFrame, columns: Sequence[str], mean, keys: Sequence[str] = ()) -> DataFrame:
+    """id, keys and columns of values: nulls become mean(column), an aggregate over the neighbours (edges of id) with equal keys,
+    in rounds over the values before the round, until none changes.
+
+    Only rows with a gap and their edges take part in a round; the others are written once and looked up."""
+    node = ["id", *keys]
+    gaps = [F.col(c).isNull() for c in columns]
+    gap = reduce(lambda p, q: p | q, gaps)
+    lacking = lambda df: df.agg(F.sum(sum(g.cast("long") for g in gaps))).first()[0] or 0
+    ids = lambda df: df.select(F.col("id").alias("src"), *keys)
+    whole = materialise(values.select(*node, *[F.col(c).cast("double").alias(c) for c in columns]), "fill")
+    firm, state = whole.where(~gap), materialise(whole.where(gap), "fill-gaps")
+    missing = lacking(state)
+    wanted = materialise(symmetric(edges).join(ids(state), "src").select("src", "dst", *keys), "fill-edges") if missing else None
+    met = wanted
+    while missing:
+        now = firm.unionByName(state).withColumnRenamed("id", "dst")
+        near = met.join(now, ["dst", *keys]).groupBy(F.col("src").alias("id"), *keys).agg(*[mean(c).alias(f"{c}_near") for c in columns])
+        new = materialise(state.join(near, node, "left").select(*node, *[F.coalesce(c, f"{c}_near").alias(c) for c in columns]), "fill-gaps")
+        discard(state)
+        state = new
+        left = lacking(state)
+        if left == missing:
+            break
+        missing = left
+        met = wanted.join(ids(state.where(gap)), ["src", *keys])
+    if wanted is not None:
+        discard(wanted)
+    return firm.unionByName(state)
+
+
 def neighbour_fill(values: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """Missing values become their neighbours' mean, again and again until none changes.
 
     All cells of a round see the values before it, so the result does not depend on row order. Cells that no value can
     reach stay null.
     """
-    edges = materialise(edges, "fill-edges")
-    out = materialise(values.select("id", F.col(value).cast("double").alias(value)), "fill")
-    missing = out.where(F.col(value).isNull()).count()
-    while missing:  # every round but the last fills some
-        near = neighbour_mean(out, edges, value)
-        out = materialise(out.join(near, "id", "left").select("id", F.coalesce(value, f"{value}_near").alias(value)), "fill")
-        left = out.where(F.col(value).isNull()).count()
-        if left == missing:
-            break
-        missing = left
-    return out
+    return fill_rounds(values, edges, [value], F.avg)
 
 
 def low_count_impute(values: DataFrame, edges: DataFrame, count: str, columns: Sequence[str], least: int, rounded: Sequence[str] = ()) -> DataFrame:

@@ -5,57 +5,46 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.functions.storage import discard, materialise
-from cinderlake.operators.graph import neighbour_fill, symmetric
+from cinderlake.functions.storage import materialise
+from cinderlake.operators.graph import fill_rounds
 
 VARIABLES = ("number_fires", "burned_area", "size_q50", "size_q99", "frequency_q99s", "flammable", "fri", "fri_freq", "season_q50s")
 
 
+def circular_mean(value: str, circle: float = 12.0) -> Column:
+    """Direction, in (0, circle], of the mean unit vector of an aggregate's values; null where they cancel out."""
+    turn = 2 * math.pi / circle
+    s, c = F.avg(F.sin(F.col(value) * turn)), F.avg(F.cos(F.col(value) * turn))
+    angle = F.atan2(s, c) / turn
+    return F.when(F.hypot(s, c) > 1e-9, F.when(angle > 0, angle).otherwise(angle + circle))
+
+
 def circular_fill(values: DataFrame, edges: DataFrame, value: str, circle: float = 12.0) -> DataFrame:
     """G15 on a circle: missing values become the direction of their neighbours' mean unit vector, in rounds over the values
     before the round, until none changes. Neighbours that cancel out give none. Results lie in (0, circle]."""
-    edges = materialise(symmetric(edges), "circle-edges")
-    turn = 2 * math.pi / circle
-    out = materialise(values.select("id", F.col(value).cast("double").alias(value)), "circle")
-    missing = out.where(F.col(value).isNull()).count()
-    while missing:
-        known = out.where(F.col(value).isNotNull()).select(F.col("id").alias("dst"), F.sin(F.col(value) * turn).alias("s"), F.cos(F.col(value) * turn).alias("c"))
-        near = edges.join(known, "dst").groupBy(F.col("src").alias("id")).agg(F.avg("s").alias("s"), F.avg("c").alias("c"))
-        angle = F.atan2("s", "c") / turn
-        met = near.where(F.hypot("s", "c") > 1e-9).select("id", F.when(angle > 0, angle).otherwise(angle + circle).alias("_near"))
-        new = materialise(out.join(met, "id", "left").select("id", F.coalesce(value, "_near").alias(value)), "circle")
-        discard(out)
-        out = new
-        left = out.where(F.col(value).isNull()).count()
-        if left == missing:
-            break
-        missing = left
-    discard(edges)
-    return out
+    return fill_rounds(values, edges, [value], lambda c: circular_mean(c, circle))
 
 
 def regime_table(variables: DataFrame, cells: DataFrame, edges: DataFrame, periods: Sequence[str], least: float = 0.03) -> DataFrame:
     """M1: id, period, VARIABLES, imputed, burned_area_n and number_fires_n of every cell in every period.
 
     variables (id, period, VARIABLES) holds what is known; cells (id); edges (src, dst) of neighbours. Cells without a row get
-    one fire of the least size and frequency 0; their fuel and return interval come from neighbours (neighbour_fill). Then
-    the season of cells with one fire, which means nothing, comes from the neighbours' on the circle of months. What is
+    one fire of the least size and frequency 0; their fuel and return interval come from neighbours, in rounds. So does, on the
+    circle of months, the season of cells with one fire, which means nothing; all are filled in the same rounds. What is
     divided by fuel comes last.
     """
     every = F.explode(F.array(*[F.lit(p) for p in periods])).alias("period")
-    node = F.struct("id", "period")
-    base = cells.select("id", every).join(variables.select("id", "period", *VARIABLES), ["id", "period"], "left")
-    known = materialise(base.select(node.alias("node"), *VARIABLES, F.col("number_fires").isNull().cast("int").alias("imputed")), "regimes")
-    linked = materialise(edges.select("src", "dst", every).select(*[F.struct(F.col(k).alias("id"), "period").alias(k) for k in ("src", "dst")]), "regime-edges")
-    out = known.drop("flammable", "fri", "fri_freq", "season_q50s")
-    for v in ("flammable", "fri", "fri_freq"):
-        out = out.join(neighbour_fill(known.select(F.col("node").alias("id"), v), linked, v).withColumnRenamed("id", "node"), "node")
-    seasons = known.select(F.col("node").alias("id"), F.when(F.col("number_fires") > 1, F.col("season_q50s")).alias("season_q50s"))
-    out = out.join(circular_fill(seasons, linked, "season_q50s").withColumnRenamed("id", "node"), "node")
+    keys = ["id", "period"]
+    base = cells.select("id", every).join(variables.select(*keys, *VARIABLES), keys, "left")
+    known = materialise(base.withColumn("imputed", F.col("number_fires").isNull().cast("int")), "regimes")
+    filled_near = ("flammable", "fri", "fri_freq", "season_q50s")
+    some = known.withColumn("season_q50s", F.when(F.col("number_fires") > 1, F.col("season_q50s")))
+    near = fill_rounds(some, materialise(edges.select("src", "dst"), "regime-edges"), filled_near, lambda c: circular_mean(c) if c == "season_q50s" else F.avg(c), ["period"])
+    out = known.drop(*filled_near).join(near, keys)
     filled = {"number_fires": 1, "burned_area": least, "size_q50": least, "size_q99": least, "frequency_q99s": 0.0}
     out = out.withColumns({c: F.coalesce(c, F.lit(x)) for c, x in filled.items()})
     shares = {f"{c}_n": F.try_divide(F.col(c), F.nullif("flammable", F.lit(0.0))) for c in ("burned_area", "number_fires")}
-    return out.withColumns(shares).select("node.id", "node.period", *VARIABLES, "imputed", *shares)
+    return out.withColumns(shares).select(*keys, *VARIABLES, "imputed", *shares)

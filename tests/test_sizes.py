@@ -48,3 +48,21 @@ def test_only_sets_of_several_tiles_go_to_components(spark, monkeypatch, most):
     seen.clear()
     got = G.merge_consecutive_months(df, 1.5, (1, 2, 3), 5, most).collect()
     assert {(r["month"], r["fire_month"], r["fire"]) for r in got} == {(3, 1, 0)} and sum(seen) > 0
+
+
+def test_fills_write_what_has_gaps_not_all_edges(spark, monkeypatch):
+    written, whole = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df, *a, **k: written.append((out := whole(df, *a, **k)).count()) or out)
+    cells = spark.range(400).select("id", F.floor(F.col("id") / 20).alias("row"), (F.col("id") % 20).alias("col"))
+    values = cells.select("id", F.when(F.col("id") != 210, F.col("id").cast("double")).alias("v"))
+    got = {r["id"]: r["v"] for r in G.neighbour_fill(values, G.neighbours(cells), "v").collect()}
+    assert got == {k: float(k) for k in range(400)}
+    assert sum(written) < 500
+
+
+def test_fills_of_several_columns_keep_keys_apart(spark):
+    rows = [(0, "a", None, 1.0), (1, "a", 4.0, None), (2, "a", None, None), (0, "b", None, 7.0), (1, "b", None, None), (2, "b", None, None), (9, "b", None, 3.0)]
+    values = spark.createDataFrame(rows, "id long, period string, u double, v double")
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
+    got = {(r["id"], r["period"]): (r["u"], r["v"]) for r in G.fill_rounds(values, edges, ["u", "v"], F.avg, ["period"]).collect()}
+    assert got == {(0, "a"): (4.0, 1.0), (1, "a"): (4.0, 1.0), (2, "a"): (4.0, 1.0), **{(k, "b"): (None, 7.0) for k in range(3)}, (9, "b"): (None, 3.0)}
