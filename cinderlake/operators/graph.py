@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cinderlake.functions.storage import discard, materialise
 
 FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
+#: Rows of labels that a join of components may send to all tasks, by way of the driver; more are joined by merge.
+SENT = 20_000
 AROUND = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0))
 
 
@@ -27,17 +29,20 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = links.where("a <> b")
     edges = materialise(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    merged = (lambda df: df.hint("merge")) if labels.count() > SENT else (lambda df: df)
     for _ in range(max_rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = materialise(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("via")), "met")
+        near = edges.join(merged(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = materialise(labels.join(merged(near), "node").select("node", "label", F.least("label", "near").alias("via")), "met")
         jump = met.select(F.col("node").alias("via"), F.col("via").alias("next"))
-        new = materialise(met.join(jump, "via").select("node", F.col("label").alias("old"), F.least("via", "next").alias("label")), "labels")
+        new = materialise(met.join(merged(jump), "via").select("node", F.col("label").alias("old"), F.least("via", "next").alias("label")), "labels")
         discard(met, labels)
         labels = new.drop("old")
         labels._table_path = new._table_path
         if new.where("old <> label").isEmpty():
             discard(edges)
-            return labels
+            out = merged(labels)
+            out._table_path = labels._table_path
+            return out
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -241,7 +246,7 @@ def merge_same_month(pixels: DataFrame, radius: float, keys: Sequence[str] = ("y
     tiled = pixels.select(*keys, "px", "row", "col").withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
     local = tiled.groupBy(*keys, "_tr", "_tc").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "px", "row", "col"]) + ", local bigint, edge boolean")
     local = materialise(local.withColumn("_node", F.struct(*keys, "local")), "tiles")
-    links = neighbours(local.where("edge"), keys, offsets, "_node").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    links = neighbours(local.where("edge").hint("merge"), keys, offsets, "_node").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     met = label_all(local, links, "_node")
     return met.select(*keys, "px", "row", "col", F.col("label.local").alias("fire"))
 

@@ -28,7 +28,7 @@ def label_patches(pixels: DataFrame, keys: Sequence[str], tile: int = 256) -> Da
     local = materialise(tiled.groupBy(*keys, "tr", "tc").applyInPandas(one, schema), "tiles")
     local = local.withColumn("node", F.struct(*keys, "local"))
     border = local.where(f"row % {tile} IN (0, {tile - 1}) OR col % {tile} IN (0, {tile - 1})").withColumn("cell", F.struct("node", "value", "tr", "tc"))
-    pairs = neighbours(border, keys, FORWARD, "cell").where("src.value = dst.value AND (src.tr <> dst.tr OR src.tc <> dst.tc) AND src.node <> dst.node")
+    pairs = neighbours(border.hint("merge"), keys, FORWARD, "cell").where("src.value = dst.value AND (src.tr <> dst.tr OR src.tc <> dst.tc) AND src.node <> dst.node")
     labels = components(pairs.select(F.col("src.node").alias("a"), F.col("dst.node").alias("b")).distinct())
     joined = local.join(labels, "node", "left").withColumn("patch", F.coalesce("label", "node")["local"])
     return joined.select(*keys, "px", "row", "col", "value", "patch")

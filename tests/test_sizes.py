@@ -66,3 +66,13 @@ def test_fills_of_several_columns_keep_keys_apart(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
     got = {(r["id"], r["period"]): (r["u"], r["v"]) for r in G.fill_rounds(values, edges, ["u", "v"], F.avg, ["period"]).collect()}
     assert got == {(0, "a"): (4.0, 1.0), (1, "a"): (4.0, 1.0), (2, "a"): (4.0, 1.0), **{(k, "b"): (None, 7.0) for k in range(3)}, (9, "b"): (None, 3.0)}
+
+
+def test_components_send_no_large_tables_by_way_of_the_driver(spark, monkeypatch):
+    links = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 2, F.col("id")).otherwise(F.col("id") + 1).alias("b"))
+    kept = G.label_all(spark.range(301).withColumnRenamed("id", "n"), links, "n")
+    monkeypatch.setattr(G, "SENT", 10)
+    found = G.label_all(spark.range(301).withColumnRenamed("id", "n"), links, "n")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, kept.collect())) == [(k, k - k % 3) for k in range(301)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
