@@ -104,14 +104,16 @@ def select_mixture(docs: DataFrame, weights=WEIGHTS, total: float | None = None,
     full = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
     part = planned.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("key", order_key(seed, F.col("epoch"), F.col("doc_id")))
     part = part.withColumn("bin1", F.substring("key", 1, 2)).withColumn("bin2", F.substring("key", 3, 2))
-    # Bins before the border are taken whole; the border bin is split again, and then ordered.
+    # Bins before the border are taken whole; the border bin is split again, and then ordered. What is written on the way is small
+    # (bins, and the rows of one bin in 256) and keeps the last plan short, which the driver has to hold with all its tasks.
     bins = part.groupBy(*LEAF, "rest", "bin1").agg(F.sum("n_tokens").alias("size"))
     bins = bins.withColumn("ahead", F.sum("size").over(Window.partitionBy(*LEAF).orderBy("bin1")) - F.col("size")).where("ahead < rest").select(*LEAF, "bin1", "ahead", (F.col("ahead") + F.col("size") <= F.col("rest")).alias("inside"))
+    bins = materialise(bins, "bins")
     near = part.join(bins, [*LEAF, "bin1"])
-    border = near.where("NOT inside")
+    border = materialise(near.where("NOT inside"), "border")
     fine = border.groupBy(*LEAF, "rest", "ahead", "bin2").agg(F.sum("n_tokens").alias("size"))
     fine = fine.withColumn("ahead2", F.col("ahead") + F.sum("size").over(Window.partitionBy(*LEAF).orderBy("bin2")) - F.col("size")).where("ahead2 < rest").select(*LEAF, "bin2", "ahead2", (F.col("ahead2") + F.col("size") <= F.col("rest")).alias("inside2"))
-    border = border.join(fine, [*LEAF, "bin2"])
+    border = border.join(materialise(fine, "fine"), [*LEAF, "bin2"])
     ordered = border.where("NOT inside2").withColumn("before", F.col("ahead2") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).where("before < rest")
     names = ["doc_id", *LEAF, "n_tokens", "epoch"]
     return full.select(names).unionByName(near.where("inside").select(names)).unionByName(border.where("inside2").select(names)).unionByName(ordered.select(names))

@@ -22,6 +22,7 @@ empty table gives no rows. Extra columns are ignored, and kept by drop_toxic().
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,23 +254,31 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).withColumn("_fold", crc_mod("doc_id", 5))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> Texts:
-    """A bounded sample of labelled texts, f = 1, 2, 3: at most SAMPLE ids a class are broadcast. Both classes come side by
-    side, by the places of their ids in the order of the hash, so SAMPLE_BYTES cuts both alike."""
+def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """Learned in a task, so the sample's texts never come to the driver, from a bounded sample of labelled texts, f = 1, 2, 3:
+    at most SAMPLE ids a class are broadcast. Both classes come side by side, by the places of their ids in the order of
+    the hash, so SAMPLE_BYTES cuts both alike."""
     known = _labelled(labels).where("_fold IN (1, 2, 3)")
     order = F.xxhash64("doc_id")
     ids = known.where("_toxic = 1").orderBy(order, "doc_id").limit(SAMPLE).unionByName(known.where("_toxic = 0").orderBy(order, "doc_id").limit(SAMPLE))
     ids = ids.select(F.col("doc_id").alias("_id"), "_toxic", F.row_number().over(Window.partitionBy("_toxic").orderBy(order, "doc_id")).alias("_place"))  # 2 x SAMPLE rows
     sizes = {r[0]: r[1] for r in ids.groupBy("_toxic").agg(F.count("*")).collect()}
     share = F.col("_place") / F.when(F.col("_toxic") == 1, max(1, sizes.get(1, 0))).otherwise(max(1, sizes.get(0, 0)))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids.withColumn("_share", share)), F.col("doc_id") == F.col("_id")).orderBy("_share", "doc_id", "text").select("text", "lang", "_toxic")
-    out, size = Texts(), 0
-    for row in rows.toLocalIterator():
-        out.add(*row)
-        size += len(row[0] or "")
-        if size > SAMPLE_BYTES or len(out.labels) >= 2 * SAMPLE:
-            break
-    return out
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids.withColumn("_share", share)), F.col("doc_id") == F.col("_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = Texts(), 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                for row in zip(*batch.slice(i, 500).to_pydict().values(), strict=True):
+                    if size <= SAMPLE_BYTES and len(out.labels) < 2 * SAMPLE:
+                        out.add(*row)
+                        size += len(row[0] or "")
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Classifier(out))], pa.binary())], names=["model"])
+
+    ordered = rows.repartition(1).sortWithinPartitions("_share", "doc_id", "text").select("text", "lang", "_toxic")
+    found = ordered.mapInArrow(run, "model binary").collect()  # one model of fixed size
+    return pickle.loads(found[0][0]) if found else Classifier(Texts())
 
 
 def calibration_counts(docs: DataFrame, labels: DataFrame, model: Classifier) -> np.ndarray:
@@ -294,7 +303,7 @@ def calibration_counts(docs: DataFrame, labels: DataFrame, model: Classifier) ->
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    model = Classifier(training_rows(docs, labels))
+    model = fitted(docs, labels)
     if model.network is not None:
         model.calibrate(calibration_counts(docs, labels, model))
     return model

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cinderlake.llm import toxicity
+from cinderlake.llm.common import Filter
 
 EXTRA = ("node", "digest", "label", "_kept_node", "epoch")
 
@@ -43,3 +45,27 @@ def test_run_of_an_empty_table(spark, tables):
     folder, _, columns = tables
     out = corpus_pipeline.run(spark, f"{folder}/none")
     assert out.count() == 0 and set(columns) <= set(out.columns)
+
+
+def jobs_of(spark, action):
+    """How many jobs an action begins, with 40 partitions after each shuffle."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    begun = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.range(1).count()
+        before = begun()
+        action()
+        spark.range(1).count()
+        return begun() - before
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_driver_runs_no_job_for_each_partition(spark, tables):
+    folder, texts, _ = tables
+    docs, labels = (spark.read.parquet(f"{folder}/some/{x}.parquet") for x in ("documents", "labels"))
+    assert jobs_of(spark, lambda: toxicity.train(docs, labels)) < 40
+    assert jobs_of(spark, lambda: Filter(spark.range(100).withColumnRenamed("id", "key"), "key").collected()) < 20
