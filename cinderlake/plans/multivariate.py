@@ -204,12 +204,14 @@ def dunn_index(spark, sf):
     return M.dunn(_points(spark, sf), "label", E)
 
 
-@query("silhouette", "id:l label:l silhouette:d", "", f"""
-WITH {_PTS}, d AS (SELECT a.id, a.label, b.label AS other, sum(sqrt({" + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(DIMS))})) AS s, count(*) AS n FROM pts a CROSS JOIN pts b GROUP BY ALL),
+@query("silhouette", "id:l label:l silhouette:d", "", """
+WITH pts AS (SELECT vec_id AS id, label, CASE WHEN len(embedding) > 0 AND list_count(embedding) = len(embedding) THEN embedding::DOUBLE[] END AS v FROM embeddings), d AS (SELECT a.id, a.label, b.label AS other, sum(CASE WHEN len(a.v) = len(b.v) THEN list_distance(a.v, b.v) END) AS s, count(*) AS n FROM pts a CROSS JOIN pts b GROUP BY ALL),
 m AS (SELECT id, label, max(CASE WHEN other = label THEN s / nullif(n - 1, 0) END) AS inn, min(CASE WHEN other <> label THEN s / n END) AS outt, max(CASE WHEN other = label THEN n END) AS own FROM d GROUP BY ALL)
 SELECT id, label, CASE WHEN own > 1 THEN (outt - inn) / greatest(inn, outt) ELSE 0 END AS silhouette FROM m""")
 def silhouette(spark, sf):
-    return M.silhouette(_points(spark, sf), "label", E)
+    """M4: of all numbers of each embedding."""
+    d = A.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), "embedding")
+    return M.silhouette(d, "label", "embedding")
 
 
 _WITHIN = " + ".join(f"var_pop(e{i})" for i in range(DIMS))
